@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import quality, secrets, toxicity, warc
+from pagewright.llm import neardup, quality, secret_scan, toxicity, warc
 from pagewright.llm.common import PACKED, crc_class
 
 
@@ -21,10 +21,10 @@ def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents"))
+    found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
-    base = F.filter("spans", lambda s: s["kind"].isin(secrets.KINDS[: secrets.BASE_KINDS]))
+    base = F.filter("spans", lambda s: s["kind"].isin(secret_scan.KINDS[: secret_scan.BASE_KINDS]))
     return found.select("doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base).cast("binary"), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
@@ -34,6 +34,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, forest).select(f"{PACKED}.doc_id", *quality.COUNTS, "base_failed", "kept", "probability")
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = neardup.components_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return marked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -43,7 +48,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op2_secret_scan, op3_quality_rules, op8_toxicity)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_secret_scan, op3_quality_rules, op4_near_duplicates, op8_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -23,7 +23,7 @@ from pagewright.llm.common import PACKED, crc_class
 SIZES = (3, 4, 5)
 BITS = 18
 BUCKETS = 1 << BITS
-PER_CLASS = 4_000
+PER_CLASS = 6_000
 LEAST_DOCS = 4
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,7 +59,7 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit(grams: list[np.ndarray], y: np.ndarray, rounds: int = 200, l1: float = 2e-4, smooth: float = 1.0) -> Linear:
+def fit(grams: list[np.ndarray], y: np.ndarray, rounds: int = 200, l1: float = 6e-4, smooth: float = 1.0) -> Linear:
     """grams: each text's distinct buckets.  Proximal gradient steps with momentum on the mean logistic loss, classes weighted evenly."""
     if not len(y) or y.min() == y.max():
         return Linear(np.zeros(BUCKETS), -np.inf)
