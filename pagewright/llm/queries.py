@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import neardup, quality, secret_scan, toxicity, warc
+from pagewright.llm import decontam, mixing, neardup, quality, secret_scan, sharding, toxicity, warc
 from pagewright.llm.common import PACKED, crc_class
 
 
@@ -39,6 +39,13 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
+    names = F.array_join(F.array_sort("items"), ",")
+    return found.select(f"{PACKED}.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(names.cast("binary"), 256).alias("items_sha256"), "contaminated")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
@@ -47,8 +54,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = mixing.mix_report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return report.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op2_secret_scan, op3_quality_rules, op4_near_duplicates, op8_toxicity)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_secret_scan, op3_quality_rules, op4_near_duplicates, op7_decontamination, op8_toxicity, op9_sharding, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
