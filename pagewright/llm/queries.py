@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import decontam, idfiles, mixing, neardup, quality, secret_scan, sharding, toxicity, warc
+from pagewright.llm import bloomlm, decontam, idfiles, mixing, neardup, quality, secret_scan, sharding, toxicity, warc
 from pagewright.llm.common import PACKED, crc_class
 
 
@@ -39,6 +39,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = bloomlm.scores(docs, docs.where(~bloomlm.held_out()))
+    return scored.select("doc_id", bloomlm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,7 +77,7 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_warc_revisits, op2_secret_scan, op3_quality_rules, op4_near_duplicates, op6_token_ids, op7_decontamination, op8_toxicity, op9_sharding, op10_source_mix)}
+    return {f.__name__: f for f in (op1_warc_revisits, op2_secret_scan, op3_quality_rules, op4_near_duplicates, op5_bloom_lm, op6_token_ids, op7_decontamination, op8_toxicity, op9_sharding, op10_source_mix)}
 
 
 def oracle_sql() -> dict[str, str]:
