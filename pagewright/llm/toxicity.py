@@ -1,8 +1,9 @@
 """Toxicity: a linear classifier on hashed character n-grams, scaled by naive Bayes log-count ratios.
 
 Features are the distinct character n-grams (``SIZES``) of the whole lower-cased text, hashed to ``BUCKETS``.  Each is
-scaled by the log ratio of its smoothed frequencies in toxic and other training texts, and a logistic regression with an
-L1 term is fitted on the scaled features.  Training reads a bounded sample (``PER_CLASS`` rows of each label, those with
+scaled by the log ratio of its smoothed frequencies in toxic and other training texts, counted on the executors; buckets
+in fewer than ``LEAST_DOCS`` training texts or with a ratio under ``LEAST_RATIO`` are left out.  A logistic regression
+with an L1 term is fitted on the scaled features.  Training reads a bounded sample (``PER_CLASS`` rows of each label, those with
 the smallest hash of doc_id); ids, languages, sources and labels are never features.
 
 Null and empty texts have no n-grams and get the score of the bias alone.  Repeated rows get equal scores.  Without labels
@@ -24,7 +25,7 @@ SIZES = (3, 4, 5)
 BITS = 18
 BUCKETS = 1 << BITS
 PER_CLASS = 6_000
-LEAST_DOCS = 4
+LEAST_DOCS, LEAST_RATIO = 4, 0.7
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -59,21 +60,22 @@ class Linear:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit(grams: list[np.ndarray], y: np.ndarray, rounds: int = 200, l1: float = 6e-4, smooth: float = 1.0) -> Linear:
+def log_ratios(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int, smooth: float = 1.0) -> np.ndarray:
+    """Naive Bayes log-count ratio of every bucket; 0 for buckets that are rare or tell little."""
+    ratio = np.log((pos + smooth) / (n_pos + 2 * smooth)) - np.log((neg + smooth) / (n_neg + 2 * smooth))
+    return np.where((pos + neg >= LEAST_DOCS) & (np.abs(ratio) >= LEAST_RATIO), ratio, 0.0)
+
+
+def fit(grams: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds: int = 200, l1: float = 6e-4) -> Linear:
     """grams: each text's distinct buckets.  Proximal gradient steps with momentum on the mean logistic loss, classes weighted evenly."""
     if not len(y) or y.min() == y.max():
         return Linear(np.zeros(BUCKETS), -np.inf)
-    lengths = np.array([len(g) for g in grams])
-    flat = np.concatenate(grams)
-    row = np.repeat(np.arange(len(y)), lengths)
-    pos = np.bincount(flat[y[row] > 0], minlength=BUCKETS)
-    neg = np.bincount(flat[y[row] == 0], minlength=BUCKETS)
-    ratio = np.log((pos + smooth) / (y.sum() + 2 * smooth)) - np.log((neg + smooth) / ((1 - y).sum() + 2 * smooth))
-    chosen = np.flatnonzero((pos + neg >= LEAST_DOCS) & (np.abs(ratio) >= 0.7))
+    chosen = np.flatnonzero(ratio)
     place = np.full(BUCKETS, -1)
     place[chosen] = np.arange(len(chosen))
-    keep = place[flat] >= 0
-    col, row = place[flat[keep]], row[keep]
+    col = place[np.concatenate(grams)]
+    row = np.repeat(np.arange(len(y)), [len(g) for g in grams])[col >= 0]
+    col = col[col >= 0]
     scale = ratio[chosen]
     share = np.where(y > 0, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     n = len(y)
@@ -101,28 +103,44 @@ def fit(grams: list[np.ndarray], y: np.ndarray, rounds: int = 200, l1: float = 6
     return Linear(weight, float(b))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held: tuple[int, int] | None = (3, 1), doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct buckets and labels of at most ``per_class`` rows of each label, held-out rows excluded."""
-    rows = labels.select(F.col(doc_id).alias("__id"), F.col(toxic).cast("int").alias("__y")).where("__id is not null and __y in (0, 1)")
+def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held: tuple[int, int] | None = (3, 1), doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
+    """(y, text) of at most ``per_class`` labelled rows of each label, held-out rows excluded; the labels chosen are broadcast."""
+    rows = labels.select(F.col(doc_id).alias("__id"), F.col(toxic).cast("int").alias("y")).where("__id is not null and y in (0, 1)")
     if held:
         rows = rows.where(crc_class("__id", held[0]) != held[1])
-    pick = lambda y: rows.where(F.col("__y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
+    pick = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
     chosen = pick(1).unionByName(pick(0))
+    texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("text"))
+    return texts.join(F.broadcast(chosen), "__id").select("y", "text")
 
-    def run(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(hashed_grams(t or "")).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["y", "x"])
 
-    texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text")).join(F.broadcast(chosen), "__id")
-    got = texts.select("__y", "__text").mapInArrow(run, "y int, x binary").limit(4 * per_class).toArrow()
-    x = [np.frombuffer(v, dtype=np.int32) for v in got["x"].to_pylist()]
-    y = got["y"].to_numpy().astype(float)
-    order = sorted(range(len(y)), key=lambda i: (y[i], x[i].tobytes()))
-    return [x[i] for i in order], y[order]
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **options) -> Linear:
+    """Counts buckets by label first; then only the buckets whose ratio tells something leave the executors."""
+    texts = training_texts(docs, labels, per_class, **options)
 
+    def count(batches):
+        totals = np.zeros((2, BUCKETS + 1), dtype=np.int64)
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                totals[y, np.unique(hashed_grams(t or ""))] += 1
+                totals[y, BUCKETS] += 1
+        some = np.flatnonzero(totals.sum(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(totals[1, some]), pa.array(totals[0, some])], ["bucket", "pos", "neg"])
+
+    sums = texts.mapInArrow(count, "bucket long, pos long, neg long").groupBy("bucket").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).toArrow()
+    counts = np.zeros((2, BUCKETS + 1), dtype=np.int64)
+    counts[:, sums["bucket"].to_numpy()] = sums["pos"].to_numpy(), sums["neg"].to_numpy()
+    ratio = log_ratios(counts[0, :BUCKETS], counts[1, :BUCKETS], counts[0, BUCKETS], counts[1, BUCKETS])
+    tells = ratio != 0
+
+    def features(batches):
+        for b in batches:
+            grams = [hashed_grams(t or "") for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(g[tells[g]]).tobytes() for g in grams], pa.binary())], ["y", "x"])
 
-def learn(docs: DataFrame, labels: DataFrame, **options) -> Linear:
-    return fit(*training_rows(docs, labels, **options))
+    got = texts.mapInArrow(features, "y int, x binary").orderBy("y", "x").limit(4 * per_class).toArrow()
+    grams = [np.frombuffer(v, dtype=np.int32) for v in got["x"].to_pylist()]
+    return fit(grams, got["y"].to_numpy().astype(float), ratio)
 
 
 def score(docs: DataFrame, model: Linear, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
