@@ -1,0 +1,308 @@
+"""Queries on layout (J, W, A12, A13, U, O) and on tags and statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from pagewright.functions import text
+from pagewright.operators import layout, matching
+from pagewright.operators.layout import PAGE
+from pagewright.plans import relations as R
+from pagewright.plans.registry import query
+from pagewright.plans.texts import classified_layout, f16_classify, sql_key  # noqa: F401
+from pagewright.plans.registry import _SQL
+
+_BOTH = R.OCR + ", every AS (SELECT doc_id, page, ord, x0, y0, x1, y1 FROM layout UNION ALL SELECT doc_id, page, ord + 1000, x0, y0, x1, y1 FROM ocr)"
+
+
+def both(spark, sf_dir):
+    """Native and OCR elements together, the latter after the former."""
+    return R.layout(spark, sf_dir).unionByName(R.ocr(spark, sf_dir).withColumn("ord", F.col("ord") + 1000))
+
+
+@query(f"""WITH {_BOTH}, p AS (SELECT a.doc_id, a.page, a.ord AS ord_a, b.ord AS ord_b, greatest(0, least(a.x1,b.x1)-greatest(a.x0,b.x0))*greatest(0, least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS inter, (a.x1-a.x0)*(a.y1-a.y0) AS aa, (b.x1-b.x0)*(b.y1-b.y0) AS ab
+ FROM every a JOIN every b ON a.doc_id=b.doc_id AND a.page=b.page AND a.ord < b.ord)
+SELECT doc_id, page, ord_a, ord_b, inter/aa AS overlap_a, CASE WHEN inter/aa > 0.85 AND inter/ab > 0.85 THEN 'equal' WHEN inter/aa > 0.85 THEN 'contained_by' WHEN inter/ab > 0.85 THEN 'contains' ELSE 'overlaps' END AS relationship FROM p WHERE inter > 0 AND inter/aa > 0.1""")
+def j01_overlaps(spark, sf_dir):
+    return layout.overlaps(both(spark, sf_dir)).select(*PAGE, "ord_a", "ord_b", "overlap_a", "relationship")
+
+
+@query(f"""WITH {_BOTH}, p AS (SELECT a.doc_id, a.page, a.ord AS u, b.ord AS v, greatest(0, least(a.x1,b.x1)-greatest(a.x0,b.x0))*greatest(0, least(a.y1,b.y1)-greatest(a.y0,b.y0)) AS inter, (a.x1-a.x0)*(a.y1-a.y0) AS aa
+ FROM every a JOIN every b ON a.doc_id=b.doc_id AND a.page=b.page AND a.ord < b.ord), q AS (SELECT * FROM p WHERE inter > 0 AND inter/aa > 0.1), s AS (SELECT doc_id, page, u AS ord, v AS o FROM q UNION ALL SELECT doc_id, page, v, u FROM q)
+SELECT doc_id, page, ord, string_agg(DISTINCT o::VARCHAR, ',' ORDER BY o::VARCHAR) AS others FROM s GROUP BY ALL""")
+def j01_overlap_lists(spark, sf_dir):
+    out = layout.overlap_lists(both(spark, sf_dir))
+    return out.select(*PAGE, "ord", F.array_join(F.array_sort(F.transform("others", lambda o: o.cast("string"))), ",").alias("others"))
+
+
+_SETS = "list_distinct(list_filter(string_split({0}, ' '), lambda x: x <> ''))"
+
+
+@query(f"""WITH {R.OCR}, n AS (SELECT *, {sql_key('text')} AS key FROM layout), o AS (SELECT *, {sql_key('text')} AS key FROM ocr),
+p AS (SELECT o.doc_id, o.page, o.ord, n.ord AS native, o.key AS a, n.key AS b, greatest(0, least(o.x1,n.x1)-greatest(o.x0,n.x0))*greatest(0, least(o.y1,n.y1)-greatest(o.y0,n.y0)) AS inter, (o.x1-o.x0)*(o.y1-o.y0) AS ao, (n.x1-n.x0)*(n.y1-n.y0) AS an
+ FROM o JOIN n ON o.doc_id=n.doc_id AND o.page=n.page WHERE length(o.key) >= 2 AND length(n.key) >= 2),
+s AS (SELECT *, CASE WHEN inter > 0 THEN inter/(ao+an-inter) ELSE 0 END AS iou, len(list_intersect({_SETS.format('a')}, {_SETS.format('b')})) AS both_, len(list_distinct(list_concat({_SETS.format('a')}, {_SETS.format('b')}))) AS either_, least(length(a), length(b)) AS lo, greatest(length(a), length(b)) AS hi FROM p),
+t AS (SELECT *, CASE WHEN a = b THEN 1.0 WHEN (contains(a, b) OR contains(b, a)) AND lo > 10 AND lo / hi > 0.65 THEN greatest(both_ / either_, 0.85) ELSE both_ / either_ END::DOUBLE AS words FROM s),
+u AS (SELECT *, CASE WHEN iou > 0.15 THEN greatest(words, 0.70 + iou * 0.30) ELSE words END AS score FROM t),
+v AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, ord ORDER BY score DESC, native) AS rn, max(iou) OVER (PARTITION BY doc_id, page, ord) > 0.15 AS touches FROM u)
+SELECT doc_id, page, ord, CASE WHEN score > 0 THEN native END AS native_ord, round(score, 6) AS score, touches, CASE WHEN score <= 0 THEN false WHEN touches THEN score >= 0.7 ELSE score >= 0.9 AND length(a) > 15 END AS possible_duplicate FROM v WHERE rn = 1""")
+def j02_duplicates(spark, sf_dir):
+    every = text.to_nfkc(both(spark, sf_dir), "text").withColumn("ord", F.when(F.col("source") == "ocr", F.col("ord") - 1000).otherwise(F.col("ord")))
+    return layout.duplicates(every).withColumn("score", F.round("score", 6))
+
+
+_REGIONS = R.LAYOUT + """,
+ext AS (SELECT doc_id, page, max(x1) - min(x0) AS total, count(*) AS n FROM layout GROUP BY doc_id, page),
+alone AS (SELECT l.*, n, (type = 'table') OR (total > 150 AND (x1 - x0) / total >= 0.70) AS alone FROM layout l JOIN ext USING (doc_id, page)),
+cut AS (SELECT *, (n > 3 AND (alone OR lag(alone, 1, false) OVER w OR coalesce(y0 - lag(y1) OVER w > 35, false)))::INT AS c FROM alone WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, ord)),
+regions AS (SELECT *, (sum(c) OVER w - first_value(c) OVER w)::INT AS region FROM cut WINDOW w AS (PARTITION BY doc_id, page ORDER BY y0, x0, ord))"""
+
+
+@query(f"WITH {_REGIONS} SELECT doc_id, page, ord, region FROM regions")
+def w01_regions(spark, sf_dir):
+    return layout.regions(R.layout(spark, sf_dir)).select(*PAGE, "ord", "region")
+
+
+_COLUMNS = _REGIONS + """,
+g AS (SELECT *, min(x0) OVER w AS l, max(x1) OVER w AS r, count(*) OVER w AS m FROM regions WINDOW w AS (PARTITION BY doc_id, page, region)),
+taken AS (SELECT DISTINCT doc_id, page, region, l, r, unnest(range(floor((x0 - l) / 2)::INT, floor((x1 - l) / 2)::INT + 1)) AS step FROM g WHERE m >= 3 AND r - l >= 120),
+nxt AS (SELECT *, lead(step) OVER (PARTITION BY doc_id, page, region ORDER BY step) AS nx FROM taken),
+gaps AS (SELECT doc_id, page, region, l + (step + 1) * 2.0 AS low, l + nx * 2.0 AS high, l, r FROM nxt WHERE nx - step - 1 >= 5),
+splits AS (SELECT doc_id, page, region, (low + high) / 2 AS s FROM gaps WHERE low - l >= 30 AND r - high >= 30),
+cols AS (SELECT g.doc_id, g.page, g.ord, g.region, (SELECT count(*) FROM splits s WHERE s.doc_id = g.doc_id AND s.page = g.page AND s.region = g.region AND (g.x0 + g.x1) / 2 > s.s)::INT AS col FROM g)"""
+
+
+@query(f'WITH {_COLUMNS} SELECT doc_id, page, ord, region, col AS "column" FROM cols')
+def w02_columns(spark, sf_dir):
+    return layout.columns_of(layout.regions(R.layout(spark, sf_dir)), [*PAGE, "region"]).select(*PAGE, "ord", "region", "column")
+
+
+@query()
+def w03_line_clusters(spark, sf_dir):
+    e = R.ocr(spark, sf_dir).select("doc_id", "page", "ord", "x0", "y0", "x1", "y1")
+    return e.groupBy(*PAGE).applyInPandas(lambda g: layout.line_ranks(g)[["doc_id", "page", "ord", "line"]], "doc_id long, page int, ord int, line int")
+
+
+@query(f"""WITH {_REGIONS}, o AS (SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY region, y0, x0, ord)::INT AS a FROM regions) SELECT doc_id, page, count(*) AS n, min(a)::INT AS lo, max(a)::INT AS hi FROM o GROUP BY doc_id, page""")
+def w04_reading_order_ranks(spark, sf_dir):
+    """Ranks of a page are 1 to n; the order itself is in ``w04_reading_order``."""
+    o = layout.reading_order(R.layout(spark, sf_dir))
+    return o.groupBy(*PAGE).agg(F.count("*").alias("n"), F.min("reading_order").alias("lo"), F.max("reading_order").alias("hi"))
+
+
+@query(f"WITH {R.ELEMENTS} SELECT doc_id, page, ord, reading_order FROM elements")
+def w04_reading_order_plain(spark, sf_dir):
+    """One element a line: reading order is the order of lines."""
+    return layout.reading_order(R.elements(spark, sf_dir))
+
+
+@query()
+def w04_reading_order(spark, sf_dir):
+    return layout.reading_order(R.layout(spark, sf_dir))
+
+
+_CLASSIFIED = _SQL["f16_classify"].removesuffix("\nSELECT doc_id, page, ord, content_type FROM k")
+_TAGS = "CASE content_type WHEN 'table' THEN 'Table' WHEN 'formula' THEN 'Formula' WHEN 'header' THEN 'Header' WHEN 'footer' THEN 'Footer' WHEN 'caption' THEN 'Caption' WHEN 'list_item' THEN 'LI' WHEN 'heading_1' THEN 'H1' WHEN 'heading_2' THEN 'H2' WHEN 'heading_3' THEN 'H3' WHEN 'title' THEN 'Title' ELSE 'P' END"
+
+
+@query(_CLASSIFIED + f""", r AS (SELECT *, count(*) FILTER (content_type = 'heading_1') OVER (PARTITION BY doc_id ORDER BY page, ord ROWS UNBOUNDED PRECEDING) AS rn FROM k)
+SELECT doc_id, page, ord, CASE WHEN content_type = 'heading_1' AND rn > 1 THEN 'heading_2' ELSE content_type END AS content_type, CASE WHEN content_type = 'heading_1' AND rn > 1 THEN 'H2' ELSE {_TAGS} END AS tag FROM r""")
+def w05_single_h1(spark, sf_dir):
+    return layout.single_first_heading(classified_layout(spark, sf_dir)).select(*PAGE, "ord", "content_type", "tag")
+
+
+@query()
+def w06_style_blocks(spark, sf_dir):
+    e = R.layout(spark, sf_dir).select(*PAGE, "ord", "text", "font_size", "bold")
+    return e.groupBy(*PAGE).applyInPandas(matching.style_blocks, "doc_id long, page int, ord int, block int")
+
+
+@query()
+def w07_sub_blocks(spark, sf_dir):
+    e = R.ocr(spark, sf_dir).select(*PAGE, "ord", "x0", "y0")
+    return e.groupBy(*PAGE).applyInPandas(matching.sub_blocks, "doc_id long, page int, ord int, cluster int")
+
+
+@query()
+def w08_baseline_lines(spark, sf_dir):
+    e = R.ocr(spark, sf_dir).select(*PAGE, "ord", "text", "x0", "y0", "x1")
+    return e.groupBy(*PAGE).applyInPandas(matching.baseline_lines, "doc_id long, page int, line int, part int, text string")
+
+
+@query()
+def w13_cohesion_rows(spark, sf_dir):
+    e = R.ocr(spark, sf_dir).select(*PAGE, "ord", "text", "x0", "y0", "x1", "y1")
+    return e.groupBy(*PAGE).applyInPandas(matching.cohesion_rows, "doc_id long, page int, row int, text string")
+
+
+@query(f"WITH {R.LAYOUT} SELECT doc_id, page, ord, concat('native_p', page, '_', row_number() OVER (PARTITION BY doc_id, page ORDER BY ord)) AS new_id FROM layout")
+def w14_generated_ids(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy(*PAGE).orderBy("ord"))
+    return R.layout(spark, sf_dir).select(*PAGE, "ord", F.concat(F.lit("native_p"), "page", F.lit("_"), n).alias("new_id"))
+
+
+@query(f"""WITH {_REGIONS}, t AS (SELECT *, trim(text) AS t, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS nw FROM regions),
+c AS (SELECT doc_id, page, region, count(*) AS n, count(*) FILTER (type = 'table') AS tables, count(*) FILTER (ends_with(lower(t), ':')) AS colons, count(*) FILTER (t <> '' AND regexp_matches(lower(t), '{layout.PROMPT}')) AS prompts, count(*) FILTER (regexp_matches(t, '{layout.LEADERS}')) AS leaders,
+ count(*) FILTER ((nw > 0 AND nw <= 4) OR regexp_matches(t, '{layout.ITEM}')) AS shorts FROM t GROUP BY ALL)
+SELECT *, CASE WHEN tables > 0 THEN 'table' WHEN n >= 2 AND (colons >= 2 OR (prompts >= 2 AND prompts / n >= 0.25)) THEN 'form' WHEN n >= 3 AND (leaders >= 2 OR leaders / n >= 0.3) THEN 'toc' WHEN n >= 4 AND shorts / n >= 0.65 THEN 'list' ELSE 'text' END AS kind FROM c""")
+def a12_region_kinds(spark, sf_dir):
+    return layout.region_kinds(layout.regions(R.layout(spark, sf_dir)), [*PAGE, "region"])
+
+
+@query(f"WITH {R.OCR}, g AS (SELECT *, min(x0) OVER (PARTITION BY doc_id, page) AS l FROM ocr), s AS (SELECT doc_id, page, unnest(range(floor((x0-l)/2)::INT, floor((x1-l)/2)::INT + 1)) AS step FROM g) SELECT doc_id, page, step::BIGINT AS step, count(*) AS n FROM s GROUP BY ALL")
+def a13_x_occupancy(spark, sf_dir):
+    return layout.x_occupancy(R.ocr(spark, sf_dir), PAGE)
+
+
+@query(_CLASSIFIED + """ SELECT k.doc_id, count(*) AS total_elements, count(DISTINCT page) AS pages, count(*) FILTER (content_type LIKE 'heading%' OR content_type = 'title') AS headings, count(*) FILTER (content_type = 'paragraph') AS paragraphs, count(*) FILTER (content_type = 'table') AS tables,
+ count(*) FILTER (content_type = 'list_item') AS list_items, count(*) FILTER (content_type = 'formula') AS formulas, count(*) FILTER (content_type = 'header') AS headers, count(*) FILTER (content_type = 'footer') AS footers FROM k GROUP BY k.doc_id""")
+def a01_statistics(spark, sf_dir):
+    kind = lambda *k: F.count_if(F.col("content_type").isin(*k))
+    return classified_layout(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("total_elements"), F.countDistinct("page").alias("pages"), kind("title", "heading", "heading_1", "heading_2", "heading_3").alias("headings"), kind("paragraph").alias("paragraphs"), kind("table").alias("tables"), kind("list_item").alias("list_items"), kind("formula").alias("formulas"), kind("header").alias("headers"), kind("footer").alias("footers"))
+
+
+@query(_CLASSIFIED + """, kinds AS (SELECT doc_id, content_type, count(*) AS n FROM k GROUP BY ALL), t AS (SELECT doc_id, string_agg(content_type || '=' || n, ',' ORDER BY content_type) AS content_types, sum(n)::BIGINT AS total FROM kinds GROUP BY doc_id)
+SELECT doc_id, total, 0::BIGINT AS tagged, total AS inferred, 'untagged' AS status, content_types FROM t""")
+def a02_tagging_summary(spark, sf_dir):
+    return matching.tagging_summary(classified_layout(spark, sf_dir)).withColumn("content_types", F.array_join(F.transform(F.array_sort(F.map_entries("content_types")), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ",")).select("doc_id", "total", "tagged", "inferred", "status", "content_types")
+
+
+@query(f"""WITH {R.LAYOUT}, f AS (SELECT doc_id, page, 'font' || (ord % 3) AS name, font_size, bold FROM layout), c AS (SELECT doc_id, page, name, count(*) AS n FROM f GROUP BY ALL), m AS (SELECT doc_id, page, name, row_number() OVER (PARTITION BY doc_id, page ORDER BY n DESC, name) AS rn FROM c)
+SELECT f.doc_id, f.page, any_value(m.name) AS font, round(avg(font_size), 1) AS size, count(*) FILTER (bold) > count(*) / 2 AS bold FROM f JOIN m ON f.doc_id = m.doc_id AND f.page = m.page AND rn = 1 GROUP BY f.doc_id, f.page""")
+def a04_dominant_font(spark, sf_dir):
+    return matching.dominant_font(R.layout(spark, sf_dir).withColumn("name", F.concat(F.lit("font"), F.col("ord") % 3)), PAGE)
+
+
+@query(f"WITH {R.OCR} SELECT doc_id, page, coalesce(avg(CASE WHEN ord % 4 <> 0 THEN confidence END), 0.85)::DOUBLE AS confidence, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM ocr GROUP BY doc_id, page")
+def a10_a11_page_rollup(spark, sf_dir):
+    e = R.ocr(spark, sf_dir)
+    return e.groupBy(*PAGE).agg(F.coalesce(F.avg(F.when(F.col("ord") % 4 != 0, F.col("confidence"))), F.lit(0.85)).alias("confidence"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+@query(f"WITH {_BOTH}, v AS (SELECT doc_id, page, ord, x0 + 150 * (ord % 2) AS x0, y0, x1 + 150 * (ord % 2) AS x1, y1 FROM every WHERE ord >= 1000 AND ord % 3 = 0), k AS (SELECT * FROM every WHERE ord < 1000) SELECT doc_id, page, ord FROM v WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = v.doc_id AND k.page = v.page AND (k.x1-k.x0)*(k.y1-k.y0) <= 2.5*(v.x1-v.x0)*(v.y1-v.y0) AND greatest(0, least(v.x1,k.x1)-greatest(v.x0,k.x0))*greatest(0, least(v.y1,k.y1)-greatest(v.y0,k.y0)) / ((v.x1-v.x0)*(v.y1-v.y0)) >= 0.6)")
+def j06_new_visuals(spark, sf_dir):
+    e = both(spark, sf_dir).select(*PAGE, "ord", "x0", "y0", "x1", "y1")
+    moved = e.where((F.col("ord") >= 1000) & (F.col("ord") % 3 == 0)).withColumns({c: F.col(c) + 150 * (F.col("ord") % 2) for c in ("x0", "x1")})
+    return layout.new_visuals(moved, e.where(F.col("ord") < 1000)).select(*PAGE, "ord")
+
+
+@query(f"""WITH {R.LAYOUT}, s AS (SELECT * FROM layout WHERE ord % 3 <> 0), b AS (SELECT doc_id, page, ord, x0 + 20 AS x0, y1 + 4 AS y0, x1 - 20 AS x1, y1 + 5 AS y1 FROM layout WHERE ord % 3 = 0),
+p AS (SELECT s.doc_id, s.page, b.ord AS bar, s.ord, least(s.x1,b.x1)-greatest(s.x0,b.x0) AS ov, s.x1-s.x0 AS w, s.x0 >= b.x0-3 AND s.x1 <= b.x1+3 AS inside, CASE WHEN s.y1 BETWEEN b.y0-22 AND b.y0+2 THEN 'num' WHEN s.y0 BETWEEN b.y1-2 AND b.y1+22 THEN 'den' END AS part FROM s JOIN b ON s.doc_id=b.doc_id AND s.page=b.page)
+SELECT doc_id, page, bar, ord, part FROM p WHERE part IS NOT NULL AND (ov/greatest(1.0, w) >= 0.4 OR inside)""")
+def j09_fraction_members(spark, sf_dir):
+    e = R.layout(spark, sf_dir).select(*PAGE, "ord", "x0", "y0", "x1", "y1")
+    bars = e.where(F.col("ord") % 3 == 0).select(*PAGE, "ord", (F.col("x0") + 20).alias("x0"), (F.col("y1") + 4).alias("y0"), (F.col("x1") - 20).alias("x1"), (F.col("y1") + 5).alias("y1"))
+    return layout.fraction_members(e.where(F.col("ord") % 3 != 0), bars)
+
+
+@query(f"WITH {R.LAYOUT}, b AS (SELECT doc_id, page, x0 + 20 AS x0, y1 - 6 AS y0, x1 - 20 AS x1, y1 - 5 AS y1 FROM layout WHERE ord % 5 = 0) SELECT doc_id, page, ord FROM layout l WHERE EXISTS (SELECT 1 FROM b WHERE b.doc_id=l.doc_id AND b.page=l.page AND l.x0 < b.x1 AND b.x0 < l.x1 AND l.y0-3 < b.y1 AND b.y0 < l.y1+3)")
+def j15_blocks_at_bars(spark, sf_dir):
+    e = R.layout(spark, sf_dir)
+    bars = e.where(F.col("ord") % 5 == 0).select(*PAGE, (F.col("x0") + 20).alias("x0"), (F.col("y1") - 6).alias("y0"), (F.col("x1") - 20).alias("x1"), (F.col("y1") - 5).alias("y1"))
+    return layout.blocks_at_bars(e, bars).select(*PAGE, "ord")
+
+
+@query(f"WITH {R.OCR} SELECT a.doc_id, a.page, a.ord, count(*) AS n FROM ocr a JOIN ocr b ON a.doc_id=b.doc_id AND a.page=b.page AND (abs(a.x0-b.x0) <= 15 OR abs((a.x0+a.x1)/2-(b.x0+b.x1)/2) <= 15) GROUP BY ALL HAVING count(*) >= 3")
+def j12_column_members(spark, sf_dir):
+    return layout.column_members(R.ocr(spark, sf_dir).select(*PAGE, "ord", "x0", "x1"))
+
+
+@query()
+def j10_fraction_pairs(spark, sf_dir):
+    e = matching.short_terms(R.ocr(spark, sf_dir))
+    return e.groupBy(*PAGE).applyInPandas(matching.fraction_pairs, "doc_id long, page int, num int, den int")
+
+
+@query()
+def j11_vertical_fractions(spark, sf_dir):
+    e = matching.short_terms(R.ocr(spark, sf_dir))
+    return e.groupBy(*PAGE).applyInPandas(matching.vertical_fractions, "doc_id long, page int, ord int, text string")
+
+
+@query()
+def j13_superscripts(spark, sf_dir):
+    e = matching.with_marks(R.ocr(spark, sf_dir))
+    return e.groupBy(*PAGE).applyInPandas(matching.superscript_marks, "doc_id long, page int, ord int, text string")
+
+
+@query()
+def j14_line_recovery(spark, sf_dir):
+    e = R.layout(spark, sf_dir).unionByName(R.ocr(spark, sf_dir)).select(*PAGE, "ord", "source", "text", "y0", "y1")
+    return e.groupBy(*PAGE).applyInPandas(matching.recovered_lines, "doc_id long, page int, ord int, text string, origin string")
+
+
+@query()
+def u04_dedupe_boxes(spark, sf_dir):
+    e = both(spark, sf_dir).select(*PAGE, "ord", "x0", "y0", "x1", "y1")
+    return e.groupBy(*PAGE).applyInPandas(matching.distinct_boxes, "doc_id long, page int, ord int")
+
+
+@query(f"WITH {_BOTH} SELECT doc_id, page, count(*) AS n, count(*) FILTER (ord >= 1000) AS n_ocr, sum(x1 - x0)::DOUBLE AS width FROM every GROUP BY doc_id, page")
+def u01_union(spark, sf_dir):
+    return both(spark, sf_dir).groupBy(*PAGE).agg(F.count("*").alias("n"), F.count_if(F.col("ord") >= 1000).alias("n_ocr"), F.sum(F.col("x1") - F.col("x0")).alias("width"))
+
+
+@query(f"WITH {R.OCR} SELECT doc_id, page, ord FROM layout EXCEPT SELECT doc_id, page, ord FROM ocr")
+def u05_unused(spark, sf_dir):
+    return R.layout(spark, sf_dir).select(*PAGE, "ord").join(R.ocr(spark, sf_dir).select(*PAGE, "ord"), [*PAGE, "ord"], "left_anti")
+
+
+@query(f"WITH {R.OCR} SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY CASE WHEN ord % 6 = 0 THEN 99999 ELSE 40 - ord END, y0, x0, ord)::INT AS place FROM ocr")
+def o01_output_order(spark, sf_dir):
+    e = R.ocr(spark, sf_dir).withColumn("reading_order", F.when(F.col("ord") % 6 == 0, 0).otherwise(40 - F.col("ord")))
+    return e.select(*PAGE, "ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy(*layout.output_order())).alias("place"))
+
+
+@query(f"WITH {R.OCR} SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY y0, x0, ord)::INT AS place FROM ocr")
+def o02_vertical_order(spark, sf_dir):
+    return R.ocr(spark, sf_dir).select(*PAGE, "ord", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y0", "x0", "ord")).alias("place"))
+
+
+@query(f"WITH {R.OCR}, g AS (SELECT doc_id, page, (ord - 1) // 4 AS grp, avg((y0 + y1) / 2) AS yc, min(x0) AS x0 FROM ocr GROUP BY ALL) SELECT doc_id, page, grp::BIGINT AS grp, row_number() OVER (PARTITION BY doc_id, page ORDER BY yc, x0, grp)::INT AS place FROM g")
+def o06_row_groups(spark, sf_dir):
+    g = R.ocr(spark, sf_dir).groupBy(*PAGE, F.floor((F.col("ord") - 1) / 4).alias("grp")).agg(F.avg((F.col("y0") + F.col("y1")) / 2).alias("yc"), F.min("x0").alias("x0"))
+    return g.select(*PAGE, "grp", F.row_number().over(Window.partitionBy(*PAGE).orderBy("yc", "x0", "grp")).alias("place"))
+
+
+@query(f"""WITH {R.OCR} SELECT doc_id, page, ord, text FROM ocr WHERE NOT (ord % 9 = 4 AND (regexp_matches(text, 'ation|tion') OR length(text) < 15))""")
+def p03_watermark(spark, sf_dir):
+    tilted = F.col("ord") % 9 == 4
+    return R.ocr(spark, sf_dir).where(~matching.watermark(F.when(tilted, 0.5).otherwise(0.0), F.col("text"), F.lit(11.0), ["ation", "tion"], [])).select(*PAGE, "ord", "text")
+
+
+@query(f"WITH {R.OCR} SELECT doc_id, page, CASE WHEN sum(len(list_filter(string_split(text, ' '), lambda x: x <> ''))) >= 5 THEN 'TEXT_BASED' WHEN sum(length(text)) < 15 THEN 'OCR' ELSE 'TEXT_BASED_SPARSE' END AS route, sum(length(text)) < 15 AS scanned FROM ocr GROUP BY doc_id, page")
+def p08_p09_page_route(spark, sf_dir):
+    words = F.sum(F.size(F.filter(F.split("text", " "), lambda w: w != "")))
+    chars = F.sum(F.length("text"))
+    return R.ocr(spark, sf_dir).groupBy(*PAGE).agg(F.when(words >= 5, "TEXT_BASED").when(chars < 15, "OCR").otherwise("TEXT_BASED_SPARSE").alias("route"), (chars < 15).alias("scanned"))
+
+
+@query(f"WITH {R.OCR}, f AS (SELECT *, ord % 4 = 0 OR page % 2 = 0 AS dup FROM ocr WHERE trim(text) <> ''), g AS (SELECT *, bool_or(NOT dup) OVER (PARTITION BY doc_id, page) AS any_ FROM f) SELECT doc_id, page, ord FROM g WHERE NOT dup OR NOT any_")
+def p10_reconstruct_filter(spark, sf_dir):
+    e = R.ocr(spark, sf_dir).withColumn("possible_duplicate", (F.col("ord") % 4 == 0) | (F.col("page") % 2 == 0))
+    return matching.to_reconstruct(e).select(*PAGE, "ord")
+
+
+@query(f"""WITH {R.OCR}, w AS (SELECT *, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS nw, CASE WHEN ord % 3 = 0 THEN 'figure' ELSE 'text' END AS kind FROM ocr)
+SELECT doc_id, page, ord, CASE WHEN kind = 'figure' AND (nw >= 15 OR length(text) >= 80) THEN 'text' ELSE kind END AS kind, CASE WHEN ord % 5 <> 0 AND x1 > x0 AND y1 > y0 THEN 'Validated' ELSE 'Needs Review' END AS validation, regexp_matches(left(text, 3), '^[+−\\s-]+$') AS operator_fragment FROM w""")
+def p11_p12_p15_flags(spark, sf_dir):
+    e = R.ocr(spark, sf_dir).withColumn("kind", F.when(F.col("ord") % 3 == 0, "figure").otherwise("text"))
+    words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    demoted = F.when((F.col("kind") == "figure") & ((words >= 15) | (F.length("text") >= 80)), "text").otherwise(F.col("kind"))
+    valid = (F.col("ord") % 5 != 0) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
+    return e.select(*PAGE, "ord", demoted.alias("kind"), F.when(valid, "Validated").otherwise("Needs Review").alias("validation"), F.left("text", F.lit(3)).rlike(r"^[+\-−\s]+$").alias("operator_fragment"))
+
+
+@query(f"WITH {R.LAYOUT}, c AS (SELECT doc_id, page, (ord - 1) // 3 AS r, list(trim(left(text, 12)) ORDER BY ord) AS cells FROM layout GROUP BY ALL) SELECT doc_id, page, r::BIGINT AS r, array_to_string(list_filter(cells, lambda x: x <> ''), ' | ') AS line FROM c")
+def p18_table_text(spark, sf_dir):
+    cells = F.array_sort(F.collect_list(F.struct("ord", F.trim(F.left("text", F.lit(12))).alias("c"))))
+    rows = R.layout(spark, sf_dir).groupBy(*PAGE, F.floor((F.col("ord") - 1) / 3).alias("r")).agg(F.transform(cells, lambda x: x["c"]).alias("cells"))
+    return rows.select(*PAGE, "r", matching.table_line(F.col("cells"), " | ").alias("line"))
+
+
+@query(f"WITH {_BOTH}, s AS (SELECT l.doc_id, l.page, l.ord, source, type FROM layout l UNION ALL SELECT doc_id, page, ord, source, type FROM ocr) SELECT doc_id, count(*) FILTER (source = 'native') AS native, count(*) FILTER (source = 'ocr') AS ocr, count(*) FILTER (type = 'table') AS tables, count(*) FILTER (source IN ('ocr') AND type <> 'table' OR ord = 1) AS shown FROM s GROUP BY doc_id")
+def p13_p21_facets(spark, sf_dir):
+    e = R.layout(spark, sf_dir).unionByName(R.ocr(spark, sf_dir))
+    shown = (F.col("source").isin("ocr") & (F.col("type") != "table")) | (F.col("ord") == 1)
+    return e.groupBy("doc_id").agg(F.count_if(F.col("source") == "native").alias("native"), F.count_if(F.col("source") == "ocr").alias("ocr"), F.count_if(F.col("type") == "table").alias("tables"), F.count_if(shown).alias("shown"))

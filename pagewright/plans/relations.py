@@ -75,7 +75,7 @@ def ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout read again: every tenth element is missing, some letters are exchanged, boxes are shifted."""
     i = F.col("ord") - 1
     e = layout(spark, sf_dir).where(i % 10 != 9).withColumn("source", F.lit("ocr"))
-    e = e.withColumn("text", F.when(i % 7 == 3, F.translate("text", "l", "1")).when(i % 5 == 2, F.upper("text")).otherwise(F.col("text")))
+    e = e.withColumn("text", F.when(i % 7 == 3, F.translate("text", "l", "1")).when(i % 5 == 2, F.lower("text")).otherwise(F.col("text")))
     e = e.withColumn("confidence", 0.5 + (i % 50) / 100.0)
     e = e.withColumn("id", F.concat_ws("_", F.lit("ocr"), "doc_id", "page", "ord"))
     shift = 2.0 * (i % 3)
@@ -88,7 +88,7 @@ OCR = (
     LAYOUT
     + """,
 ocr AS (SELECT doc_id, page, ord, concat_ws('_', 'ocr', doc_id, page, ord) AS id,
-  CASE WHEN (ord - 1) % 7 = 3 THEN replace(text, 'l', '1') WHEN (ord - 1) % 5 = 2 THEN upper(text) ELSE text END AS text, 'ocr' AS source, type,
+  CASE WHEN (ord - 1) % 7 = 3 THEN replace(text, 'l', '1') WHEN (ord - 1) % 5 = 2 THEN lower(text) ELSE text END AS text, 'ocr' AS source, type,
   x0 + 2.0 * ((ord - 1) % 3) + CASE WHEN (ord - 1) % 6 = 5 THEN 260.0 ELSE 0.0 END AS x0, y0, x1 + 2.0 * ((ord - 1) % 3) + CASE WHEN (ord - 1) % 6 = 5 THEN 260.0 ELSE 0.0 END AS x1, y1,
   font_size, bold, (0.5 + ((ord - 1) % 50) / 100.0)::DOUBLE AS confidence FROM layout WHERE (ord - 1) % 10 <> 9)"""
 )
