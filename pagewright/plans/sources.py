@@ -1,0 +1,194 @@
+"""Queries on sources (S), lookups (J5, J7, J8, J16, J17), retention (O4), noise filters (P2) and jobs (T)."""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from pagewright.functions import spacing, text
+from pagewright.operators import matching
+from pagewright.plans import relations as R
+from pagewright.plans.registry import query
+from pagewright.sources import docx, mtef, sinks, structure
+from pagewright.streaming import jobs
+
+
+@query(f"WITH {R.ELEMENTS} SELECT * FROM elements")
+def s11_elements(spark, sf_dir):
+    return R.elements(spark, sf_dir)
+
+
+def _docx_items(spark, sf_dir):
+    files = R.table(spark, sf_dir, "documents").select("doc_id", docx.to_docx("text").alias("content"))
+    return docx.extract(files)
+
+
+@query(f"WITH {R.LINES} SELECT doc_id, ord, trim(line) AS text FROM lines WHERE trim(line) <> ''")
+def s03_docx_paragraphs(spark, sf_dir):
+    """Documents written as Word files and read back."""
+    return _docx_items(spark, sf_dir).where("kind = 'paragraph' and text <> ''").select("doc_id", "ord", "text")
+
+
+@query(f"WITH {R.LINES} SELECT doc_id, page AS section, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord)::INT AS line, trim(line) AS text FROM lines WHERE trim(line) <> ''")
+def s09_docx_sections(spark, sf_dir):
+    return docx.sections(_docx_items(spark, sf_dir)).select("doc_id", "section", "line", "text")
+
+
+@query(r"""SELECT page_id, len(regexp_extract_all(html, '<h[1-6][ >]'))::INT AS headings, len(regexp_extract_all(html, '<p[ >]'))::INT AS paragraphs, len(regexp_extract_all(html, '<a [^>]*href='))::INT AS links,
+ regexp_replace(coalesce(regexp_extract_all(html, '<h1[^>]*>([^<]*)', 1)[1], ''), '\s+', ' ', 'g') AS title FROM pages""")
+def s04_markup(spark, sf_dir):
+    return structure.markup_counts(R.table(spark, sf_dir, "pages"))
+
+
+@query("""WITH l AS (SELECT page_id, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS t FROM pages) SELECT page_id, unnest(range(len(t)))::INT AS k, unnest(t) AS target FROM l""")
+def s05_links(spark, sf_dir):
+    return structure.links(R.table(spark, sf_dir, "pages"))
+
+
+_NODES = R.LINES + """, nodes AS (SELECT doc_id, ord + 1 AS xref, CASE WHEN ord = 0 THEN NULL ELSE (ord + 1) // 2 END AS parent, CASE WHEN ord = 0 THEN 'Document' WHEN ord % 5 = 1 THEN 'Sect' WHEN ord % 3 = 0 THEN 'Heading1' ELSE 'P' END AS tag, CASE WHEN ord % 4 = 0 THEN page END AS page FROM lines)"""
+
+
+@query(f"""WITH RECURSIVE {_NODES}, tree AS (SELECT doc_id, xref, tag, page, 0 AS depth FROM nodes WHERE parent IS NULL UNION ALL SELECT n.doc_id, n.xref, n.tag, coalesce(n.page, t.page), t.depth + 1 FROM tree t JOIN nodes n ON n.doc_id = t.doc_id AND n.parent = t.xref)
+SELECT doc_id, xref, CASE tag WHEN 'Heading1' THEN 'H1' ELSE tag END AS tag, page, depth FROM tree WHERE tag NOT IN ('Document', 'Sect')""")
+def s06_struct_tree(spark, sf_dir):
+    o = F.col("ord")
+    tag = F.when(o == 0, "Document").when(o % 5 == 1, "Sect").when(o % 3 == 0, "Heading1").otherwise("P")
+    nodes = R.lines(spark, sf_dir).select("doc_id", (o + 1).alias("xref"), F.when(o > 0, F.floor((o + 1) / 2).cast("int")).alias("parent"), tag.alias("tag"), F.when(o % 4 == 0, F.col("page")).alias("page"))
+    return structure.struct_tree(nodes, {"Heading1": "H1"})
+
+
+@query(f"WITH {R.LINES}, f AS (SELECT doc_id, page, line FROM lines WHERE page <= 5) SELECT doc_id, count(DISTINCT page) AS pages, sum(len(list_filter(string_split(line, ' '), lambda x: x <> '')))::BIGINT AS words, sum(length(line))::BIGINT AS chars FROM f GROUP BY doc_id")
+def s15_metadata(spark, sf_dir):
+    first = R.lines(spark, sf_dir).where("page <= 5")
+    return first.groupBy("doc_id").agg(F.countDistinct("page").alias("pages"), F.sum(F.size(F.filter(F.split("line", " "), lambda w: w != ""))).cast("long").alias("words"), F.sum(F.length("line")).alias("chars"))
+
+
+@query("""WITH f AS (SELECT doc_id, source || CASE doc_id % 5 WHEN 0 THEN '.PDF' WHEN 1 THEN '.docx' WHEN 2 THEN '.txt' WHEN 3 THEN '.exe' ELSE '' END AS name, CASE WHEN doc_id % 2 = 0 THEN 'text/plain' END AS mime FROM documents)
+SELECT doc_id, CASE WHEN ends_with(lower(name), '.pdf') THEN 'pdf' WHEN ends_with(lower(name), '.docx') THEN 'docx' WHEN ends_with(lower(name), '.txt') OR mime = 'text/plain' THEN 'text' END AS reader FROM f""")
+def s16_p20_uploads(spark, sf_dir):
+    d = F.col("doc_id") % 5
+    end = F.when(d == 0, ".PDF").when(d == 1, ".docx").when(d == 2, ".txt").when(d == 3, ".exe").otherwise("")
+    mime = F.when(F.col("doc_id") % 2 == 0, "text/plain")
+    return R.table(spark, sf_dir, "documents").select("doc_id", structure.accepted(F.concat("source", end), mime).alias("reader"))
+
+
+@query("SELECT doc_id, 'n' || (doc_id % 90 + 10) || '/' || (doc_id % 7 + 1) AS formula FROM documents")
+def s17_f19_equations(spark, sf_dir):
+    """Equation records written for every document and decoded."""
+    made = F.pandas_udf(lambda d: d.map(lambda x: mtef.fraction_record(f"n{x % 90 + 10}", str(x % 7 + 1))), T.BinaryType())
+    decode = F.pandas_udf(lambda b: b.map(mtef.decode), T.StringType())
+    return R.table(spark, sf_dir, "documents").select("doc_id", made("doc_id").alias("b")).select("doc_id", decode("b").alias("formula"))
+
+
+@query(f"WITH {R.ELEMENTS}, i AS (SELECT doc_id * 1000 + page AS image_id, doc_id AS page_key, page % 2 = 1 AS boxed FROM elements WHERE ord = 1), r AS (SELECT doc_id * 100000 + page * 100 + ord AS reading_id, CASE WHEN ord % 3 = 0 THEN doc_id * 1000 + page END AS image_id, doc_id AS page_key, ord % 4 = 1 AS boxed FROM elements WHERE ord <= 6) SELECT DISTINCT i.image_id, reading_id FROM i JOIN r ON r.image_id = i.image_id OR (i.boxed AND r.boxed AND i.page_key = r.page_key)")
+def j05_image_readings(spark, sf_dir):
+    e = R.elements(spark, sf_dir)
+    key = F.col("doc_id") * 1000 + F.col("page")
+    images = e.where("ord = 1").select(key.alias("image_id"), F.col("doc_id").alias("page_key"), (F.col("page") % 2 == 1).alias("boxed"))
+    readings = e.where("ord <= 6").select((F.col("doc_id") * 100000 + F.col("page") * 100 + F.col("ord")).alias("reading_id"), F.when(F.col("ord") % 3 == 0, key).alias("image_id"), F.col("doc_id").alias("page_key"), (F.col("ord") % 4 == 1).alias("boxed"))
+    return structure.either_join(images, readings)
+
+
+@query(f"WITH {R.ELEMENTS}, w AS (SELECT doc_id, page, ord, list_distinct(string_split(lower(text), ' ')) AS words FROM elements), n AS (SELECT doc_id, page, ord AS node_ord, list_slice(string_split(lower(text), ' '), 1, 4) AS alt FROM elements WHERE ord % 2 = 0), p AS (SELECT w.doc_id, w.page, w.ord, node_ord, len(list_intersect(words, alt)) AS s, len(list_distinct(alt)) AS k FROM w JOIN n ON w.doc_id = n.doc_id AND w.page = n.page) SELECT doc_id, page, ord, min(node_ord) AS node_ord FROM p WHERE s >= 2 OR (s >= 1 AND k <= 3) GROUP BY ALL")
+def j07_alternative_texts(spark, sf_dir):
+    e = R.elements(spark, sf_dir)
+    words = F.split(F.lower("text"), " ")
+    return structure.alternative_texts(e.select("doc_id", "page", "ord", F.array_distinct(words).alias("words")), e.where("ord % 2 = 0").select("doc_id", "page", F.col("ord").alias("node_ord"), F.slice(words, 1, 4).alias("alt_words")))
+
+
+@query(f"WITH {R.ELEMENTS}, a AS (SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) AS n FROM elements WHERE ord % 2 = 1), b AS (SELECT doc_id, page, ord AS other, row_number() OVER (PARTITION BY doc_id, page ORDER BY ord) AS n FROM elements WHERE ord % 3 = 0) SELECT a.doc_id, a.page, a.n::INT AS n, a.ord, other FROM a LEFT JOIN b ON a.doc_id = b.doc_id AND a.page = b.page AND a.n = b.n")
+def j08_ordinal_join(spark, sf_dir):
+    e = R.elements(spark, sf_dir).select("doc_id", "page", "ord")
+    return structure.zip_join(e.where("ord % 2 = 1"), e.where("ord % 3 = 0").withColumnRenamed("ord", "other"), ["doc_id", "page"], "ord", "other")
+
+
+@query("""WITH r AS (SELECT doc_id AS result_id, source AS block, source || (doc_id % 50) AS key, doc_id * 7 % 1000 AS mtime FROM documents), w AS (SELECT DISTINCT source AS block, source || (doc_id % 5) AS wanted FROM documents),
+p AS (SELECT w.block, wanted, result_id, mtime FROM w JOIN r ON w.block = r.block AND (contains(key, wanted) OR contains(wanted, key))) SELECT block, wanted, arg_max(result_id, (mtime, result_id)) AS result_id FROM p GROUP BY ALL""")
+def j16_latest_result(spark, sf_dir):
+    d = R.table(spark, sf_dir, "documents")
+    results = d.select(F.col("doc_id").alias("result_id"), F.col("source").alias("block"), F.concat("source", F.col("doc_id") % 50).alias("key"), (F.col("doc_id") * 7 % 1000).alias("mtime"))
+    wanted = d.select(F.col("source").alias("block"), F.concat("source", F.col("doc_id") % 5).alias("wanted")).distinct()
+    return structure.latest_result(results, wanted)
+
+
+@query("SELECT c_custkey, n_name, r_name FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def j17_chained_lookup(spark, sf_dir):
+    """An id to its target to that target's name; dimensions are broadcast by size."""
+    c, n, r = (R.table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    return c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select("c_custkey", "n_name", "r_name")
+
+
+@query("WITH s AS (SELECT source, doc_id AS session_id, doc_id * 37 % 101 AS mtime, row_number() OVER (PARTITION BY source ORDER BY doc_id * 37 % 101 DESC, doc_id DESC) AS rn FROM documents) SELECT source, session_id, mtime FROM s WHERE rn <= 2")
+def o04_retention(spark, sf_dir):
+    sessions = R.table(spark, sf_dir, "documents").select("source", F.col("doc_id").alias("session_id"), (F.col("doc_id") * 37 % 101).alias("mtime"))
+    return structure.retained(sessions, ["source"])
+
+
+@query()
+def p02_two_pass_filter(spark, sf_dir):
+    """Noise is dropped, what is left is cleaned, and noise is dropped again."""
+    e = R.ocr(spark, sf_dir).withColumn("text", F.when(F.col("ord") % 7 == 0, F.left("text", F.lit(1))).otherwise(F.col("text")))
+    noise = lambda c: F.coalesce(text.is_noise(F.col(c), F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("confidence")), F.lit(False))
+    once = e.where(~noise("text")).withColumn("clean", text.clean_ocr(F.col("text")))
+    return once.where(~noise("clean")).select("doc_id", "page", "ord", "clean")
+
+
+@query()
+def f17_fraction_terms(spark, sf_dir):
+    w = R.lines(spark, sf_dir).select("doc_id", F.explode(F.split("line", " ")).alias("w"))
+    return w.groupBy("doc_id").agg(F.count_if(matching.is_fraction_term(F.col("w"))).alias("terms"), F.count("*").alias("words"))
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'x^2/' || doc_id WHEN 1 THEN '(a+b)/' || doc_id ELSE doc_id || '/(c-1)' END AS fraction FROM documents")
+def f18_f29_format_fraction(spark, sf_dir):
+    d = F.col("doc_id") % 3
+    num = F.when(d == 0, "x^{2}").when(d == 1, "a+b").otherwise(F.col("doc_id").cast("string"))
+    den = F.when(d == 2, "c-1").otherwise(F.col("doc_id").cast("string"))
+    put = F.pandas_udf(lambda n, m: pd.Series([matching.format_fraction(a, b) for a, b in zip(n, m)]), T.StringType())
+    return R.table(spark, sf_dir, "documents").select("doc_id", put(num, den).alias("fraction"))
+
+
+_VOCABULARY = ", ".join(f"'{w}'" for w in spacing.VOCABULARY)
+
+
+@query(f"WITH w AS (SELECT doc_id, unnest(string_split(lower(text), ' ')) AS w FROM documents) SELECT doc_id, count(*) FILTER (w IN ({_VOCABULARY})) AS known, count(*) AS words FROM w GROUP BY doc_id")
+def f22_known_words(spark, sf_dir):
+    w = R.table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(F.lower("text"), " ")).alias("w"))
+    return w.groupBy("doc_id").agg(F.count_if(F.col("w").isin(spacing.VOCABULARY)).alias("known"), F.count("*").alias("words"))
+
+
+@query("SELECT event_type, count(*) AS n, sum(value)::DOUBLE AS total FROM events GROUP BY event_type")
+def t01_file_stream(spark, sf_dir):
+    """Events read as a file stream in micro-batches, summed from what the batches wrote."""
+    folder = sinks.export_folder(spark)
+    parts = jobs.run_jobs(spark, f"{sf_dir}/events.parquet", folder, lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
+    return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+@query(f"WITH {R.LINES}, p AS (SELECT DISTINCT doc_id, page FROM lines) SELECT doc_id, page, (15 + floor(page / max(page) OVER (PARTITION BY doc_id) * 75))::INT AS progress FROM p")
+def t02_progress(spark, sf_dir):
+    from pyspark.sql import Window
+
+    p = R.lines(spark, sf_dir).select("doc_id", "page").distinct()
+    return p.select("doc_id", "page", structure.progress(F.col("page"), F.max("page").over(Window.partitionBy("doc_id"))).alias("progress"))
+
+
+@query("WITH u AS (SELECT user_id, ts, event_id, CASE WHEN event_id % 3 = 0 THEN event_type END AS stage, CASE WHEN event_id % 2 = 0 THEN value END AS progress FROM events) SELECT user_id, arg_max(stage, (ts, event_id)) FILTER (stage IS NOT NULL) AS stage, arg_max(progress, (ts, event_id)) FILTER (progress IS NOT NULL) AS progress, count(*) AS updates FROM u GROUP BY user_id")
+def t04_job_upsert(spark, sf_dir):
+    e = R.table(spark, sf_dir, "events")
+    updates = e.select("user_id", "ts", "event_id", F.when(F.col("event_id") % 3 == 0, F.col("event_type")).alias("stage"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("progress"))
+    return jobs.merged_status(updates, "user_id", ["ts", "event_id"], ["stage", "progress"])
+
+
+@query("SELECT event_id, coalesce(CASE event_id % 5 WHEN 0 THEN 'uploaded' WHEN 1 THEN 'processing' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' ELSE event_type END IN ('uploaded', 'processing', 'completed', 'failed'), false) AS valid FROM events")
+def t05_states(spark, sf_dir):
+    k = F.col("event_id") % 5
+    state = F.when(k == 0, "uploaded").when(k == 1, "processing").when(k == 2, "completed").when(k == 3, "failed").otherwise(F.col("event_type"))
+    return R.table(spark, sf_dir, "events").select("event_id", jobs.valid_state(state).alias("valid"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n, sum(value)::DOUBLE AS total FROM events GROUP BY ALL")
+def x01_windowed_counts(spark, sf_dir):
+    """An extension beyond the reference."""
+    return jobs.windowed_counts(R.table(spark, sf_dir, "events"))
