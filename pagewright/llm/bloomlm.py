@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import crc_class, drop, scratch, stored
-from pagewright.llm.words import WordHasher, blank_bytes, groups, mix
+from pagewright.llm.words import WordHasher, blank_bytes, each, groups, mix
 
 ORDER = 2
 BASE = 1.5
@@ -34,7 +34,7 @@ PROBES = 4
 BITS_PER_ITEM, MOST_BITS = 12, 1 << 29
 FREQUENT = 1 << 20
 KEY_BITS = 40
-FLUSH = 4 << 20
+FLUSH = 3 << 19
 START, END = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 _U = np.uint64
 
@@ -131,7 +131,7 @@ def count_grams(docs: DataFrame, bucket_bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 256]), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "keys", "counts"])
 
         for b in batches:
-            for texts in groups(b.column(0).cast(pa.binary()).to_pylist()):
+            for texts in groups(each(b.column(0))):
                 w = hasher(texts)
                 seq, bounds = extended(w.hash, w.first)
                 is_start = np.zeros(len(seq), dtype=bool)
@@ -264,8 +264,9 @@ def scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str
         lm = Filter(np.frombuffer(data[0], dtype=np.uint8), bucket_bits, block_bits)
         known, known_n = np.frombuffer(data[1], dtype=np.uint64), np.frombuffer(data[2], dtype=np.int64)
         for b in batches:
-            out: list[list] = [[], [], [], [], [], [], []]
-            for texts in groups(b.column(1).cast(pa.binary()).to_pylist()):
+            done = 0
+            for texts in groups(each(b.column(1))):
+                out: list = [None] * 6
                 w = hasher(texts)
                 seq, bounds = extended(w.hash, w.first)
                 n_docs_here = len(texts)
@@ -279,9 +280,9 @@ def scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str
                 c = np.where(found, known_n[place] if len(known) else 0, 0)
                 base = np.where(found, np.log10((c + 1) / scale), 0.0)
                 first = bounds[:-1] - np.arange(n_docs_here)
-                out[0] += (np.diff(bounds) - 1).tolist()
-                out[1] += np.add.reduceat(found[where].astype(np.int64), first).tolist()
-                out[2] += np.add.reduceat(base[where], first).tolist()
+                out[0] = (np.diff(bounds) - 1)
+                out[1] = np.add.reduceat(found[where].astype(np.int64), first)
+                out[2] = np.add.reduceat(base[where], first)
 
                 h1, _ = grams(seq, bounds, 1)
                 c1 = counted(lm, h1)
@@ -294,16 +295,15 @@ def scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str
                     cn = np.minimum(counted(lm, h), context)
                     p = np.where(inside & (context > 0), (cn + PRIOR * p) / (context + PRIOR), p)
                     history = np.where(inside, cn, 0)
-                out[3] += np.add.reduceat(np.log10(p[inner]), first).tolist()
+                out[3] = np.add.reduceat(np.log10(p[inner]), first)
 
                 rest = ~found[where]
                 pair, n = np.unique(owner[rest] * len(token) + where[rest], return_counts=True)
                 edge = np.searchsorted(pair, np.arange(n_docs_here + 1) * len(token))
                 tokens, n = token[pair % len(token)].view(np.int64), n.astype(np.int32)
-                out[4] += [tokens[i:j] for i, j in zip(edge[:-1], edge[1:])]
-                out[5] += [n[i:j] for i, j in zip(edge[:-1], edge[1:])]
-            types = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, t) for x, t in zip(out, types))], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
+                out[4:] = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(x)) for x in (tokens, n)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, n_docs_here), *map(pa.array, out[:4]), *out[4:]], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
+                done += n_docs_here
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<bigint>, times array<int>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), f"{top}/rows")

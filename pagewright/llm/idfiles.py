@@ -11,8 +11,9 @@ A reader takes the index from the end of the file and can decompress any single
 files under its hash.  Documents are stored in ascending doc_id order, nulls first, ties by a hash of the text; files
 are named in that order, and ``start`` counts the ids of all documents before.
 
-Encoding: a text is cut where non-white is followed by white space, which is always a boundary of the byte-level
-pre-tokenizer, so equal pieces have equal ids wherever they stand, and a bounded cache holds the ids of pieces seen.
+Encoding: a text is cut where non-white is followed by white space and where a letter is followed by a mark, which are
+always boundaries of the byte-level pre-tokenizer, so equal pieces have equal ids wherever they stand; a bounded cache
+holds the ids of pieces seen.
 Null and empty texts have the end id alone; repeated rows are documents of their own; an empty table makes no file.
 """
 
@@ -25,6 +26,7 @@ import struct
 import sys
 import types
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +46,18 @@ END_ID = 2
 #: The dictionary is trained on at most so many documents, those with the smallest hash of doc_id.
 SAMPLE, DICTIONARY_BYTES, SAMPLE_BYTES = 2_000, 64 << 10, 8 << 10
 LEVEL = 3
-CACHED = 500_000
+CACHED = 120_000
+GROUP_CHARS = 1 << 20
 FILE_BYTES = 64 << 20
 #: Unicode's White_Space.
 WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: Letters and marks between which the pre-tokenizer always cuts; the apostrophe is none of them.
+LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
+MARKS = "!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~"
+PIECES = re.compile(f"[{WHITE}]*(?:[{LETTERS}]+(?=[{MARKS}])|[^{WHITE}]+)|[{WHITE}]+")
+LETTERS_ONLY = re.compile(f" ?[{LETTERS}]+")
+#: A blank beside other white space.
+UNEVEN = re.compile(f" [{WHITE}]|[{WHITE}] ")
 
 
 def kept_by_process() -> dict:
@@ -56,15 +65,49 @@ def kept_by_process() -> dict:
     return sys.modules.setdefault("__pagewright_kept__", types.ModuleType("__pagewright_kept__")).__dict__
 
 
+def byte_letters() -> dict[int, str]:
+    """How a byte-level vocabulary writes bytes: printable ones as themselves, the others as the letters from 256 on, in order."""
+    shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = [b for b in range(256) if b not in shown]
+    return {b: chr(b) if b in shown else chr(256 + other.index(b)) for b in range(256)}
+
+
+class Kept:
+    """A bounded dictionary; when it is full, what was asked for again since it was last cut stays."""
+
+    def __init__(self, most: int):
+        self.most, self.ids, self.again = most, {}, set()
+
+    def missing(self, used: set[str]) -> list[str]:
+        """Those of used that aren't held; makes room for them, but never drops any of used."""
+        new = used.difference(self.ids)
+        seen = used - new
+        self.again |= seen
+        if len(self.ids) + len(new) > self.most:
+            stay = self.again if 2 * len(self.again) < self.most else seen
+            self.ids = {k: self.ids[k] for k in stay if k in self.ids}
+            self.again = set()
+        return list(new)
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers, by the tokenizers library, with a cache of pieces."""
+    """Ids of texts as little-endian 32-bit integers, by the tokenizers library, with bounded caches of words and pieces.
+
+    Most texts have single blanks between words only; they are split at blanks, and a word, with its blank, is looked up.
+    Unknown words are cut into pieces.  An unknown piece of letters is one pre-token and goes to the tokenizer's model;
+    other pieces, and other texts' pieces, go through the whole tokenizer.
+    """
 
     def __init__(self, path: str, cached: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cached, self.cache = cached, {}
+        self.model = self.tokenizer.model
+        self.words, self.pieces = Kept(cached), Kept(2 * cached)
+        self.letters = byte_letters()
+        plain = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
+        self.direct = plain and self._direct(" Level") == self._whole([" Level"])[0]
 
     @classmethod
     def of_process(cls, path: str):
@@ -73,17 +116,43 @@ class Encoder:
             kept[path] = cls(path)
         return kept[path]
 
-    def __call__(self, text: str) -> bytes:
-        pieces = PIECES.findall(text)
-        new = set(pieces).difference(self.cache)
-        if new:
-            if len(self.cache) + len(new) > self.cached:
-                self.cache.clear()
-                new = set(pieces)
-            new = list(new)
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                self.cache[p] = np.array(e.ids, dtype="<u4").tobytes()
-        return b"".join(map(self.cache.__getitem__, pieces))
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _direct(self, piece: str) -> bytes:
+        """Ids of a piece that is one pre-token."""
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, piece by piece."""
+        cut = [PIECES.findall(t) for t in texts]
+        new = self.pieces.missing(set().union(*cut))
+        simple = [p for p in new if self.direct and LETTERS_ONLY.fullmatch(p)]
+        self.pieces.ids.update(zip(simple, map(self._direct, simple)))
+        rest = [p for p in new if p not in self.pieces.ids]
+        self.pieces.ids.update(zip(rest, self._whole(rest)))
+        get = self.pieces.ids.__getitem__
+        return [b"".join(map(get, p)) for p in cut]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        plain = [bool(t) and t[0] != " " and t[-1] != " " and not UNEVEN.search(t) for t in texts]
+        split = [t.split(" ") if ok else [] for t, ok in zip(texts, plain)]
+        new = self.words.missing(set().union(*(w[1:] for w in split)))
+        self.words.ids.update(zip(new, self._cut([" " + w for w in new])))
+        firsts = self._cut([w[0] if ok else t for t, w, ok in zip(texts, split, plain)])
+        get = self.words.ids.__getitem__
+        return [b"".join([f, *map(get, w[1:])]) for f, w in zip(firsts, split)]
+
+    def groups(self, texts, size: int = GROUP_CHARS):
+        """Ids of texts one by one; what is new is encoded together for a group of texts.  None counts as empty."""
+        held, n = [], 0
+        for t in texts:
+            held.append(t or "")
+            n += len(held[-1])
+            if n >= size:
+                yield from self(held)
+                held, n = [], 0
+        yield from self(held)
 
 
 def width_of(path: str) -> int:
@@ -182,7 +251,7 @@ def learn_dictionary(docs: DataFrame, tokenizer: str, width: int, sample: int =
     def run(batches):
         encode = Encoder.of_process(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([serialised(encode(t or ""), width) for t in b.column(0).to_pylist()], pa.binary())], ["data"])
+            yield pa.RecordBatch.from_arrays([pa.array([serialised(ids, width) for ids in encode.groups(b.column(0).to_pylist())], pa.binary())], ["data"])
 
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     chosen = docs.join(F.broadcast(ids.distinct()), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"))
@@ -198,8 +267,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, dictionary: bytes,
         out = FileWriter(folder, f"docs-{task.partitionId():06d}-{task.taskAttemptId():08d}", dictionary, width)
         full = []
         for b in batches:
-            for d, t in zip(b.column(0).to_pylist(), b.column(1)):
-                full.append(out.add(d, serialised(encode(t.as_py() or ""), width)))
+            texts = (t.as_py() for t in b.column(1))
+            for d, ids in zip(b.column(0).to_pylist(), encode.groups(texts)):
+                full.append(out.add(d, serialised(ids, width)))
         full = [x for x in [*full, out.close()] if x]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in full], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "docs", "ids"])
 

@@ -7,7 +7,7 @@ with an L1 term is fitted on the scaled features.  Training reads a bounded samp
 the smallest hash of doc_id); ids, languages, sources and labels are never features.
 
 Null and empty texts have no n-grams and get the score of the bias alone.  Repeated rows get equal scores.  Without labels
-of both classes every score is 0.  Rows with a null doc_id are never trained on.
+of both classes every score is next to 0.  Rows with a null doc_id are never trained on.
 """
 
 from __future__ import annotations

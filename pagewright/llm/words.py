@@ -107,6 +107,12 @@ class WordHasher:
         return w
 
 
+def each(column) -> Iterator[bytes | None]:
+    """The values of an Arrow column of strings as bytes, one at a time."""
+    for x in column.cast("binary"):
+        yield x.as_py()
+
+
 def groups(texts: Iterable[bytes | None], size: int = GROUP_BYTES) -> Iterator[list[bytes]]:
     """Consecutive texts of about ``size`` bytes together; None counts as empty."""
     out, held = [], 0
