@@ -95,7 +95,7 @@ def x_occupancy(elements: DataFrame, keys: list[str]) -> DataFrame:
 
 # What marks a prompt of a form, and a line of a table of contents.
 PROMPT = r":\s*$|\bname\b|\bemail\b|\bphone\b|\baddress\b|\bdate\b|\bsignature\b|\bfirst\s*name\b|\blast\s*name\b|\bcity\b|\bstate\b|\bzip\b|\[\s*input\s*\]|\[\s*x?\s*\]|[_]{3,}"
-LEADERS = r"\.{3,}|(\.\s*){3,}|[A-Za-z\s]+\s{2,}\d+$"
+LEADERS = r"\.\s*\.\s*\.|[A-Za-z\s]\s{2,}\d+$"
 ITEM = r"^([•\-\*\d+\.]|\([a-z0-9]+\))\s+"
 # End of fixed values.
 
@@ -119,26 +119,50 @@ def region_kinds(elements: DataFrame, keys: list[str]) -> DataFrame:
     return counts.withColumn("kind", F.when(F.col("tables") > 0, "table").when(form, "form").when(toc, "toc").when(listed, "list").otherwise("text"))
 
 
-def line_ranks(g: pd.DataFrame) -> pd.DataFrame:
-    """G with ``line``: elements join the first line whose mean centre is near, and lines are ranked by mean centre.
+def ranks_of_lines(items: list[tuple]) -> list[int]:
+    """The rank of the line of every item (y0, x0, ord, y1): an item joins the first line whose mean centre is near.
 
-    A line's mean moves as it grows, so the elements are taken one by one, from the top and the left.
+    A line's mean moves as it grows, so the items are taken one by one, from the top and the left; lines are ranked by
+    their mean centres.
     """
-    g = g.sort_values(["y0", "x0", "ord"], kind="stable").reset_index(drop=True)
-    centre, height = ((g.y0 + g.y1) / 2).to_numpy(), (g.y1 - g.y0).to_numpy()
     sums: list[list[float]] = []
-    where = []
-    for c, h in zip(centre, height):
+    where = [0] * len(items)
+    for at in sorted(range(len(items)), key=lambda i: items[i][:3]):
+        y0, _, _, y1 = items[at]
+        c, h = (y0 + y1) / 2, y1 - y0
         for i, (total, tall, n) in enumerate(sums):
             if abs(c - total / n) <= max(4.0, 0.45 * min(max(1.0, h), tall / n)):
                 sums[i] = [total + c, tall + h, n + 1]
-                where.append(i)
+                where[at] = i
                 break
         else:
-            where.append(len(sums))
+            where[at] = len(sums)
             sums.append([c, h, 1])
     rank = {i: r for r, i in enumerate(sorted(range(len(sums)), key=lambda i: sums[i][0] / sums[i][2]))}
-    return g.assign(line=[rank[i] for i in where])
+    return [rank[i] for i in where]
+
+
+def with_line_ranks(elements: DataFrame, groups: list[str]) -> DataFrame:
+    """doc_id, page, the group columns (int), ord, x0 and ``line`` of elements; lines are formed inside a group.
+
+    A page is one call of the pandas function, its groups are formed inside.
+    """
+    names = [*PAGE, *groups, "ord", "x0"]
+
+    def rank(page: pd.DataFrame) -> pd.DataFrame:
+        rows = list(zip(page.y0, page.x0, page.ord, page.y1))
+        key = list(zip(*(page[g] for g in groups))) if groups else [()] * len(rows)
+        members: dict[tuple, list[int]] = {}
+        for i, k in enumerate(key):
+            members.setdefault(k, []).append(i)
+        line = [0] * len(rows)
+        for at in members.values():
+            for i, r in zip(at, ranks_of_lines([rows[i] for i in at])):
+                line[i] = r
+        return page[names].assign(line=line)
+
+    small = elements.select(*PAGE, *groups, "ord", "x0", "y0", "y1")
+    return small.groupBy(*PAGE).applyInPandas(rank, f"doc_id long, page int, {''.join(f'{g} int, ' for g in groups)}ord int, x0 double, line int")
 
 
 def reading_order(elements: DataFrame) -> DataFrame:
@@ -155,8 +179,7 @@ def reading_order(elements: DataFrame) -> DataFrame:
     text = regions(e.where(F.col("__group") == 0))
     kinds = region_kinds(text, keys).select(*keys, F.col("kind").isin("table", "form").alias("__rows"))
     placed = columns_of(text, keys).join(kinds, keys).withColumn("column", F.when(F.col("__rows"), 0).otherwise(F.col("column")))
-    small = placed.select(*keys, "column", "ord", "x0", "y0", "x1", "y1")
-    lined = small.groupBy(*keys, "column").applyInPandas(lambda g: line_ranks(g)[["doc_id", "page", "region", "column", "ord", "x0", "line"]], "doc_id long, page int, region int, column int, ord int, x0 double, line int")
+    lined = with_line_ranks(placed, ["region", "column"])
     spots = lined.select(*PAGE, "ord", F.struct(F.lit(0).alias("g"), "region", "column", "line", "x0").alias("spot"))
     rest = e.where(F.col("__group") > 0).select(*PAGE, "ord", F.struct(F.when(F.col("__texts") == 0, 0).otherwise(F.col("__group")).alias("g"), F.lit(0).alias("region"), F.lit(0).alias("column"), F.lit(0).alias("line"), F.lit(0.0).alias("x0")).alias("spot"))
     order = F.row_number().over(Window.partitionBy(*PAGE).orderBy("spot", "ord"))

@@ -80,8 +80,7 @@ def w02_columns(spark, sf_dir):
 
 @query()
 def w03_line_clusters(spark, sf_dir):
-    e = R.ocr(spark, sf_dir).select("doc_id", "page", "ord", "x0", "y0", "x1", "y1")
-    return e.groupBy(*PAGE).applyInPandas(lambda g: layout.line_ranks(g)[["doc_id", "page", "ord", "line"]], "doc_id long, page int, ord int, line int")
+    return layout.with_line_ranks(R.ocr(spark, sf_dir), []).drop("x0")
 
 
 @query(f"""WITH {_REGIONS}, o AS (SELECT doc_id, page, ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY region, y0, x0, ord)::INT AS a FROM regions) SELECT doc_id, page, count(*) AS n, min(a)::INT AS lo, max(a)::INT AS hi FROM o GROUP BY doc_id, page""")
