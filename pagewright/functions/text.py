@@ -25,6 +25,7 @@ LEADING_MARKER = "^[•●▪▫‣�·*\\-]\\s*"
 WORD = r"[a-zA-Z0-9_\-\+\*/\.,:;\(\)≠≤≥±]+|[^\s\p{L}\p{N}_]"
 NUMBER = r"\b\d+(?:[\.,/]\d+)*(?:%|[a-zA-Z]{1,2}\b)?"
 PAGE_MARK = r"(?i)---\s*Page\s*(\d+)\s*---"
+STRICT_PAGE_MARK = r"--- Page (\d+) ---"
 SECTION_MARK = r"(?i)---\s*(?:Page|Section)\s*(\d+)\s*---"
 PAGE_NUMBER = r"(?i)^\s*(\d+|page\s+\d+(\s+of\s+\d+)?|[ivxlcdm]+)\s*$"
 FORMULA_MARKS = ["\\frac", "\\sqrt", "\\sum", "\\int", "\\prod", "mathtype", "omath"]

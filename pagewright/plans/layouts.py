@@ -242,6 +242,12 @@ def u01_union(spark, sf_dir):
     return both(spark, sf_dir).groupBy(*PAGE).agg(F.count("*").alias("n"), F.count_if(F.col("ord") >= 1000).alias("n_ocr"), F.sum(F.col("x1") - F.col("x0")).alias("width"))
 
 
+@query(f"WITH {R.OCR}, b AS (SELECT doc_id, page, (ord - 1) // 4 AS block, min(y0) AS y0, max(y1) AS y1 FROM layout GROUP BY ALL) SELECT doc_id, page, 'block' AS kind, y0, y1 FROM b UNION ALL SELECT doc_id, page, 'line', y0, y1 FROM ocr")
+def u02_blocks_and_lines(spark, sf_dir):
+    blocks = R.layout(spark, sf_dir).groupBy(*PAGE, F.floor((F.col("ord") - 1) / 4)).agg(F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    return blocks.select(*PAGE, F.lit("block").alias("kind"), "y0", "y1").unionByName(R.ocr(spark, sf_dir).select(*PAGE, F.lit("line").alias("kind"), "y0", "y1"))
+
+
 @query(f"WITH {R.OCR} SELECT doc_id, page, ord FROM layout EXCEPT SELECT doc_id, page, ord FROM ocr")
 def u05_unused(spark, sf_dir):
     return R.layout(spark, sf_dir).select(*PAGE, "ord").join(R.ocr(spark, sf_dir).select(*PAGE, "ord"), [*PAGE, "ord"], "left_anti")

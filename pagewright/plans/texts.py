@@ -157,6 +157,20 @@ def f25_split_pages(spark, sf_dir):
     return _marked(spark, sf_dir, "Page").select("doc_id", F.explode(parts).alias("page", "part"))
 
 
+@query(_MARKED + f" SELECT doc_id, page, {sql_strip('t')} AS part FROM p")
+def f27_page_sections(spark, sf_dir):
+    """The strict marks of the viewer: upper-case P, single blanks."""
+    parts = text.numbered_parts(F.col("t"), text.STRICT_PAGE_MARK)
+    return _marked(spark, sf_dir, "Page").select("doc_id", F.explode(parts).alias("page", "part"))
+
+
+@query(f"WITH {R.LINES}, k AS (SELECT doc_id, ord, {sql_key('line')} AS a FROM lines), p AS (SELECT doc_id, ord, a, lead(a) OVER (PARTITION BY doc_id ORDER BY ord) AS b FROM k) SELECT doc_id, ord, len(list_intersect({_SETS.format('a')}, {_SETS.format('b')}))::INT AS both_, len(list_distinct(list_concat({_SETS.format('a')}, {_SETS.format('b')})))::INT AS either_ FROM p WHERE b IS NOT NULL")
+def u03_word_sets(spark, sf_dir):
+    keyed = text.to_nfkc(R.lines(spark, sf_dir), "line").withColumn("a", text.word_set(text.normal_key(F.col("line"))))
+    pairs = keyed.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id").orderBy("ord"))).where("b is not null")
+    return pairs.select("doc_id", "ord", F.size(F.array_intersect("a", "b")).alias("both_"), F.size(F.array_union("a", "b")).alias("either_"))
+
+
 @query(_MARKED + f" SELECT doc_id, page, {sql_strip('t')} AS part FROM p")
 def f26_split_sections(spark, sf_dir):
     parts = text.numbered_parts(F.col("t"), text.SECTION_MARK)
