@@ -31,10 +31,10 @@ ORDER = 2
 BASE = 1.5
 PRIOR = 4.0
 PROBES = 4
-BITS_PER_ITEM, MOST_BITS = 12, 1 << 29
+BITS_PER_ITEM, MOST_BITS = 12, 1 << 28
 FREQUENT = 1 << 20
 KEY_BITS = 40
-FLUSH = 3 << 19
+FLUSH = 1 << 20
 START, END = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 _U = np.uint64
 
@@ -145,6 +145,7 @@ def count_grams(docs: DataFrame, bucket_bits: int) -> DataFrame:
                     yield from flush()
                     n_held = 0
         yield from flush()
+        pa.default_memory_pool().release_unused()
 
     return docs.mapInArrow(run, "bucket int, kind int, keys binary, counts binary")
 
@@ -253,10 +254,11 @@ def scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str
     n_docs = counts.where(F.col("token") == int(np.uint64(END).astype(np.int64))).agg(F.max("n")).first()[0] or 0
     lm = build_filter(tables, bucket_bits)
     known, known_n, bound = frequent_tokens(counts)
+    block_bits = lm.block_bits
     sent = spark.sparkContext.broadcast((lm.bits.tobytes(), known.tobytes(), known_n.tobytes()))
+    del lm, known, known_n
     drop(spark, f"{top}/tables")
     scale = float(n_train + vocabulary + 1)
-    block_bits = lm.block_bits
 
     def run(batches):
         hasher = WordHasher(blank_bytes())
@@ -304,6 +306,7 @@ def scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str
                 out[4:] = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(x)) for x in (tokens, n)]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(done, n_docs_here), *map(pa.array, out[:4]), *out[4:]], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
                 done += n_docs_here
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<bigint>, times array<int>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), f"{top}/rows")

@@ -66,7 +66,7 @@ class Powers:
     def reach(self, n: int) -> None:
         if len(self.up) >= n:
             return
-        n = max(n, 2 * GROUP_BYTES)
+        n = max(n, GROUP_BYTES + GROUP_BYTES // 8)
         for name, base in (("up", self.base), ("down", self.inverse)):
             steps = np.full(n, base, dtype=np.uint64)
             steps[0] = 1
