@@ -32,7 +32,7 @@ BASE = 1.5
 PRIOR = 4.0
 PROBES = 4
 BITS_PER_ITEM, MOST_BITS = 12, 1 << 28
-FREQUENT = 1 << 20
+FREQUENT, TOP = 1 << 20, 1024
 KEY_BITS = 40
 FLUSH = 1 << 20
 START, END = 0x5851F42D4C957F2D, 0x14057B7EF767814F
@@ -226,18 +226,21 @@ def build_filter(tables: DataFrame, bucket_bits: int) -> Filter:
     return Filter(bits, bucket_bits, block_bits)
 
 
-def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sorted hashes and counts of the tokens that occur at least so often that there are at most ``most``, and that bound."""
-    level = F.when(F.col("n") < 1024, F.col("n")).otherwise(F.lit(1024))
-    seen, bound = 0, 1025
+def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, int | None]:
+    """Sorted hashes and counts of the tokens that occur at least so often that there are at most ``most``, and that bound.
+
+    The bound is None, and there are no such tokens, where already those that occur ``TOP`` times or more are too many.
+    """
+    level = F.when(F.col("n") < TOP, F.col("n")).otherwise(F.lit(TOP))
+    seen, bound = 0, None
     for r in sorted(counts.groupBy(level.alias("n")).count().collect(), key=lambda r: -r["n"]):
         seen += r["count"]
         if seen > most:
             break
         bound = r["n"]
-    got = counts.where(F.col("n") >= bound).toArrow() if bound <= 1024 else None
-    if got is None or not got.num_rows:
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), bound
+    if bound is None:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), None
+    got = counts.where(F.col("n") >= bound).toArrow()
     h, n = got["token"].to_numpy().view(np.uint64), got["n"].to_numpy()
     order = np.argsort(h)
     return h[order], n[order], bound
@@ -311,7 +314,7 @@ def scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<bigint>, times array<int>")
     rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), f"{top}/rows")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
-    looked = rare.join(counts.where(F.col("n") < bound), "token", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
+    looked = rare.join(counts if bound is None else counts.where(F.col("n") < bound), "token", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
     more = looked.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(scale))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
     out = rows.drop("rare", "times").join(more, "row", "left")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")

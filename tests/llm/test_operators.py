@@ -256,6 +256,14 @@ def test_rare_tokens_are_joined(spark, docs, monkeypatch):
     assert {(r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in bloomlm.scores(docs, docs).collect()} == whole
 
 
+def test_too_many_frequent_tokens_are_joined(spark, monkeypatch):
+    rows = spark.createDataFrame([(0, "a b c d e f " * 1100), (1, "a g")], "doc_id long, text string")
+    found = lambda: sorted((r["doc_id"], r["n_known"], round(r["base_score"], 6)) for r in bloomlm.scores(rows, rows).collect())
+    whole = found()
+    monkeypatch.setattr(bloomlm.frequent_tokens, "__defaults__", (5,))
+    assert found() == whole and [n for _, n, _ in whole] == [6601, 3]
+
+
 def test_quantised_counts():
     n = np.arange(1, 5000)
     near = bloomlm.level_count(bloomlm.levels(n)) / n
