@@ -6,9 +6,10 @@ documents.  A count c is quantised to level 1 + floor(log(c) / log(BASE)), and t
 (n-gram, level); a probe asks for level 1, 2, ... until one is missing and takes the middle of the last level as the
 count.  Probabilities are Dirichlet-smoothed: (count + PRIOR * lower order) / (history's count + PRIOR).
 
-The filter has ``BITS_PER_ITEM`` bits for each pair, but never more than ``MOST_BITS``, so what is broadcast is bounded
-whatever the corpus; beyond that bound counts are overestimated more often, and nothing is left out.  It is built in
-blocks by the executors, a block for each bucket of n-gram hashes.
+The filter has ``BITS_PER_ITEM`` bits for each pair whatever the corpus.  It lies in the shared folder in blocks, one for
+each bucket of n-gram hashes, and is neither broadcast nor read as a whole: texts to score are cut into chunks of about
+``FLUSH`` tokens, whose distinct n-grams are written there by range of buckets; a task for each range reads the range's
+blocks and n-grams and sends the levels back to the chunks.
 
 ``base_score`` is exact: of the tokens' counts the largest (at most ``FREQUENT`` tokens, 12 bytes each) are broadcast, and
 all other tokens of a document are looked up by a join.
@@ -21,9 +22,12 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.llm.blobs import RollingWriter, open_fs
 from pagewright.llm.common import crc_class, drop, scratch, stored
 from pagewright.llm.words import WordHasher, blank_bytes, each, groups, mix
 
@@ -31,10 +35,13 @@ ORDER = 2
 BASE = 1.5
 PRIOR = 4.0
 PROBES = 4
-BITS_PER_ITEM, MOST_BITS = 12, 1 << 28
+BITS_PER_ITEM = 12
 FREQUENT, TOP = 1 << 20, 1024
 KEY_BITS = 40
 FLUSH = 1 << 20
+#: Blocks that one task probes have about so many bytes; there are 64 ranges of them at least, or as many as buckets.
+RANGE_BYTES, RANGE_BITS = 16 << 20, 6
+ASK_BYTES = 64 << 20
 START, END = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 _U = np.uint64
 
@@ -83,7 +90,7 @@ def spots(key: np.ndarray, level: int, block_bits: int) -> list[np.ndarray]:
     """Bits of (key, level) inside its block."""
     x = mix(key + _U((level * 0x9E3779B97F4A7C15) % 2**64))
     step = (x >> _U(32)) | _U(1)
-    return [((x + _U(i) * step) & _U(block_bits - 1)).astype(np.int64) for i in range(PROBES)]
+    return [((x + _U(i) * step) % _U(block_bits)).astype(np.int64) for i in range(PROBES)]
 
 
 def pack5(key: np.ndarray) -> bytes:
@@ -150,20 +157,51 @@ def count_grams(docs: DataFrame, bucket_bits: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, kind int, keys binary, counts binary")
 
 
-def merged(partial: DataFrame) -> DataFrame:
-    """One row for each bucket and kind, with summed counts and the number of pairs the filter will hold."""
+def block_of(key: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The filter's block for the keys of a bucket and their levels, as bytes."""
+    flags = np.zeros(-(-max(1024, int(level.sum()) * BITS_PER_ITEM) // 8) * 8, dtype=bool)
+    for j in range(1, int(level.max()) + 1):
+        for s in spots(key[level >= j], j, len(flags)):
+            flags[s] = True
+    return np.packbits(flags, bitorder="little")
+
+
+def block_levels(block: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Levels of the keys of a bucket, by repeated probes of its block."""
+    out = np.zeros(len(key), dtype=np.uint8)
+    alive, j = np.arange(len(key)), 1
+    while len(alive) and j < 256:
+        hit = np.ones(len(alive), dtype=bool)
+        for at in spots(key[alive], j, 8 * len(block)):
+            hit &= (block[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+        alive = alive[hit]
+        out[alive] = j
+        j += 1
+    return out
+
+
+def merged(partial: DataFrame, folder: str) -> DataFrame:
+    """One row for each bucket and kind: tokens with summed counts, or the file of the filter's block and its bytes."""
 
     def run(table: pa.Table) -> pa.Table:
-        kind = table["kind"][0].as_py()
+        kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
         read = (lambda d: np.frombuffer(d, dtype="<u8")) if kind == 0 else unpack5
         keys = np.concatenate([read(d) for d in table["keys"].to_pylist()])
         counts = np.concatenate([np.frombuffer(d, dtype="<u4") for d in table["counts"].to_pylist()]).astype(np.int64)
         keys, counts = tally(keys, counts)
-        pairs = int(levels(counts).sum()) if kind else 0
-        data = keys.astype("<u8").tobytes() if kind == 0 else pack5(keys)
-        return pa.table({"bucket": table["bucket"].slice(0, 1), "kind": table["kind"].slice(0, 1), "keys": pa.array([data], pa.binary()), "counts": pa.array([counts.astype("<i8").tobytes() if kind == 0 else np.minimum(levels(counts), 255).astype("u1").tobytes()], pa.binary()), "pairs": pa.array([pairs], pa.int64())})
+        row = [bucket, kind, None, None, None, 0]
+        if kind == 0:
+            row[2:4] = keys.astype("<u8").tobytes(), counts.astype("<i8").tobytes()
+        else:
+            data = block_of(keys, np.minimum(levels(counts), 255)).tobytes()
+            fs, root = open_fs(folder)
+            fs.create_dir(root, recursive=True)
+            row[4:] = f"block-{bucket:06d}-{TaskContext.get().taskAttemptId():08d}.bits", len(data)
+            with fs.open_output_stream(f"{root}/{row[4]}", compression=None) as f:
+                f.write(data)
+        return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64()))], ["bucket", "kind", "keys", "counts", "file", "size"])
 
-    return partial.groupBy("bucket", "kind").applyInArrow(run, "bucket int, kind int, keys binary, counts binary, pairs long")
+    return partial.groupBy("bucket", "kind").applyInArrow(run, "bucket int, kind int, keys binary, counts binary, file string, size long")
 
 
 def token_counts(tables: DataFrame) -> DataFrame:
@@ -179,51 +217,81 @@ def token_counts(tables: DataFrame) -> DataFrame:
     return tables.where("kind = 0").select("keys", "counts").mapInArrow(run, "token long, n long")
 
 
-class Filter:
-    """The log-frequency Bloom filter."""
-
-    def __init__(self, bits: np.ndarray, bucket_bits: int, block_bits: int):
-        self.bits, self.bucket_bits, self.block_bits = bits, bucket_bits, block_bits
-
-    def level(self, h: np.ndarray) -> np.ndarray:
-        """Quantised counts of n-gram hashes, by repeated probes."""
-        bucket, key = split_key(h, self.bucket_bits)
-        out = np.zeros(len(h), dtype=np.int64)
-        if not len(self.bits):
-            return out
-        alive = np.arange(len(h))
-        j = 1
-        while len(alive) and j < 256:
-            hit = np.ones(len(alive), dtype=bool)
-            for s in spots(key[alive], j, self.block_bits):
-                at = bucket[alive] * self.block_bits + s
-                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            alive = alive[hit]
-            out[alive] = j
-            j += 1
-        return out
-
-
-def build_filter(tables: DataFrame, bucket_bits: int) -> Filter:
-    pairs = tables.where("kind = 1").agg(F.sum("pairs")).first()[0] or 0
-    total = min(MOST_BITS, 1 << max(10 + bucket_bits, int(np.ceil(np.log2(max(1, pairs) * BITS_PER_ITEM)))))
-    block_bits = total >> bucket_bits
+def probed(asks: DataFrame, folder: str, files: dict[int, str], bucket_bits: int, range_bits: int) -> DataFrame:
+    """(chunk, range, levels, file, index_at, index_size) of every chunk's n-grams in a range of buckets.
 
-    def run(batches):
-        for b in batches:
-            for bucket, keys, level in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                key, top = unpack5(keys), np.frombuffer(level, dtype="u1")
-                flags = np.zeros(block_bits, dtype=bool)
-                for j in range(1, int(top.max()) + 1):
-                    for s in spots(key[top >= j], j, block_bits):
-                        flags[s] = True
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+    asks: chunk, range, file, start and lengths of the range's keys, by bucket; files: the filter's blocks by bucket.
+    """
+    width = 1 << (bucket_bits - range_bits)
 
-    bits = np.zeros(total >> 3 if pairs else 0, dtype=np.uint8)
-    for r in tables.where("kind = 1").select("bucket", "keys", "counts").mapInArrow(run, "bucket int, bits binary").toLocalIterator():
-        at = r["bucket"] * block_bits >> 3
-        bits[at : at + (block_bits >> 3)] = np.frombuffer(r["bits"], dtype=np.uint8)
-    return Filter(bits, bucket_bits, block_bits)
+    def run(table: pa.Table) -> pa.Table:
+        first = table["range"][0].as_py() * width
+        fs, root = open_fs(folder)
+        blocks = {}
+        for k in range(width):
+            if first + k in files:
+                with fs.open_input_stream(f"{root}/{files[first + k]}", compression=None) as f:
+                    blocks[k] = np.frombuffer(f.read(), dtype=np.uint8)
+        found: list[bytes] = []
+        held: list[np.ndarray] = []
+
+        def answer():
+            distinct, where = np.unique(np.concatenate(held), return_inverse=True)
+            edge = np.searchsorted(distinct, np.arange(width + 1, dtype=np.uint64) << _U(KEY_BITS))
+            level = np.zeros(len(distinct), dtype=np.uint8)
+            for k, block in blocks.items():
+                s = slice(edge[k], edge[k + 1])
+                level[s] = block_levels(block, distinct[s] & _U((1 << KEY_BITS) - 1))
+            found.extend(x.tobytes() for x in np.split(level[where], np.cumsum([len(x) for x in held])[:-1]))
+            held.clear()
+
+        for name, start, lengths in zip(*(table[c].to_pylist() for c in ("file", "start", "lengths"))):
+            n = np.frombuffer(lengths, dtype="<i4")
+            with fs.open_input_file(f"{root}/{name}") as f:
+                key = unpack5(f.read_at(5 * int(n.sum()), start))
+            held.append(np.repeat(np.arange(width, dtype=np.uint64) << _U(KEY_BITS), n) | key)
+            if sum(map(len, held)) >= FLUSH:
+                answer()
+        if held:
+            answer()
+        return table.select(["chunk", "range", "file", "index_at", "index_size"]).append_column("levels", pa.array(found, pa.binary()))
+
+    # The rows are few and small, the n-grams that they point to aren't: a partition for each range, which nothing merges.
+    return asks.repartitionByRange(1 << range_bits, "range").groupBy("range").applyInArrow(run, "chunk long, range int, file string, index_at long, index_size long, levels binary")
+
+
+def chunk_scores(answers: DataFrame, folder: str, n_docs: int, scale: float) -> DataFrame:
+    """(row, score) of every text from the levels of its chunk's n-grams."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("range")
+        count = level_count(np.frombuffer(b"".join(table["levels"].to_pylist()), dtype=np.uint8).astype(np.int64))
+        name, at, size = (table[c][0].as_py() for c in ("file", "index_at", "index_size"))
+        fs, root = open_fs(folder)
+        with fs.open_input_file(f"{root}/{name}") as f:
+            data = np.frombuffer(zstandard.ZstdDecompressor().decompress(f.read_at(size, at)), dtype="<i4")
+        length, where = data[1 : 1 + data[0]], data[1 + data[0] :]
+        bounds = np.concatenate(([0], np.cumsum(length, dtype=np.int64)))
+        place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], length)
+        done = 0
+        for n in range(1, ORDER + 1):
+            inside = place >= max(1, n - 1)
+            cn = np.zeros(len(place))
+            cn[inside] = count[where[done : done + inside.sum()]]
+            done += inside.sum()
+            if n == 1:
+                cn[bounds[:-1]] = n_docs
+                p, history = (cn + 1) / scale, cn
+                continue
+            context = np.zeros(len(place))
+            context[1:] = history[:-1]
+            cn = np.minimum(cn, context)
+            p = np.where(inside & (context > 0), (cn + PRIOR * p) / (context + PRIOR), p)
+            history = np.where(inside, cn, 0)
+        score = np.add.reduceat(np.log10(p[place > 0]), bounds[:-1] - np.arange(len(length)))
+        return pa.table({"row": pa.array(table["chunk"][0].as_py() + np.arange(len(length))), "score": pa.array(score)})
+
+    return answers.groupBy("chunk").applyInArrow(run, "row long, score double")
 
 
 def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, int | None]:
@@ -251,81 +319,95 @@ def scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str
     spark = docs.sparkSession
     top = scratch(spark, "lm")
     bucket_bits = min(12, max(4, int(np.ceil(np.log2(4 * max(1, train.rdd.getNumPartitions()))))))
-    tables = stored(merged(count_grams(train.select(F.col(f"`{text}`").cast("string").alias("text")), bucket_bits)), f"{top}/tables")
+    folder = f"{top}/files"
+    tables = stored(merged(count_grams(train.select(F.col(f"`{text}`").cast("string").alias("text")), bucket_bits), folder), f"{top}/tables")
     counts = stored(token_counts(tables), f"{top}/counts")
     n_train, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_docs = counts.where(F.col("token") == int(np.uint64(END).astype(np.int64))).agg(F.max("n")).first()[0] or 0
-    lm = build_filter(tables, bucket_bits)
+    blocks = tables.where("kind = 1").select("bucket", "file", "size").collect()
+    range_bits = min(bucket_bits, max(RANGE_BITS, int(np.ceil(np.log2(max(1, sum(r["size"] for r in blocks) / RANGE_BYTES))))))
     known, known_n, bound = frequent_tokens(counts)
-    block_bits = lm.block_bits
-    sent = spark.sparkContext.broadcast((lm.bits.tobytes(), known.tobytes(), known_n.tobytes()))
-    del lm, known, known_n
+    sent = spark.sparkContext.broadcast((known.tobytes(), known_n.tobytes()))
+    del known, known_n
     drop(spark, f"{top}/tables")
     scale = float(n_train + vocabulary + 1)
 
     def run(batches):
+        task = TaskContext.get()
         hasher = WordHasher(blank_bytes())
-        data = sent.value
-        lm = Filter(np.frombuffer(data[0], dtype=np.uint8), bucket_bits, block_bits)
-        known, known_n = np.frombuffer(data[1], dtype=np.uint64), np.frombuffer(data[2], dtype=np.int64)
+        known, known_n = np.frombuffer(sent.value[0], dtype=np.uint64), np.frombuffer(sent.value[1], dtype=np.int64)
+        asks = RollingWriter(folder, f"asks-{task.partitionId():06d}-{task.taskAttemptId():08d}", ".keys", ASK_BYTES)
+        row = task.partitionId() << 33
+        ids, hashes, lengths = [], [], []
+
+        def chunk():
+            nonlocal row
+            seq, bounds = extended(np.concatenate(hashes), np.concatenate(([0], np.cumsum(np.concatenate(lengths)))))
+            n_here = len(bounds) - 1
+            out: list = [None] * 11
+            inner = np.ones(len(seq), dtype=bool)
+            inner[bounds[:-1]] = False
+            doc = np.repeat(np.arange(n_here), np.diff(bounds))
+            token, where = np.unique(seq[inner], return_inverse=True)
+            owner = doc[inner]
+            place = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
+            found = known[place] == token if len(known) else np.zeros(len(token), dtype=bool)
+            c = np.where(found, known_n[place] if len(known) else 0, 0)
+            base = np.where(found, np.log10((c + 1) / scale), 0.0)
+            first = bounds[:-1] - np.arange(n_here)
+            out[0] = pa.array(np.diff(bounds) - 1)
+            out[1] = pa.array(np.add.reduceat(found[where].astype(np.int64), first))
+            out[2] = pa.array(np.add.reduceat(base[where], first))
+            rest = ~found[where]
+            pair, n = np.unique(owner[rest] * len(token) + where[rest], return_counts=True)
+            edge = np.searchsorted(pair, np.arange(n_here + 1) * len(token))
+            out[3:5] = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(x)) for x in (token[pair % len(token)].view(np.int64), n.astype(np.int32))]
+            out[5] = pa.array(row + np.arange(n_here))
+
+            h = [x[inside & inner] for x, inside in (grams(seq, bounds, n) for n in range(1, ORDER + 1))]
+            h, where = np.unique(np.concatenate(h), return_inverse=True)
+            bucket, key = split_key(h, bucket_bits)
+            edge = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1))
+            index = np.concatenate(([n_here], np.diff(bounds), where)).astype("<i4").tobytes()
+            index = zstandard.ZstdCompressor(level=1).compress(index)
+            file, at = asks.append(pack5(key) + index)
+            step = 1 << (bucket_bits - range_bits)
+            size = np.diff(edge).astype("<i4")
+            head = [file, at + 5 * len(h), len(index), (at + 5 * edge[:-1:step]).tolist(), [size[k : k + step].tobytes() for k in range(0, len(size), step)]]
+            for k, (x, t) in enumerate(zip(head, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.binary())))):
+                out[6 + k] = pa.array([x, *[None] * (n_here - 1)], t)
+            out = [pa.concat_arrays(ids), *out]
+            row += n_here
+            for x in (ids, hashes, lengths):
+                x.clear()
+            return pa.RecordBatch.from_arrays(out, ["doc_id", "n_tokens", "n_known", "base", "rare", "times", "row", "file", "index_at", "index_size", "starts", "lengths"])
+
         for b in batches:
             done = 0
             for texts in groups(each(b.column(1))):
-                out: list = [None] * 6
                 w = hasher(texts)
-                seq, bounds = extended(w.hash, w.first)
-                n_docs_here = len(texts)
-                inner = np.ones(len(seq), dtype=bool)
-                inner[bounds[:-1]] = False
-                doc = np.repeat(np.arange(n_docs_here), np.diff(bounds))
-                token, where = np.unique(seq[inner], return_inverse=True)
-                owner = doc[inner]
-                place = np.minimum(np.searchsorted(known, token), max(len(known) - 1, 0))
-                found = known[place] == token if len(known) else np.zeros(len(token), dtype=bool)
-                c = np.where(found, known_n[place] if len(known) else 0, 0)
-                base = np.where(found, np.log10((c + 1) / scale), 0.0)
-                first = bounds[:-1] - np.arange(n_docs_here)
-                out[0] = (np.diff(bounds) - 1)
-                out[1] = np.add.reduceat(found[where].astype(np.int64), first)
-                out[2] = np.add.reduceat(base[where], first)
-
-                h1, _ = grams(seq, bounds, 1)
-                c1 = counted(lm, h1)
-                c1[bounds[:-1]] = n_docs
-                p, history = (c1 + 1) / scale, c1
-                for n in range(2, ORDER + 1):
-                    h, inside = grams(seq, bounds, n)
-                    context = np.zeros(len(seq))
-                    context[1:] = history[:-1]
-                    cn = np.minimum(counted(lm, h), context)
-                    p = np.where(inside & (context > 0), (cn + PRIOR * p) / (context + PRIOR), p)
-                    history = np.where(inside, cn, 0)
-                out[3] = np.add.reduceat(np.log10(p[inner]), first)
-
-                rest = ~found[where]
-                pair, n = np.unique(owner[rest] * len(token) + where[rest], return_counts=True)
-                edge = np.searchsorted(pair, np.arange(n_docs_here + 1) * len(token))
-                tokens, n = token[pair % len(token)].view(np.int64), n.astype(np.int32)
-                out[4:] = [pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(x)) for x in (tokens, n)]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, n_docs_here), *map(pa.array, out[:4]), *out[4:]], ["doc_id", "n_tokens", "n_known", "base", "score", "rare", "times"])
-                done += n_docs_here
+                ids.append(b.column(0).slice(done, len(texts)))
+                hashes.append(w.hash)
+                lengths.append(np.diff(w.first))
+                done += len(texts)
+                if sum(map(len, hashes)) + sum(map(len, lengths)) >= FLUSH:
+                    yield chunk()
+        if ids:
+            yield chunk()
+        asks.close()
         pa.default_memory_pool().release_unused()
 
-    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, score double, rare array<bigint>, times array<int>")
-    rows = stored(rows.withColumn("row", F.monotonically_increasing_id()), f"{top}/rows")
+    rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, rare array<bigint>, times array<int>, row long, file string, index_at long, index_size long, starts array<bigint>, lengths array<binary>")
+    rows = stored(rows, f"{top}/rows")
+    asks = rows.where("file is not null").select(F.col("row").alias("chunk"), "file", "index_at", "index_size", F.posexplode(F.arrays_zip("starts", "lengths")).alias("range", "a")).select("chunk", "range", "file", "index_at", "index_size", F.col("a.starts").alias("start"), "a.lengths")
+    scored = chunk_scores(probed(asks, folder, {r["bucket"]: r["file"] for r in blocks}, bucket_bits, range_bits), folder, n_docs, scale)
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
     looked = rare.join(counts if bound is None else counts.where(F.col("n") < bound), "token", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
     more = looked.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(scale))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))
-    out = rows.drop("rare", "times").join(more, "row", "left")
+    out = rows.select("row", "doc_id", "n_tokens", "n_known", "base").join(more, "row", "left").join(scored, "row", "left")
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(int(n_train)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score")
 
 
-def counted(lm: Filter, h: np.ndarray) -> np.ndarray:
-    """Approximate counts of n-gram hashes; equal hashes are probed once."""
-    distinct, where = np.unique(h, return_inverse=True)
-    return level_count(lm.level(distinct))[where]
-
-
 def held_out(doc_id: str = "doc_id"):
     """Rows that the models aren't trained on: crc32(doc_id as text) mod 7 is 2."""
     return F.coalesce(crc_class(doc_id, 7) == 2, F.lit(False))

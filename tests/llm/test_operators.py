@@ -264,6 +264,48 @@ def test_too_many_frequent_tokens_are_joined(spark, monkeypatch):
     assert found() == whole and [n for _, n, _ in whole] == [6601, 3]
 
 
+def exact_scores(rows):
+    """Scores without a filter: every count is exact but for taking the middle of its level."""
+    c, pairs = collections.Counter(), collections.Counter()
+    texts = {r["doc_id"]: [*BLANK.findall(ascii_lower(r["text"])), None] for r in rows}
+    for w in texts.values():
+        c.update(w)
+        pairs.update(zip(["<", *w], w))
+    near = lambda n: float(bloomlm.level_count(bloomlm.levels(np.array([n])))[0])
+    scale = sum(c.values()) + len(c) + 1.0
+    out = {}
+    for d, w in texts.items():
+        s, before = 0.0, None
+        for k, x in enumerate(w):
+            context = float(len(texts)) if k == 0 else near(c[before])
+            p = (near(c[x]) + 1) / scale
+            n = min(near(pairs["<" if k == 0 else before, x]), context)
+            s += math.log10((n + bloomlm.PRIOR * p) / (context + bloomlm.PRIOR))
+            before = x
+        out[d] = s
+    return out
+
+
+def test_filter_grows_with_pairs(spark, monkeypatch):
+    r = random.Random(3)
+    rows = spark.createDataFrame([(i, " ".join(f"{r.randrange(1 << 40):x}" for _ in range(300))) for i in range(400)], "doc_id long, text string").cache()
+    monkeypatch.setattr(bloomlm, "MOST_BITS", 1 << 14, raising=False)
+    monkeypatch.setattr(bloomlm, "FLUSH", 20_000)
+    want = exact_scores(rows.collect())
+    got = {x["doc_id"]: x["score"] for x in bloomlm.scores(rows, rows).collect()}
+    assert got.keys() == want.keys() and all(s < 0 for s in got.values())
+    assert max(abs(got[d] / want[d] - 1) for d in want) < 0.02
+
+
+def test_block_has_its_bits():
+    key = np.unique(np.random.default_rng(1).integers(0, 2**40, 200_000, dtype=np.uint64))
+    inside, outside = key[::2], key[1::2]
+    level = np.full(len(inside), 3)
+    block = bloomlm.block_of(inside, level)
+    assert 8 * len(block) >= bloomlm.BITS_PER_ITEM * level.sum()
+    assert (bloomlm.block_levels(block, inside) >= 3).all() and (bloomlm.block_levels(block, outside) > 0).mean() < 0.01
+
+
 def test_quantised_counts():
     n = np.arange(1, 5000)
     near = bloomlm.level_count(bloomlm.levels(n)) / n
