@@ -9,7 +9,7 @@ from pagewright.functions import text
 from pagewright.operators import diff, layout, matching
 from pagewright.plans import relations as R
 from pagewright.plans.registry import query
-from pagewright.sources import sinks
+from pagewright.sources import sinks, structure
 
 MATCHES = "doc_id", "page"
 
@@ -185,12 +185,15 @@ def o05_first_rows(spark, sf_dir):
 @query(f"WITH {R.ELEMENTS}, l AS (SELECT doc_id, page, ord AS line, regexp_replace(lower(left(text, 30)), '[^a-z0-9]', '', 'g') AS k FROM elements WHERE ord <= 4), e AS (SELECT doc_id, page, ord, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS k FROM elements WHERE ord <= 8), s AS (SELECT l.doc_id, l.page, line, e.ord, CASE WHEN l.k = e.k THEN 100.0 ELSE 100.0 * least(length(l.k), length(e.k)) / greatest(length(l.k), length(e.k)) END::DOUBLE AS score FROM l JOIN e ON l.doc_id = e.doc_id AND l.page = e.page AND l.k <> '' AND e.k <> '' AND (contains(e.k, l.k) OR contains(l.k, e.k))) SELECT doc_id, page, line, ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line ORDER BY score DESC, ord) AS rn FROM s) WHERE rn = 1")
 def j18_highlight(spark, sf_dir):
     e = R.elements(spark, sf_dir)
-    lines = e.where("ord <= 4").select("doc_id", "page", F.col("ord").alias("line"), text.alnum_key(F.left("text", F.lit(30))).alias("a")).where("a <> ''")
-    items = e.where("ord <= 8").select("doc_id", "page", "ord", text.alnum_key(F.col("text")).alias("b")).where("b <> ''")
-    score = F.when(F.col("a") == F.col("b"), 100.0).otherwise(100.0 * F.least(F.length("a"), F.length("b")) / F.greatest(F.length("a"), F.length("b")))
-    hits = lines.join(items, ["doc_id", "page"]).where(F.contains(F.col("b"), F.col("a")) | F.contains(F.col("a"), F.col("b"))).withColumn("score", score)
-    best = hits.groupBy("doc_id", "page", "line").agg(F.max(F.struct("score", (-F.col("ord")).alias("back"))).alias("m"))
-    return best.select("doc_id", "page", "line", (-F.col("m.back")).alias("ord"), F.round("m.score", 6).alias("score"))
+    lines = e.where("ord <= 4").select("doc_id", "page", F.col("ord").alias("line"), F.left("text", F.lit(30)).alias("text"))
+    return structure.highlights(lines, e.where("ord <= 8"))
+
+
+@query(f"WITH {R.ELEMENTS}, l AS (SELECT doc_id, page, ord AS line, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS k FROM elements), e AS (SELECT doc_id, page, ord, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS k FROM elements), s AS (SELECT l.doc_id, l.page, line, e.ord, CASE WHEN l.k = e.k THEN 100.0 ELSE 100.0 * least(length(l.k), length(e.k)) / greatest(length(l.k), length(e.k)) END::DOUBLE AS score FROM l JOIN e ON l.doc_id = e.doc_id AND l.page = e.page AND l.k <> '' AND e.k <> '' AND (contains(e.k, l.k) OR contains(l.k, e.k))) SELECT doc_id, page, line, ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line ORDER BY score DESC, ord) AS rn FROM s) WHERE rn = 1")
+def j18_whole_highlight(spark, sf_dir):
+    """Every whole line of a page against every element of it."""
+    e = R.elements(spark, sf_dir)
+    return structure.highlights(e.select("doc_id", "page", F.col("ord").alias("line"), "text"), e)
 
 
 @query(f"WITH {R.LAYOUT}, n AS (SELECT doc_id, page, string_agg(text, chr(10) ORDER BY ord) AS t FROM layout WHERE ord % 2 = 0 GROUP BY ALL) SELECT l.doc_id, l.page, l.ord FROM layout l LEFT JOIN n USING (doc_id, page) WHERE NOT coalesce(contains(n.t, l.text), false)")

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pagewright.functions import text
+
 # Tags that only group others, and what headings' tags may be called.
 GROUPING = ["Document", "Part", "Sect", "Art", "Div"]
 # End of fixed values.
@@ -73,6 +75,19 @@ def latest_result(results: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(results, "block").where(hit).groupBy("block", "wanted").agg(F.max_by("result_id", F.struct("mtime", "result_id")).alias("result_id"))
 
 
+def highlights(lines: DataFrame, items: DataFrame) -> DataFrame:
+    """For every line the element of its page that equals it, contains it or lies in it, the nearest in length first.
+
+    lines: doc_id, page, line, text; items: doc_id, page, ord, text.  Whole texts are compared, by letters and digits.
+    """
+    a, b = F.col("a"), F.col("b")
+    keyed = lambda df, name, *columns: df.select("doc_id", "page", *columns, text.alnum_key(F.col("text")).alias(name)).where(F.col(name) != "")
+    score = F.when(a == b, 100.0).otherwise(100.0 * F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b)))
+    hits = keyed(lines, "a", "line").join(keyed(items, "b", "ord"), ["doc_id", "page"]).where(F.contains(b, a) | F.contains(a, b)).withColumn("score", score)
+    best = hits.groupBy("doc_id", "page", "line").agg(F.max(F.struct("score", (-F.col("ord")).alias("back"))).alias("m"))
+    return best.select("doc_id", "page", "line", (-F.col("m.back")).alias("ord"), F.round("m.score", 6).alias("score"))
+
+
 def retained(sessions: DataFrame, keys: list[str], newest: int = 2) -> DataFrame:
     """The newest sessions by key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("mtime").desc(), F.col("session_id").desc()))
