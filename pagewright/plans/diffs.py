@@ -206,6 +206,10 @@ def j19_not_contained(spark, sf_dir):
 
 @query(f"WITH {R.LAYOUT}, s AS (SELECT doc_id, page, ord, left(text, 12) AS t FROM layout) SELECT a.doc_id, a.page, a.ord FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.doc_id = b.doc_id AND a.page = b.page AND b.ord < a.ord AND contains(b.t, a.t))")
 def j20_first_mentions(spark, sf_dir):
-    s = R.layout(spark, sf_dir).select("doc_id", "page", "ord", F.left("text", F.lit(12)).alias("t"))
-    b = s.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), F.col("ord").alias("o"), F.col("t").alias("u"))
-    return s.join(b, (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & (F.col("o") < F.col("ord")) & F.contains(F.col("u"), F.col("t")), "left_anti").select("doc_id", "page", "ord")
+    return structure.first_mentions(R.layout(spark, sf_dir).withColumn("text", F.left("text", F.lit(12))))
+
+
+@query(f"WITH {R.LAYOUT}, s AS (SELECT doc_id, page, ord, text AS t FROM layout) SELECT a.doc_id, a.page, a.ord FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.doc_id = b.doc_id AND a.page = b.page AND b.ord < a.ord AND contains(b.t, a.t))")
+def j20_whole_mentions(spark, sf_dir):
+    """Whole texts against all earlier ones of their page."""
+    return structure.first_mentions(R.layout(spark, sf_dir))

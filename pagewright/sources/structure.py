@@ -88,6 +88,13 @@ def highlights(lines: DataFrame, items: DataFrame) -> DataFrame:
     return best.select("doc_id", "page", "line", (-F.col("m.back")).alias("ord"), F.round("m.score", 6).alias("score"))
 
 
+def first_mentions(texts: DataFrame) -> DataFrame:
+    """The texts (doc_id, page, ord, text) that no earlier text of their page contains."""
+    s = texts.select("doc_id", "page", "ord", "text")
+    b = s.select(F.col("doc_id").alias("d"), F.col("page").alias("p"), F.col("ord").alias("o"), F.col("text").alias("u"))
+    return s.join(b, (F.col("doc_id") == F.col("d")) & (F.col("page") == F.col("p")) & (F.col("o") < F.col("ord")) & F.contains(F.col("u"), F.col("text")), "left_anti").select("doc_id", "page", "ord")
+
+
 def retained(sessions: DataFrame, keys: list[str], newest: int = 2) -> DataFrame:
     """The newest sessions by key."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("mtime").desc(), F.col("session_id").desc()))
