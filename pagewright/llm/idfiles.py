@@ -11,9 +11,10 @@ A reader takes the index from the end of the file and can decompress any single
 files under its hash.  Documents are stored in ascending doc_id order, nulls first, ties by a hash of the text; files
 are named in that order, and ``start`` counts the ids of all documents before.
 
-Encoding: a text is cut where non-white is followed by white space and where a letter is followed by a mark, which are
-always boundaries of the byte-level pre-tokenizer, so equal pieces have equal ids wherever they stand; a bounded cache
-holds the ids of pieces seen.
+Encoding: a text is cut where something else is followed by an ASCII blank and between ASCII letters, digits and marks, which
+are always boundaries of the byte-level pre-tokenizer, so equal pieces have equal ids wherever they stand; a bounded table
+holds the ids of pieces seen, and ids of a text are gathered from it.  The strings of added tokens in a text become those
+tokens, as the library has it.  Texts are never cut short; a very long one makes a group, and a frame, of its own.
 Null and empty texts have the end id alone; repeated rows are documents of their own; an empty table makes no file.
 """
 
@@ -26,7 +27,7 @@ import struct
 import sys
 import types
 import zlib
-from array import array
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -37,27 +38,44 @@ from pyspark.sql import functions as F
 
 from pagewright.llm.blobs import open_fs
 from pagewright.llm.common import scratch, stored
+from pagewright.llm.words import each, groups, mix
 
 MAGIC, VERSION = b"PWID", 1
 HEAD = "<4sII32s"
 ENTRY = np.dtype([("doc_id", "<i8"), ("null", "u1"), ("offset", "<u8"), ("length", "<u4"), ("ids", "<u8")])
 TAIL = "<QQ4s"
 END_ID = 2
-#: The dictionary is trained on at most so many documents, those with the smallest hash of doc_id.
-SAMPLE, DICTIONARY_BYTES, SAMPLE_BYTES = 2_000, 64 << 10, 8 << 10
+#: The dictionary is trained on at most so many documents, those with the smallest hash of doc_id, and so many characters of each.
+SAMPLE, DICTIONARY_BYTES, SAMPLE_CHARS = 2_000, 64 << 10, 8 << 10
 LEVEL = 3
-CACHED = 120_000
-GROUP_CHARS = 1 << 20
+#: The table of known pieces has so many slots, of which half may be used, and at most so many ids.
+SLOTS, TABLE_IDS = 1 << 21, 1 << 23
+#: Pieces of more bytes than fit two words are kept in a dictionary; longer ones than LONGEST aren't kept.
+SHORT, LONGEST = 15, 256
+GROUP_BYTES = 1 << 20
 FILE_BYTES = 64 << 20
-#: Unicode's White_Space.
-WHITE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Letters and marks between which the pre-tokenizer always cuts; the apostrophe is none of them.
-LETTERS = "A-Za-z\\xc0-\\xd6\\xd8-\\xf6\\xf8-\\xff"
-MARKS = "!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~"
-PIECES = re.compile(f"[{WHITE}]*(?:[{LETTERS}]+(?=[{MARKS}])|[^{WHITE}]+)|[{WHITE}]+")
-LETTERS_ONLY = re.compile(f" ?[{LETTERS}]+")
-#: A blank beside other white space.
-UNEVEN = re.compile(f" [{WHITE}]|[{WHITE}] ")
+_U = np.uint64
+#: Classes of bytes: others, ASCII blanks, letters, digits, and marks without the apostrophe.
+OTHER, BLANK, LETTER, DIGIT, MARK = range(5)
+
+
+def byte_classes() -> np.ndarray:
+    out = np.full(256, OTHER, dtype=np.uint8)
+    out[33:127] = MARK
+    out[[0x20, 9, 10, 11, 12, 13]] = BLANK
+    out[48:58] = DIGIT
+    out[65:91] = out[97:123] = LETTER
+    out[39] = OTHER
+    return out
+
+
+def cut_table() -> np.ndarray:
+    """Whether the pre-tokenizer always cuts between bytes of two classes, at 8 * first + second."""
+    out = np.zeros(64, dtype=bool)
+    for a in range(5):
+        for b in range(5):
+            out[8 * a + b] = (a != BLANK and b == BLANK) or (a != b and min(a, b) >= LETTER)
+    return out
 
 
 def kept_by_process() -> dict:
@@ -65,6 +83,11 @@ def kept_by_process() -> dict:
     return sys.modules.setdefault("__pagewright_kept__", types.ModuleType("__pagewright_kept__")).__dict__
 
 
+CLASS, CUT = byte_classes(), cut_table()
+#: Pieces that are one pre-token: letters, digits or marks, one blank before them or none.
+ONE_TOKEN = re.compile(" ?(?:[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+|[!\"#-&(-/:-@\\[-`{-~]+)")
+
+
 def byte_letters() -> dict[int, str]:
     """How a byte-level vocabulary writes bytes: printable ones as themselves, the others as the letters from 256 on, in order."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -72,42 +95,113 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) if b in shown else chr(256 + other.index(b)) for b in range(256)}
 
 
-class Kept:
-    """A bounded dictionary; when it is full, what was asked for again since it was last cut stays."""
+BYTE_LETTERS = byte_letters()
+KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def after_wide_blank(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends before each place is a blank outside ASCII, in UTF-8."""
+    x, y, z = (buf[at - k].astype(np.uint32) if k <= 2 else buf[np.maximum(at - k, 0)].astype(np.uint32) for k in (1, 2, 3))
+    three = (z << 16) | (y << 8) | x
+    wide = (y == 0xC2) & ((x == 0x85) | (x == 0xA0))
+    wide |= (three >= 0xE28080) & (three <= 0xE2808A)
+    for c in (0xE19A80, 0xE280A8, 0xE280A9, 0xE280AF, 0xE2819F, 0xE38080):
+        wide |= three == c
+    return wide
 
-    def __init__(self, most: int):
-        self.most, self.ids, self.again = most, {}, set()
 
-    def missing(self, used: set[str]) -> list[str]:
-        """Those of used that aren't held; makes room for them, but never drops any of used."""
-        new = used.difference(self.ids)
-        seen = used - new
-        self.again |= seen
-        if len(self.ids) + len(new) > self.most:
-            stay = self.again if 2 * len(self.again) < self.most else seen
-            self.ids = {k: self.ids[k] for k in stay if k in self.ids}
-            self.again = set()
-        return list(new)
+def starts_of(buf: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Where pieces start in texts laid end to end; ``bounds`` are the texts' bounds."""
+    c = CLASS[buf]
+    cut = np.empty(len(buf), dtype=bool)
+    cut[:1] = True
+    cut[1:] = CUT[(c[:-1] << 3) | c[1:]]
+    doubtful = np.flatnonzero(cut[2:] & (buf[1:-1] >= 0x80)) + 2
+    if len(doubtful):
+        cut[doubtful[after_wide_blank(buf, doubtful)]] = False
+    cut[bounds[:-1][bounds[:-1] < len(buf)]] = True
+    return np.flatnonzero(cut)
+
+
+class Table:
+    """Ids of pieces: a hash table of numpy arrays whose keys are the pieces' own bytes, so that equal keys are equal pieces.
+
+    A piece's first eight bytes are one word of its key; the other holds the next seven and the length, which is never 0.
+    """
+
+    def __init__(self, slots: int):
+        self.slots = slots
+        self.low, self.high = np.zeros(self.slots, dtype=np.uint64), np.zeros(self.slots, dtype=np.uint64)
+        self.entry = np.zeros(self.slots, dtype=np.int32)
+        self.start, self.count, self.ids, self.n, self.n_ids = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int32), np.zeros(4096, dtype=np.uint32), 0, 0
+        self.long: dict[bytes, int] = {}
+
+    def add(self, ids: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """New entries, for ids one after another and how many each has."""
+        while self.n + len(count) > len(self.start):
+            self.start, self.count = (np.concatenate((x, np.zeros_like(x))) for x in (self.start, self.count))
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate((self.ids, np.zeros_like(self.ids)))
+        new = np.arange(self.n, self.n + len(count))
+        self.count[new] = count
+        self.start[new] = self.n_ids + np.cumsum(count) - count
+        self.ids[self.n_ids : self.n_ids + len(ids)] = ids
+        self.n, self.n_ids = self.n + len(count), self.n_ids + len(ids)
+        return new
+
+    def spot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(low + high * _U(0x9E3779B97F4A7C15)) & _U(self.slots - 1)).astype(np.int64)
+
+    def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Entries of keys, -1 for unknown ones."""
+        out = np.full(len(low), -1, dtype=np.int64)
+        at, spot = np.arange(len(low)), self.spot(low, high)
+        while len(at):
+            there = self.high[spot]
+            hit = (there == high[at]) & (self.low[spot] == low[at])
+            out[at[hit]] = self.entry[spot[hit]]
+            on = ~hit & (there != 0)
+            at, spot = at[on], (spot[on] + 1) & (self.slots - 1)
+        return out
+
+    def insert(self, low: np.ndarray, high: np.ndarray, entry: np.ndarray) -> None:
+        """Puts distinct unknown keys in; the table grows if they don't fit."""
+        while 2 * (np.count_nonzero(self.high) + len(low)) > self.slots:
+            used = np.flatnonzero(self.high)
+            old = self.low[used], self.high[used], self.entry[used]
+            self.slots *= 2
+            self.low, self.high, self.entry = np.zeros(self.slots, dtype=np.uint64), np.zeros(self.slots, dtype=np.uint64), np.zeros(self.slots, dtype=np.int32)
+            self._place(*old)
+        self._place(low, high, entry)
+
+    def _place(self, low: np.ndarray, high: np.ndarray, entry: np.ndarray) -> None:
+        at, spot = np.arange(len(low)), self.spot(low, high)
+        while len(at):
+            free = np.flatnonzero(self.high[spot] == 0)
+            _, first = np.unique(spot[free], return_index=True)
+            put = free[first]
+            self.low[spot[put]], self.high[spot[put]], self.entry[spot[put]] = low[at[put]], high[at[put]], entry[at[put]]
+            left = np.ones(len(at), dtype=bool)
+            left[put] = False
+            at, spot = at[left], (spot[left] + 1) & (self.slots - 1)
 
 
 class Encoder:
-    """Ids of texts as little-endian 32-bit integers, by the tokenizers library, with bounded caches of words and pieces.
+    """Ids of texts by the tokenizers library, each kind of piece encoded once as long as a bounded table holds it.
 
-    Most texts have single blanks between words only; they are split at blanks, and a word, with its blank, is looked up.
-    Unknown words are cut into pieces.  An unknown piece of letters is one pre-token and goes to the tokenizer's model;
-    other pieces, and other texts' pieces, go through the whole tokenizer.
+    Texts laid end to end are cut into pieces, pieces are looked up all at once, and only unknown ones are encoded.  Texts
+    that contain an added token, and all texts of a tokenizer that isn't plainly byte-level, are encoded as a whole.
     """
 
-    def __init__(self, path: str, cached: int = CACHED):
+    def __init__(self, path: str, slots: int = SLOTS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.words, self.pieces = Kept(cached), Kept(2 * cached)
-        self.letters = byte_letters()
-        plain = self.tokenizer.normalizer is None and type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
-        self.direct = plain and self._direct(" Level") == self._whole([" Level"])[0]
+        self.most, self.table = slots, Table(slots)
+        cutter = self.tokenizer.pre_tokenizer
+        self.plain = self.tokenizer.normalizer is None and type(cutter).__name__ == "ByteLevel" and not cutter.add_prefix_space and cutter.use_regex
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     @classmethod
     def of_process(cls, path: str):
@@ -116,43 +210,80 @@ class Encoder:
             kept[path] = cls(path)
         return kept[path]
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _whole(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _direct(self, piece: str) -> bytes:
+    def _direct(self, piece: str) -> list[int]:
         """Ids of a piece that is one pre-token."""
-        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
-
-    def _cut(self, texts: list[str]) -> list[bytes]:
-        """Ids of texts, piece by piece."""
-        cut = [PIECES.findall(t) for t in texts]
-        new = self.pieces.missing(set().union(*cut))
-        simple = [p for p in new if self.direct and LETTERS_ONLY.fullmatch(p)]
-        self.pieces.ids.update(zip(simple, map(self._direct, simple)))
-        rest = [p for p in new if p not in self.pieces.ids]
-        self.pieces.ids.update(zip(rest, self._whole(rest)))
-        get = self.pieces.ids.__getitem__
-        return [b"".join(map(get, p)) for p in cut]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        plain = [bool(t) and t[0] != " " and t[-1] != " " and not UNEVEN.search(t) for t in texts]
-        split = [t.split(" ") if ok else [] for t, ok in zip(texts, plain)]
-        new = self.words.missing(set().union(*(w[1:] for w in split)))
-        self.words.ids.update(zip(new, self._cut([" " + w for w in new])))
-        firsts = self._cut([w[0] if ok else t for t, w, ok in zip(texts, split, plain)])
-        get = self.words.ids.__getitem__
-        return [b"".join([f, *map(get, w[1:])]) for f, w in zip(firsts, split)]
-
-    def groups(self, texts, size: int = GROUP_CHARS):
-        """Ids of texts one by one; what is new is encoded together for a group of texts.  None counts as empty."""
-        held, n = [], 0
-        for t in texts:
-            held.append(t or "")
-            n += len(held[-1])
-            if n >= size:
-                yield from self(held)
-                held, n = [], 0
-        yield from self(held)
+        return [t.id for t in self.tokenizer.model.tokenize(piece.encode().decode("latin-1").translate(BYTE_LETTERS))]
+
+    def _known(self, pieces: list[bytes]) -> np.ndarray:
+        """New entries for unknown pieces; those that are one pre-token go to the tokenizer's model without its other steps."""
+        texts = [p.decode() for p in pieces]
+        single = [ONE_TOKEN.fullmatch(t) is not None for t in texts]
+        rest = iter(self._whole([t for t, s in zip(texts, single) if not s]))
+        ids = [self._direct(t) if s else next(rest) for t, s in zip(texts, single)]
+        return self.table.add(np.array(list(chain.from_iterable(ids)), dtype=np.uint32), np.array([len(x) for x in ids], dtype=np.int64))
+
+    def _entries(self, data: bytes, buf: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Table entries of the pieces of texts laid end to end, and the pieces' starts."""
+        t = self.table
+        start = starts_of(buf, bounds)
+        size = np.diff(np.append(start, len(buf)))
+        words = np.ndarray(len(buf) + 1, dtype="<u8", buffer=data, strides=(1,))
+        low = words[start] & KEEP[np.minimum(size, 8)]
+        high = np.zeros(len(start), dtype=np.uint64)
+        two = np.flatnonzero(size > 8)
+        high[two] = words[np.minimum(start[two] + 8, len(buf))] & KEEP[np.minimum(size[two] - 8, 7)]
+        high |= np.minimum(size, 255).astype(np.uint64) << _U(56)
+        short = size <= SHORT
+        if short.all():
+            entry = t.find(low, high)
+        else:
+            entry = np.full(len(start), -1, dtype=np.int64)
+            entry[short] = t.find(low[short], high[short])
+        new = np.flatnonzero(short & (entry < 0))
+        if len(new):
+            order = new[np.lexsort((low[new], high[new]))]
+            head = np.concatenate(([True], (low[order[1:]] != low[order[:-1]]) | (high[order[1:]] != high[order[:-1]])))
+            first = order[head]
+            made = self._known([data[a:b] for a, b in zip(start[first].tolist(), (start[first] + size[first]).tolist())])
+            t.insert(low[first], high[first], made)
+            entry[order] = made[np.cumsum(head) - 1]
+        long = np.flatnonzero(~short)
+        if len(long):
+            pieces = [data[a:b] for a, b in zip(start[long].tolist(), (start[long] + size[long]).tolist())]
+            unknown = list({p: None for p in pieces if p not in t.long})
+            made = dict(zip(unknown, self._known(unknown).tolist()))
+            t.long.update((p, e) for p, e in made.items() if len(p) <= LONGEST)
+            entry[long] = [made[p] if p in made else t.long[p] for p in pieces]
+        return entry, start
+
+    def __call__(self, texts: list[bytes], end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts one after another, each followed by ``end``, and the texts' bounds in them."""
+        if 2 * self.table.n > self.most or self.table.n_ids > TABLE_IDS:
+            self.table = Table(self.most)
+        whole = [not self.plain or any(a in x for a in self.added) for x in texts]
+        apart = dict(zip(np.flatnonzero(whole).tolist(), self._whole([x.decode() for x, w in zip(texts, whole) if w])))
+        bounds = np.concatenate(([0], np.cumsum([0 if w else len(x) for x, w in zip(texts, whole)]))).astype(np.int64)
+        data = b"".join([*(x for x, w in zip(texts, whole) if not w), b"\0" * 8])
+        buf = np.frombuffer(data, dtype=np.uint8)[: bounds[-1]]
+        entry, start = self._entries(data, buf, bounds) if len(buf) else (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+        t = self.table
+        more = [*apart.values(), [] if end is None else [end]]
+        last = t.add(np.array(list(chain.from_iterable(more)), dtype=np.uint32), np.array([len(x) for x in more], dtype=np.int64))
+        first = np.searchsorted(start, bounds)
+        # Every text's pieces, its own entry if it is encoded apart, and the end.
+        extra = np.full((len(texts), 2), last[-1])
+        used = np.tile([False, end is not None], (len(texts), 1))
+        for k, i in enumerate(apart):
+            extra[i, 0], used[i, 0] = last[k], True
+        line = np.insert(entry, np.repeat(first[1:], used.sum(axis=1)), extra[used])
+        n = t.count[line].astype(np.int64)
+        done = np.cumsum(n)
+        walk = np.repeat(t.start[line] - (done - n), n) + np.arange(done[-1] if len(done) else 0)
+        ends = first[1:] + np.cumsum(used.sum(axis=1))
+        return t.ids[walk], np.concatenate(([0], np.concatenate(([0], done))[ends]))
 
 
 def width_of(path: str) -> int:
@@ -162,15 +293,8 @@ def width_of(path: str) -> int:
     return 2 if max(Tokenizer.from_file(path).get_vocab_size(), END_ID + 1) <= 1 << 16 else 4
 
 
-def serialised(ids: bytes, width: int, end: int | None = END_ID) -> bytes:
-    """32-bit ids, the end id appended, in ``width`` bytes each."""
-    a = np.frombuffer(ids, dtype="<u4")
-    return (a if end is None else np.append(a, np.uint32(end))).astype(f"<u{width}").tobytes()
-
-
 def train(samples: list[bytes]) -> bytes:
     """A zstandard dictionary; where there is too little to train on, the samples themselves."""
-    samples = [s[:SAMPLE_BYTES] for s in samples]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except (zstandard.ZstdError, ValueError):
@@ -182,10 +306,12 @@ class FileWriter:
         self.fs, self.folder = open_fs(folder)
         self.fs.create_dir(self.folder, recursive=True)
         self.stem, self.width, self.digest = stem, width, hashlib.sha256(dictionary).digest()
-        self.pack = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(dictionary))
+        shared = zstandard.ZstdCompressionDict(dictionary)
+        shared.precompute_compress(level=LEVEL)
+        self.pack = zstandard.ZstdCompressor(dict_data=shared)
         self.k, self.out = 0, None
 
-    def add(self, doc_id: int | None, data: bytes):
+    def add(self, doc_id: int | None, data: bytes | memoryview):
         """Appends a document's serialised ids; returns the file's (name, documents, ids) once it is full."""
         if self.out is None:
             self.name, self.index = f"{self.stem}-{self.k:04d}.ids", []
@@ -245,17 +371,30 @@ def store_dictionary(folder: str, dictionary: bytes) -> None:
         f.write(dictionary)
 
 
+def sample_pieces(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """(text): a piece of at most SAMPLE_CHARS characters, from a hashed place, of a text of each of ``sample`` doc_ids at most.
+
+    The doc_ids with the smallest hashes are taken; of an id's texts the one with the smallest hash, so reruns agree.
+    """
+    ids = docs.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select(F.col("doc_id").alias("wanted"))
+    at = F.pmod(F.xxhash64("doc_id", "text"), F.greatest(F.lit(1).cast("long"), F.char_length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
+    piece = F.struct(F.xxhash64("text").alias("hash"), F.substring("text", at, F.lit(SAMPLE_CHARS)).alias("text"))
+    chosen = docs.join(F.broadcast(ids), docs["doc_id"].eqNullSafe(ids["wanted"]), "left_semi").select("doc_id", piece.alias("piece"))
+    return chosen.groupBy("doc_id").agg(F.min("piece").alias("piece")).select(F.col("piece.text").alias("text"))
+
+
 def learn_dictionary(docs: DataFrame, tokenizer: str, width: int, sample: int = SAMPLE) -> bytes:
     """docs: doc_id, text."""
 
     def run(batches):
         encode = Encoder.of_process(tokenizer)
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([serialised(ids, width) for ids in encode.groups(b.column(0).to_pylist())], pa.binary())], ["data"])
+            for texts in groups(each(b.column(0)), GROUP_BYTES):
+                ids, bounds = encode(texts, END_ID)
+                data = memoryview(ids.astype(f"<u{width}").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([bytes(data[width * x : width * y]) for x, y in pairwise(bounds.tolist())], pa.binary())], ["data"])
 
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = docs.join(F.broadcast(ids.distinct()), docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi").select(F.substring("text", 1, SAMPLE_BYTES).alias("text"))
-    return train(sorted(r["data"] for r in chosen.limit(2 * sample).mapInArrow(run, "data binary").toArrow().to_pylist()))
+    return train(sorted(r["data"] for r in sample_pieces(docs, sample).mapInArrow(run, "data binary").toArrow().to_pylist()))
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str, dictionary: bytes, width: int) -> DataFrame:
@@ -267,9 +406,12 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str, dictionary: bytes,
         out = FileWriter(folder, f"docs-{task.partitionId():06d}-{task.taskAttemptId():08d}", dictionary, width)
         full = []
         for b in batches:
-            texts = (t.as_py() for t in b.column(1))
-            for d, ids in zip(b.column(0).to_pylist(), encode.groups(texts)):
-                full.append(out.add(d, serialised(ids, width)))
+            doc_ids = iter(b.column(0).to_pylist())
+            for texts in groups(each(b.column(1)), GROUP_BYTES):
+                ids, bounds = encode(texts, END_ID)
+                data = memoryview(ids.astype(f"<u{width}").tobytes())
+                for x, y in pairwise(bounds.tolist()):
+                    full.append(out.add(next(doc_ids), data[width * x : width * y]))
         full = [x for x in [*full, out.close()] if x]
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in full], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "docs", "ids"])
 

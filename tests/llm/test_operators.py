@@ -324,9 +324,16 @@ def test_token_files(spark, docs, empty):
     whole = Tokenizer.from_file(path)
     r = random.Random(5)
     texts = ["".join(r.choice("ab'é .,\n\t!sS-1² ́_中ß\x1c\x85\xa0|<>") for _ in range(r.randint(0, 40))) for _ in range(3000)] + ["a<|endoftext|> b", "it's l'eau, don't", "  two  blanks\n\n x "]
-    encode = idfiles.Encoder(path, 50)
-    for t, ids in zip(texts, encode.groups(texts, 500)):
-        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids, t
+    texts += ["x" * 300 + " " + "y" * 300, "\xa0 a", "a\xa0 b", "", "a\u2003 b\u3000\n c", "0x1F-a_b'c 'd"] + ["".join(r.choice(["the ", "cat", " 12", "é", "\u2003", "\u1680", " ", "'s", "Ωμέγα", "\n", "<|endoftext|>"]) for _ in range(r.randint(0, 60))) for _ in range(2000)]
+    encode = idfiles.Encoder(path, 64)
+    for at in range(0, len(texts), 40):
+        some = texts[at : at + 40]
+        ids, bounds = encode([t.encode() for t in some], 7 if at % 80 else None)
+        for t, x, y in zip(some, bounds, bounds[1:]):
+            assert ids[x:y].tolist() == whole.encode(t, add_special_tokens=False).ids + ([7] if at % 80 else []), t
+    other = idfiles.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    ids, bounds = other([b"Some WORDS here", b""], 7)
+    assert ids.tolist() == [*other.tokenizer.encode("Some WORDS here", add_special_tokens=False).ids, 7, 7] and bounds[-1] == len(ids)
     rows = sorted(docs.collect(), key=lambda x: (x["doc_id"] is not None, x["doc_id"] or 0))
     back, folder = idfiles.encoded(docs, path)
     got = sorted(map(tuple, back.collect()), key=lambda x: x[1])
