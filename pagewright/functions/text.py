@@ -28,6 +28,7 @@ PAGE_MARK = r"(?i)---\s*Page\s*(\d+)\s*---"
 STRICT_PAGE_MARK = r"--- Page (\d+) ---"
 SECTION_MARK = r"(?i)---\s*(?:Page|Section)\s*(\d+)\s*---"
 PAGE_NUMBER = r"(?i)^\s*(\d+|page\s+\d+(\s+of\s+\d+)?|[ivxlcdm]+)\s*$"
+FORMULA_SIGN = "[∀-⋿✕✖✚±×÷]"
 FORMULA_MARKS = ["\\frac", "\\sqrt", "\\sum", "\\int", "\\prod", "mathtype", "omath"]
 # End of fixed values.
 
@@ -38,9 +39,9 @@ def nfkc(s: pd.Series) -> pd.Series:
 
 
 def to_nfkc(df: DataFrame, column: str) -> DataFrame:
-    """df with the column in NFKC; ASCII rows don't reach Python."""
-    plain = F.col(column).isNull() | ~F.col(column).rlike(r"[^\x00-\x7F]")
-    return df.where(plain).unionByName(df.where(~plain).withColumn(column, nfkc(column)))
+    """df, read once, with the column in NFKC; Python gets nulls for ASCII rows."""
+    other = F.when(F.col(column).rlike(r"[^\x00-\x7F]"), F.col(column))
+    return df.withColumn(column, F.coalesce(nfkc(other), column))
 
 
 def strip(c: Column) -> Column:
@@ -60,10 +61,11 @@ def word_set(c: Column) -> Column:
     return F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """F6 of two normal keys: Jaccard of word sets, raised to 0.85 for a long text inside one of like length."""
-    both, either = F.size(F.array_intersect(word_set(a), word_set(b))), F.size(F.array_union(word_set(a), word_set(b)))
-    jaccard = both / either
+def similarity(a: Column, b: Column, set_a: Column | None = None, set_b: Column | None = None) -> Column:
+    """F6 of two normal keys: Jaccard of word sets (computed here unless given), raised to 0.85 for a long text inside one of like length."""
+    set_a, set_b = word_set(a) if set_a is None else set_a, word_set(b) if set_b is None else set_b
+    both = F.size(F.array_intersect(set_a, set_b))
+    jaccard = both / (F.size(set_a) + F.size(set_b) - both)
     shorter, longer = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
     inside = (F.contains(a, b) | F.contains(b, a)) & (shorter > 10) & (shorter / longer > 0.65)
     return F.when((a == "") | (b == ""), 0.0).when(a == b, 1.0).when(inside, F.greatest(jaccard, F.lit(0.85))).otherwise(jaccard)
@@ -189,7 +191,7 @@ def is_formula(c: Column) -> Column:
     for m in FORMULA_MARKS:
         mark = mark | F.contains(F.lower(t), F.lit(m))
     prose = F.size(F.filter(F.split(t, r"(?U)\s+"), lambda w: w.rlike("^[A-Za-z]{3,}$"))) >= 5
-    sign = t.rlike("[∀-⋿]")
+    sign = t.rlike(FORMULA_SIGN)
     no_code = ~t.rlike("<|>|==|!=|http|href|xmlns")
     equation = F.contains(t, F.lit("=")) & no_code & t.rlike(r"\b[a-zA-Z_0-9]\s*=\s*[-0-9a-zA-Z+*/()]")
     fraction = t.rlike(r"\b[a-zA-Z0-9]+/[a-zA-Z0-9]+") & t.rlike(r"[-+*/^=]")

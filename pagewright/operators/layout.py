@@ -9,9 +9,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.functions.geometry import Box, iou, overlap_ratio, relationship
-from pagewright.functions.text import normal_key, similarity, strip
+from pagewright.functions.text import normal_key, similarity, strip, word_set
 
 PAGE = ["doc_id", "page"]
 
@@ -42,11 +43,11 @@ def duplicates(elements: DataFrame) -> DataFrame:
     Texts must be in NFKC.  Of equal scores the earliest native element counts.  A match needs 0.70 where any native
     element overlaps, else 0.90 and more than 15 characters.
     """
-    keyed = elements.withColumn("key", normal_key(F.col("text"))).where(F.length("key") >= 2)
+    keyed = elements.select(*PAGE, "ord", "source", "x0", "y0", "x1", "y1", normal_key(F.col("text")).alias("key")).where(F.length("key") >= 2).withColumn("set", word_set(F.col("key")))
     ocr = renamed(keyed.where(F.col("source").isin("ocr", "pp_structure")), "_o")
     native = renamed(keyed.where(F.col("source").isin("native", "docx")), "_n")
     shared = iou(Box.of(suffix="_o"), Box.of(suffix="_n"))
-    scored = ocr.join(native, PAGE).withColumn("iou", shared).withColumn("words", similarity(F.col("key_o"), F.col("key_n")))
+    scored = ocr.join(native, PAGE).withColumn("iou", shared).withColumn("words", similarity(F.col("key_o"), F.col("key_n"), F.col("set_o"), F.col("set_n")))
     scored = scored.withColumn("score", F.when(F.col("iou") > 0.15, F.greatest("words", 0.70 + F.col("iou") * 0.30)).otherwise(F.col("words")))
     best = scored.groupBy(*PAGE, "ord_o").agg(F.max(F.struct("score", (-F.col("ord_n")).alias("back"))).alias("best"), F.max(F.col("iou") > 0.15).alias("touches"), F.first(F.length("key_o")).alias("chars"))
     score = F.col("best.score")
@@ -142,27 +143,31 @@ def ranks_of_lines(items: list[tuple]) -> list[int]:
     return [rank[i] for i in where]
 
 
-def with_line_ranks(elements: DataFrame, groups: list[str]) -> DataFrame:
-    """doc_id, page, the group columns (int), ord, x0 and ``line`` of elements; lines are formed inside a group.
-
-    A page is one call of the pandas function, its groups are formed inside.
-    """
-    names = [*PAGE, *groups, "ord", "x0"]
-
-    def rank(page: pd.DataFrame) -> pd.DataFrame:
-        rows = list(zip(page.y0, page.x0, page.ord, page.y1))
-        key = list(zip(*(page[g] for g in groups))) if groups else [()] * len(rows)
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def line_ranks(pages: pd.Series) -> pd.Series:
+    """W3 for many pages at once: the rank of the line of every item of a page, in the items' order.  Items: group, y0, x0, ord, y1."""
+    out = []
+    for page in pages:
         members: dict[tuple, list[int]] = {}
-        for i, k in enumerate(key):
-            members.setdefault(k, []).append(i)
-        line = [0] * len(rows)
+        for i, item in enumerate(page):
+            members.setdefault(tuple(item["group"]), []).append(i)
+        line = [0] * len(page)
         for at in members.values():
-            for i, r in zip(at, ranks_of_lines([rows[i] for i in at])):
+            for i, r in zip(at, ranks_of_lines([(page[i]["y0"], page[i]["x0"], page[i]["ord"], page[i]["y1"]) for i in at])):
                 line[i] = r
-        return page[names].assign(line=line)
+        out.append(line)
+    return pd.Series(out, dtype=object)
 
-    small = elements.select(*PAGE, *groups, "ord", "x0", "y0", "y1")
-    return small.groupBy(*PAGE).applyInPandas(rank, f"doc_id long, page int, {''.join(f'{g} int, ' for g in groups)}ord int, x0 double, line int")
+
+def with_line_ranks(elements: DataFrame, groups: list[str]) -> DataFrame:
+    """doc_id, page, the group columns (int), ord, x0 and ``line`` of elements; lines are formed inside a group.
+
+    A page is one row for Python, so a batch holds many pages.
+    """
+    group = F.array(*[F.col(g).cast("int") for g in groups]).cast("array<int>").alias("group")
+    pages = elements.groupBy(*PAGE).agg(F.collect_list(F.struct(group, "y0", "x0", "ord", "y1")).alias("items"))
+    lined = pages.withColumn("lines", line_ranks("items")).select(*PAGE, F.explode(F.arrays_zip("items", "lines")).alias("i"))
+    return lined.select(*PAGE, *[F.col("i.items.group")[k].alias(g) for k, g in enumerate(groups)], F.col("i.items.ord").alias("ord"), F.col("i.items.x0").alias("x0"), F.col("i.lines").alias("line"))
 
 
 def reading_order(elements: DataFrame) -> DataFrame:

@@ -29,8 +29,8 @@ def is_fraction_term(c: Column) -> Column:
 
 
 def short_terms(e: DataFrame) -> DataFrame:
-    """Items whose text is cut to a short term, as candidates for fractions."""
-    t = F.regexp_replace(F.left("text", F.lit(2)), "[.,;:!? ]", "")
+    """Items that carry the length of their text, a short number, as candidates for fractions."""
+    t = F.length("text").cast("string")
     return e.select("doc_id", "page", "ord", t.alias("text"), "x0", "y0", "x1", (F.col("y0") + 14.0).alias("y1")).where(is_fraction_term(F.col("text")))
 
 
@@ -213,12 +213,14 @@ def cohesion_rows(g: pd.DataFrame) -> pd.DataFrame:
 
 
 def tagging_summary(elements: DataFrame) -> DataFrame:
-    """A2: counts of tagged and inferred elements, of content types and tag sources, and the document's status."""
-    by = lambda c, name: elements.groupBy("doc_id", F.coalesce(c, F.lit("unknown")).alias("k")).agg(F.count("*").alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias(name))
-    totals = elements.groupBy("doc_id").agg(F.count("*").alias("total"), F.count_if("is_tagged").alias("tagged"))
-    out = totals.join(by("content_type", "content_types"), "doc_id").join(by("tag_source", "tag_sources"), "doc_id")
+    """A2: counts of tagged and inferred elements, of content types and tag sources, and the document's status; one pass over the elements."""
+    kinds = elements.groupBy("doc_id", *[F.coalesce(c, F.lit("unknown")).alias(c) for c in ("content_type", "tag_source")]).agg(F.count("*").alias("n"), F.count_if("is_tagged").alias("tagged"))
+    out = kinds.groupBy("doc_id").agg(F.sum("n").alias("total"), F.sum("tagged").alias("tagged"), F.collect_list(F.struct("content_type", "tag_source", "n")).alias("kinds"))
+    of = lambda c, k: F.aggregate(F.filter("kinds", lambda x: x[c] == k), F.lit(0).cast("long"), lambda n, x: n + x["n"])
+    by = lambda c: F.map_from_entries(F.transform(F.array_distinct(F.transform("kinds", lambda x: x[c])), lambda k: F.struct(k, of(c, k))))
     status = F.when(F.col("tagged") == F.col("total"), "tagged").when(F.col("tagged") > 0, "partially_tagged").otherwise("untagged")
-    return out.withColumn("inferred", F.col("total") - F.col("tagged")).withColumn("status", status).withColumn("is_tagged_document", (F.col("tagged") > 0) & (F.col("tagged") >= 0.5 * F.col("total")))
+    marked = (F.col("tagged") > 0) & (F.col("tagged") >= 0.5 * F.col("total"))
+    return out.select("doc_id", "total", "tagged", by("content_type").alias("content_types"), by("tag_source").alias("tag_sources"), (F.col("total") - F.col("tagged")).alias("inferred"), status.alias("status"), marked.alias("is_tagged_document"))
 
 
 def dominant_font(spans: DataFrame, keys: list[str]) -> DataFrame:

@@ -10,8 +10,7 @@ from pagewright.operators import diff, layout, matching
 from pagewright.plans import relations as R
 from pagewright.plans.registry import query
 from pagewright.sources import sinks, structure
-
-MATCHES = "doc_id", "page"
+from pagewright.storage import shared_folder, stored
 
 
 def aligned(spark, sf_dir):
@@ -47,7 +46,7 @@ def d03_d06_mismatches(spark, sf_dir):
 
 @query()
 def d09_page_accuracy(spark, sf_dir):
-    return accuracies(spark, sf_dir)[0]
+    return accuracies(spark, sf_dir)[0].drop(*diff.COUNTS)
 
 
 _IDENTICAL = f"""WITH {R.LINES}, p AS (SELECT doc_id, page, count(*) FILTER (regexp_matches(line, '[^ \\t\\n\\x0B\\f\\r]')) AS n FROM lines GROUP BY ALL HAVING n > 0) SELECT doc_id, page, 100.0::DOUBLE AS accuracy, 'PASS' AS status, 0::BIGINT AS n_mismatches FROM p"""
@@ -87,7 +86,7 @@ def d07_inversions(spark, sf_dir):
 
 @query()
 def a05_report(spark, sf_dir):
-    return diff.report(*accuracies(spark, sf_dir))
+    return diff.report(accuracies(spark, sf_dir)[0])
 
 
 @query(f"""WITH {R.LINES}, c AS (SELECT doc_id, page, count(*) AS n FROM lines GROUP BY ALL), p AS (SELECT doc_id, page, (n * 10) % 7 * 50 AS orig_count, (n * 10) % 5 * 40 AS ext_count, CASE WHEN n % 4 = 0 THEN 100.0 ELSE 90.0 + (n % 10) + 0.5 END AS accuracy, n % 3 % 2 AS high, n % 4 AS m,
@@ -133,14 +132,14 @@ def k02_json_export(spark, sf_dir):
 
 @query()
 def k05_report_json(spark, sf_dir):
-    pages, found = accuracies(spark, sf_dir)
-    return sinks.report_json(diff.report(pages, found).withColumn("summary_notes", diff.notes()), pages)
+    return sinks.report_json(accuracies(spark, sf_dir)[0])
 
 
 @query()
 def k06_report_csv(spark, sf_dir):
-    pages, found = accuracies(spark, sf_dir)
-    return sinks.report_rows(diff.report(pages, found), pages, found)
+    found = stored(diff.mismatches(aligned(spark, sf_dir)), shared_folder(spark, "mismatches"))
+    pages = stored(diff.page_accuracy(page_words(spark, sf_dir), found), shared_folder(spark, "pages"))
+    return sinks.report_rows(diff.report(pages), pages, found)
 
 
 @query(f"WITH {R.LINES}, o AS (SELECT doc_id, page, string_agg(line, chr(10) ORDER BY ord) AS t FROM lines GROUP BY ALL) SELECT doc_id, page, t AS orig, CASE WHEN page % 2 = 0 THEN '' ELSE t END AS ext FROM o")
@@ -182,15 +181,8 @@ def o05_first_rows(spark, sf_dir):
     return first.where("rn <= 25").select("doc_id", "page", "ord", F.left("line", F.lit(65)).alias("snippet"))
 
 
-@query(f"WITH {R.ELEMENTS}, l AS (SELECT doc_id, page, ord AS line, regexp_replace(lower(left(text, 30)), '[^a-z0-9]', '', 'g') AS k FROM elements WHERE ord <= 4), e AS (SELECT doc_id, page, ord, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS k FROM elements WHERE ord <= 8), s AS (SELECT l.doc_id, l.page, line, e.ord, CASE WHEN l.k = e.k THEN 100.0 ELSE 100.0 * least(length(l.k), length(e.k)) / greatest(length(l.k), length(e.k)) END::DOUBLE AS score FROM l JOIN e ON l.doc_id = e.doc_id AND l.page = e.page AND l.k <> '' AND e.k <> '' AND (contains(e.k, l.k) OR contains(l.k, e.k))) SELECT doc_id, page, line, ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line ORDER BY score DESC, ord) AS rn FROM s) WHERE rn = 1")
-def j18_highlight(spark, sf_dir):
-    e = R.elements(spark, sf_dir)
-    lines = e.where("ord <= 4").select("doc_id", "page", F.col("ord").alias("line"), F.left("text", F.lit(30)).alias("text"))
-    return structure.highlights(lines, e.where("ord <= 8"))
-
-
 @query(f"WITH {R.ELEMENTS}, l AS (SELECT doc_id, page, ord AS line, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS k FROM elements), e AS (SELECT doc_id, page, ord, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS k FROM elements), s AS (SELECT l.doc_id, l.page, line, e.ord, CASE WHEN l.k = e.k THEN 100.0 ELSE 100.0 * least(length(l.k), length(e.k)) / greatest(length(l.k), length(e.k)) END::DOUBLE AS score FROM l JOIN e ON l.doc_id = e.doc_id AND l.page = e.page AND l.k <> '' AND e.k <> '' AND (contains(e.k, l.k) OR contains(l.k, e.k))) SELECT doc_id, page, line, ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page, line ORDER BY score DESC, ord) AS rn FROM s) WHERE rn = 1")
-def j18_whole_highlight(spark, sf_dir):
+def j18_highlight(spark, sf_dir):
     """Every whole line of a page against every element of it."""
     e = R.elements(spark, sf_dir)
     return structure.highlights(e.select("doc_id", "page", F.col("ord").alias("line"), "text"), e)
@@ -204,12 +196,7 @@ def j19_not_contained(spark, sf_dir):
     return e.join(native, ["doc_id", "page"], "left").where(~F.coalesce(F.contains(F.col("t"), F.col("text")), F.lit(False))).select("doc_id", "page", "ord")
 
 
-@query(f"WITH {R.LAYOUT}, s AS (SELECT doc_id, page, ord, left(text, 12) AS t FROM layout) SELECT a.doc_id, a.page, a.ord FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.doc_id = b.doc_id AND a.page = b.page AND b.ord < a.ord AND contains(b.t, a.t))")
-def j20_first_mentions(spark, sf_dir):
-    return structure.first_mentions(R.layout(spark, sf_dir).withColumn("text", F.left("text", F.lit(12))))
-
-
 @query(f"WITH {R.LAYOUT}, s AS (SELECT doc_id, page, ord, text AS t FROM layout) SELECT a.doc_id, a.page, a.ord FROM s a WHERE NOT EXISTS (SELECT 1 FROM s b WHERE a.doc_id = b.doc_id AND a.page = b.page AND b.ord < a.ord AND contains(b.t, a.t))")
-def j20_whole_mentions(spark, sf_dir):
+def j20_first_mentions(spark, sf_dir):
     """Whole texts against all earlier ones of their page."""
     return structure.first_mentions(R.layout(spark, sf_dir))

@@ -290,18 +290,18 @@ def p10_reconstruct_filter(spark, sf_dir):
 
 
 @query(f"""WITH {R.OCR}, w AS (SELECT *, len(list_filter(string_split(text, ' '), lambda x: x <> '')) AS nw, CASE WHEN ord % 3 = 0 THEN 'figure' ELSE 'text' END AS kind FROM ocr)
-SELECT doc_id, page, ord, CASE WHEN kind = 'figure' AND (nw >= 15 OR length(text) >= 80) THEN 'text' ELSE kind END AS kind, CASE WHEN ord % 5 <> 0 AND x1 > x0 AND y1 > y0 THEN 'Validated' ELSE 'Needs Review' END AS validation, regexp_matches(left(text, 3), '^[+−\\s-]+$') AS operator_fragment FROM w""")
+SELECT doc_id, page, ord, CASE WHEN kind = 'figure' AND (nw >= 15 OR length(text) >= 80) THEN 'text' ELSE kind END AS kind, CASE WHEN ord % 5 <> 0 AND x1 > x0 AND y1 > y0 THEN 'Validated' ELSE 'Needs Review' END AS validation, regexp_matches(text, '^[+−\\s-]+$') AS operator_fragment FROM w""")
 def p11_p12_p15_flags(spark, sf_dir):
     e = R.ocr(spark, sf_dir).withColumn("kind", F.when(F.col("ord") % 3 == 0, "figure").otherwise("text"))
     words = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
     demoted = F.when((F.col("kind") == "figure") & ((words >= 15) | (F.length("text") >= 80)), "text").otherwise(F.col("kind"))
     valid = (F.col("ord") % 5 != 0) & (F.col("x1") > F.col("x0")) & (F.col("y1") > F.col("y0"))
-    return e.select(*PAGE, "ord", demoted.alias("kind"), F.when(valid, "Validated").otherwise("Needs Review").alias("validation"), F.left("text", F.lit(3)).rlike(r"^[+\-−\s]+$").alias("operator_fragment"))
+    return e.select(*PAGE, "ord", demoted.alias("kind"), F.when(valid, "Validated").otherwise("Needs Review").alias("validation"), F.col("text").rlike(r"^[+\-−\s]+$").alias("operator_fragment"))
 
 
-@query(f"WITH {R.LAYOUT}, c AS (SELECT doc_id, page, (ord - 1) // 3 AS r, list(trim(left(text, 12)) ORDER BY ord) AS cells FROM layout GROUP BY ALL) SELECT doc_id, page, r::BIGINT AS r, array_to_string(list_filter(cells, lambda x: x <> ''), ' | ') AS line FROM c")
+@query(f"WITH {R.LAYOUT}, c AS (SELECT doc_id, page, (ord - 1) // 3 AS r, list(trim(text) ORDER BY ord) AS cells FROM layout GROUP BY ALL) SELECT doc_id, page, r::BIGINT AS r, array_to_string(list_filter(cells, lambda x: x <> ''), ' | ') AS line FROM c")
 def p18_table_text(spark, sf_dir):
-    cells = F.array_sort(F.collect_list(F.struct("ord", F.trim(F.left("text", F.lit(12))).alias("c"))))
+    cells = F.array_sort(F.collect_list(F.struct("ord", F.trim("text").alias("c"))))
     rows = R.layout(spark, sf_dir).groupBy(*PAGE, F.floor((F.col("ord") - 1) / 3).alias("r")).agg(F.transform(cells, lambda x: x["c"]).alias("cells"))
     return rows.select(*PAGE, "r", matching.table_line(F.col("cells"), " | ").alias("line"))
 

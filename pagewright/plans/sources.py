@@ -11,6 +11,7 @@ from pagewright.operators import matching
 from pagewright.plans import relations as R
 from pagewright.plans.registry import query
 from pagewright.sources import docx, mtef, sinks, structure
+from pagewright.storage import shared_folder
 from pagewright.streaming import jobs
 
 
@@ -81,12 +82,12 @@ def s17_f19_equations(spark, sf_dir):
     return R.table(spark, sf_dir, "documents").select("doc_id", made("doc_id").alias("b")).select("doc_id", decode("b").alias("formula"))
 
 
-@query(f"WITH {R.ELEMENTS}, i AS (SELECT doc_id * 1000 + page AS image_id, doc_id AS page_key, page % 2 = 1 AS boxed FROM elements WHERE ord = 1), r AS (SELECT doc_id * 100000 + page * 100 + ord AS reading_id, CASE WHEN ord % 3 = 0 THEN doc_id * 1000 + page END AS image_id, doc_id AS page_key, ord % 4 = 1 AS boxed FROM elements WHERE ord <= 6) SELECT DISTINCT i.image_id, reading_id FROM i JOIN r ON r.image_id = i.image_id OR (i.boxed AND r.boxed AND i.page_key = r.page_key)")
+@query(f"WITH {R.ELEMENTS}, i AS (SELECT doc_id * 1000 + page AS image_id, doc_id AS page_key, page % 2 = 1 AS boxed FROM elements WHERE ord = 1), r AS (SELECT doc_id * 100000 + page * 100 + ord AS reading_id, CASE WHEN ord % 3 = 0 THEN doc_id * 1000 + page END AS image_id, doc_id AS page_key, ord % 4 = 1 AS boxed FROM elements) SELECT DISTINCT i.image_id, reading_id FROM i JOIN r ON r.image_id = i.image_id OR (i.boxed AND r.boxed AND i.page_key = r.page_key)")
 def j05_image_readings(spark, sf_dir):
     e = R.elements(spark, sf_dir)
     key = F.col("doc_id") * 1000 + F.col("page")
     images = e.where("ord = 1").select(key.alias("image_id"), F.col("doc_id").alias("page_key"), (F.col("page") % 2 == 1).alias("boxed"))
-    readings = e.where("ord <= 6").select((F.col("doc_id") * 100000 + F.col("page") * 100 + F.col("ord")).alias("reading_id"), F.when(F.col("ord") % 3 == 0, key).alias("image_id"), F.col("doc_id").alias("page_key"), (F.col("ord") % 4 == 1).alias("boxed"))
+    readings = e.select((F.col("doc_id") * 100000 + F.col("page") * 100 + F.col("ord")).alias("reading_id"), F.when(F.col("ord") % 3 == 0, key).alias("image_id"), F.col("doc_id").alias("page_key"), (F.col("ord") % 4 == 1).alias("boxed"))
     return structure.either_join(images, readings)
 
 
@@ -161,7 +162,7 @@ def f22_known_words(spark, sf_dir):
 @query("SELECT event_type, count(*) AS n, sum(value)::DOUBLE AS total FROM events GROUP BY event_type")
 def t01_file_stream(spark, sf_dir):
     """Events read as a file stream in micro-batches, summed from what the batches wrote."""
-    folder = sinks.export_folder(spark)
+    folder = shared_folder(spark, "stream")
     parts = jobs.run_jobs(spark, f"{sf_dir}/events.parquet", folder, lambda b: b.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")))
     return parts.groupBy("event_type").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 

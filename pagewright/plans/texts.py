@@ -77,7 +77,7 @@ def f13_numbers(spark, sf_dir):
 
 
 _NOISE_WORDS = f"""WITH {R.LINES}, pieces AS (SELECT doc_id, ord, unnest(range(len(string_split(line, ' '))))::INT AS k, unnest(string_split(line, ' ')) AS t FROM lines),
-q AS (SELECT doc_id, ord, k, t, (8.0 + (k % 6) * 9.0)::DOUBLE AS w, (8.0 + (ord % 5) * 9.0)::DOUBLE AS h, CASE WHEN k % 4 = 3 THEN NULL ELSE ((35 + (k % 13) * 5) / 100.0)::DOUBLE END AS c FROM pieces WHERE length(t) <= 4),
+q AS (SELECT doc_id, ord, k, t, (8.0 + (k % 6) * 9.0)::DOUBLE AS w, (8.0 + (ord % 5) * 9.0)::DOUBLE AS h, CASE WHEN k % 4 = 3 THEN NULL ELSE ((35 + (k % 13) * 5) / 100.0)::DOUBLE END AS c FROM pieces),
 r AS (SELECT *, w / greatest(0.1, h) AS ar, w * h AS room, length(t) AS n FROM q)"""
 
 
@@ -91,7 +91,7 @@ r AS (SELECT *, w / greatest(0.1, h) AS ar, w * h AS room, length(t) AS n FROM q
  OR (n = 1 AND NOT regexp_matches(t, '^\p{{Nd}}+$') AND t NOT IN ('a','A','I') AND (coalesce(c < 0.9, false) OR (w <= 65 AND h <= 65)))
  OR (n = 1 AND t IN ('a','A','I') AND coalesce(c < 0.75, false)) OR (n <= 2 AND w <= 35 AND h <= 35 AND room <= 1200 AND (NOT regexp_matches(t, '^\p{{Nd}}+$') OR coalesce(c < 0.4, false))), false) AS noise FROM r""")
 def f10_noise(spark, sf_dir):
-    pieces = R.lines(spark, sf_dir).select("doc_id", "ord", F.posexplode(F.split("line", " ")).alias("k", "t")).where(F.length("t") <= 4)
+    pieces = R.lines(spark, sf_dir).select("doc_id", "ord", F.posexplode(F.split("line", " ")).alias("k", "t"))
     c = F.when(F.col("k") % 4 == 3, F.lit(None).cast("double")).otherwise((35 + (F.col("k") % 13) * 5) / 100.0)
     noise = text.is_noise(F.col("t"), 8.0 + (F.col("k") % 6) * 9.0, 8.0 + (F.col("ord") % 5) * 9.0, c)
     return pieces.select("doc_id", "ord", "k", F.coalesce(noise, F.lit(False)).alias("noise"))
@@ -108,13 +108,13 @@ def f12_clean_ocr(spark, sf_dir):
     return R.table(spark, sf_dir, "documents").select("doc_id", text.clean_ocr(F.col("text")).alias("clean"))
 
 
-@query(rf"""WITH {R.LINES}, t AS (SELECT doc_id, ord, CASE ord % 6 WHEN 0 THEN 'x = ' || line WHEN 1 THEN '3a/b + ' || left(line, 8) WHEN 2 THEN '\frac ' || line ELSE line END AS t FROM lines)
+@query(rf"""WITH {R.LINES}, t AS (SELECT doc_id, ord, CASE ord % 6 WHEN 0 THEN 'x = ' || line WHEN 1 THEN '3a/b + ' || line WHEN 2 THEN '\frac ' || line ELSE line END AS t FROM lines)
 SELECT doc_id, ord, ({sql_strip('t')} <> '') AND ((contains(lower(t), '\frac') OR contains(lower(t), '\sqrt') OR contains(lower(t), '\sum') OR contains(lower(t), '\int') OR contains(lower(t), '\prod') OR contains(lower(t), 'mathtype') OR contains(lower(t), 'omath'))
- OR (len(list_filter(regexp_split_to_array({sql_strip('t')}, '\s+'), lambda x: regexp_matches(x, '^[A-Za-z]{{3,}}$'))) < 5 AND (regexp_matches(t, '[∀-⋿]') OR (contains(t, '=') AND NOT regexp_matches(t, '<|>|==|!=|http|href|xmlns') AND regexp_matches(t, '\b[a-zA-Z_0-9]\s*=\s*[-0-9a-zA-Z+*/()]'))
+ OR (len(list_filter(regexp_split_to_array({sql_strip('t')}, '\s+'), lambda x: regexp_matches(x, '^[A-Za-z]{{3,}}$'))) < 5 AND (regexp_matches(t, '{text.FORMULA_SIGN}') OR (contains(t, '=') AND NOT regexp_matches(t, '<|>|==|!=|http|href|xmlns') AND regexp_matches(t, '\b[a-zA-Z_0-9]\s*=\s*[-0-9a-zA-Z+*/()]'))
  OR (regexp_matches(t, '\b[a-zA-Z0-9]+/[a-zA-Z0-9]+') AND regexp_matches(t, '[-+*/^=]'))))) AS formula FROM t""")
 def f14_formula(spark, sf_dir):
     o = F.col("ord") % 6
-    t = F.when(o == 0, F.concat(F.lit("x = "), "line")).when(o == 1, F.concat(F.lit("3a/b + "), F.left("line", F.lit(8)))).when(o == 2, F.concat(F.lit("\\frac "), "line")).otherwise(F.col("line"))
+    t = F.when(o == 0, F.concat(F.lit("x = "), "line")).when(o == 1, F.concat(F.lit("3a/b + "), "line")).when(o == 2, F.concat(F.lit("\\frac "), "line")).otherwise(F.col("line"))
     return R.lines(spark, sf_dir).select("doc_id", "ord", text.is_formula(t).alias("formula"))
 
 
@@ -126,9 +126,9 @@ def f28_page_number(spark, sf_dir):
     return R.lines(spark, sf_dir).select("doc_id", "ord", text.is_page_number(t).alias("page_number"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(source || '-' || left(text, 40)), '[^a-z0-9]', '', 'g') AS key FROM documents")
+@query("SELECT doc_id, regexp_replace(lower(source || '-' || text), '[^a-z0-9]', '', 'g') AS key FROM documents")
 def f31_alnum_key(spark, sf_dir):
-    return R.table(spark, sf_dir, "documents").select("doc_id", text.alnum_key(F.concat("source", F.lit("-"), F.left("text", F.lit(40)))).alias("key"))
+    return R.table(spark, sf_dir, "documents").select("doc_id", text.alnum_key(F.concat("source", F.lit("-"), "text")).alias("key"))
 
 
 @query(r"""SELECT doc_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(lower('Report ' || doc_id || ' ' || source || CASE doc_id % 3 WHEN 0 THEN '_extracted' WHEN 1 THEN ' extracted' ELSE '-final' END), '_extracted', ''), ' extracted', ''), '-extracted', ''), '.txt', ''), '.json', ''), '.docx', ''), '.pdf', ''), '[^\p{L}\p{N}]', '', 'g') AS key FROM documents""")
@@ -266,7 +266,7 @@ _SQL_SHORT = "(n_words <= 25 AND NOT ends_with(t, '.'))"
 
 @query(rf"""WITH {R.LAYOUT}, m AS (SELECT doc_id, page, coalesce(median(CASE WHEN font_size BETWEEN 5 AND 40 THEN font_size END), 11.0) AS median FROM layout GROUP BY doc_id, page),
 c AS (SELECT l.*, median, {sql_strip("text")} AS t, len(list_filter(regexp_split_to_array({sql_strip("text")}, '\s+'), lambda x: x <> '')) AS n_words FROM layout l JOIN m USING (doc_id, page)),
-f AS (SELECT *, (len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: regexp_matches(x, '^[A-Za-z]{{3,}}$'))) < 5 AND (regexp_matches(t, '[∀-⋿]') OR (contains(t, '=') AND NOT regexp_matches(t, '<|>|==|!=|http|href|xmlns') AND regexp_matches(t, '\b[a-zA-Z_0-9]\s*=\s*[-0-9a-zA-Z+*/()]')) OR (regexp_matches(t, '\b[a-zA-Z0-9]+/[a-zA-Z0-9]+') AND regexp_matches(t, '[-+*/^=]')))) AS formula FROM c),
+f AS (SELECT *, (len(list_filter(regexp_split_to_array(t, '\s+'), lambda x: regexp_matches(x, '^[A-Za-z]{{3,}}$'))) < 5 AND (regexp_matches(t, '{text.FORMULA_SIGN}') OR (contains(t, '=') AND NOT regexp_matches(t, '<|>|==|!=|http|href|xmlns') AND regexp_matches(t, '\b[a-zA-Z_0-9]\s*=\s*[-0-9a-zA-Z+*/()]')) OR (regexp_matches(t, '\b[a-zA-Z0-9]+/[a-zA-Z0-9]+') AND regexp_matches(t, '[-+*/^=]')))) AS formula FROM c),
 k AS (SELECT doc_id, page, ord, CASE WHEN type = 'table' THEN 'table' WHEN formula THEN 'formula' WHEN y0 <= 792*0.075 AND {_SQL_SHORT} THEN 'header' WHEN y1 >= 792*0.925 AND {_SQL_SHORT} THEN 'footer'
  WHEN regexp_matches(t, '{classify.CAPTION}') THEN 'caption' WHEN regexp_matches(t, '{classify.BULLET}') THEN 'list_item' WHEN regexp_matches(t, '{classify.SECTION}') AND {_SQL_SHORT} THEN 'heading_1' WHEN regexp_matches(t, '{classify.NUMBERED}') AND {_SQL_SHORT} THEN 'heading_2'
  WHEN {_SQL_SHORT} AND font_size >= greatest(20.0, median*1.75) THEN 'title' WHEN {_SQL_SHORT} AND (font_size >= greatest(16.0, median*1.4) OR (bold AND font_size >= median*1.3)) THEN 'heading_1'

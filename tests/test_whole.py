@@ -15,9 +15,9 @@ def page(spark, tmp_path):
 
 
 def test_every_line_is_highlighted(spark, page):
-    got = sorted((r["line"], r["ord"], r["score"]) for r in registry.queries()["j18_whole_highlight"](spark, page).collect())
+    got = sorted((r["line"], r["ord"], r["score"]) for r in registry.queries()["j18_highlight"](spark, page).collect())
     assert got == [(i, i, 100.0) for i in range(1, 21)]
 
 
 def test_whole_texts_are_mentions(spark, page):
-    assert sorted(r["ord"] for r in registry.queries()["j20_whole_mentions"](spark, page).collect()) == list(range(1, 20))
+    assert sorted(r["ord"] for r in registry.queries()["j20_first_mentions"](spark, page).collect()) == list(range(1, 20))
