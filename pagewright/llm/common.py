@@ -2,30 +2,17 @@
 
 from __future__ import annotations
 
-import posixpath
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagewright.storage import delete, shared_folder
+
 PACKED = "__packed_row"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below ``spark.checkpoint.dir``.
-
-    Where that is unset, local sessions use a temporary folder; a cluster without it is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='pagewright-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    if "://" not in base:
-        base = f"file://{base}" if base.startswith("/") else base
-    return posixpath.join(base, f"pagewright-{name}-{uuid.uuid4().hex}")
+    """A new folder's URI below ``spark.checkpoint.dir``."""
+    return shared_folder(spark, name)
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
@@ -34,13 +21,7 @@ def stored(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders that no later step reads."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(conf).delete(path, True)
+drop = delete
 
 
 def packed(df: DataFrame, *more: Column) -> DataFrame:
