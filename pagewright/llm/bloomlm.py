@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -41,6 +42,8 @@ KEY_BITS = 40
 FLUSH = 1 << 20
 #: Blocks that one task probes have about so many bytes; there are 64 ranges of them at least, or as many as buckets.
 RANGE_BYTES, RANGE_BITS = 16 << 20, 6
+#: Training text for each bucket of n-gram hashes.
+BUCKET_BYTES = 4 << 20
 ASK_BYTES = 64 << 20
 START, END = 0x5851F42D4C957F2D, 0x14057B7EF767814F
 _U = np.uint64
@@ -86,6 +89,17 @@ def split_key(h: np.ndarray, bucket_bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> _U(64 - bucket_bits)).astype(np.int64), (h << _U(bucket_bits)) >> _U(64 - KEY_BITS)
 
 
+def runs(sorted_values: np.ndarray) -> np.ndarray:
+    """Where runs of equal values start, and the end."""
+    n = len(sorted_values)
+    return np.concatenate(([0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [n])) if n else np.zeros(1, dtype=np.int64)
+
+
+def cells(data: bytes, bounds: np.ndarray) -> pa.Array:
+    """Binary values that follow one another in data, without a Python object for each."""
+    return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds.astype(np.int64).tobytes()), pa.py_buffer(data)]).cast(pa.binary())
+
+
 def spots(key: np.ndarray, level: int, block_bits: int) -> list[np.ndarray]:
     """Bits of (key, level) inside its block."""
     x = mix(key + _U((level * 0x9E3779B97F4A7C15) % 2**64))
@@ -125,17 +139,15 @@ def count_grams(docs: DataFrame, bucket_bits: int) -> DataFrame:
         n_held = 0
 
         def flush():
-            out = []
             for kind, parts in held.items():
                 h, c = tally(np.concatenate(parts)) if parts else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
-                bucket, key = split_key(h, bucket_bits)
-                edge = np.searchsorted(bucket, np.arange((1 << bucket_bits) + 1))
-                for b in np.flatnonzero(np.diff(edge)):
-                    s = slice(edge[b], edge[b + 1])
-                    out.append((int(b), kind, h[s].astype("<u8").tobytes() if kind == 0 else pack5(key[s]), c[s].astype("<u4").tobytes()))
                 parts.clear()
-            for at in range(0, len(out), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[at : at + 256]), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], ["bucket", "kind", "keys", "counts"])
+                bucket, key = split_key(h, bucket_bits)
+                edge = runs(bucket)
+                keys, size = (h.astype("<u8").tobytes(), 8) if kind == 0 else (pack5(key), 5)
+                out = pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(np.full(len(edge) - 1, kind, dtype=np.int32)), cells(keys, size * edge), cells(c.astype("<u4").tobytes(), 4 * edge)], ["bucket", "kind", "keys", "counts"])
+                for at in range(0, out.num_rows, 256):
+                    yield out.slice(at, 256)
 
         for b in batches:
             for texts in groups(each(b.column(0))):
@@ -154,7 +166,7 @@ def count_grams(docs: DataFrame, bucket_bits: int) -> DataFrame:
         yield from flush()
         pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, "bucket int, kind int, keys binary, counts binary")
+    return docs.mapInArrow(run, "bucket long, kind int, keys binary, counts binary")
 
 
 def block_of(key: np.ndarray, level: np.ndarray) -> np.ndarray:
@@ -181,27 +193,44 @@ def block_levels(block: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def merged(partial: DataFrame, folder: str) -> DataFrame:
-    """One row for each bucket and kind: tokens with summed counts, or the file of the filter's block and its bytes."""
+    """One row for each bucket and kind: tokens with summed counts, or where the filter's block lies: file, at and size.
 
-    def run(table: pa.Table) -> pa.Table:
-        kind, bucket = table["kind"][0].as_py(), table["bucket"][0].as_py()
-        read = (lambda d: np.frombuffer(d, dtype="<u8")) if kind == 0 else unpack5
-        keys = np.concatenate([read(d) for d in table["keys"].to_pylist()])
-        counts = np.concatenate([np.frombuffer(d, dtype="<u4") for d in table["counts"].to_pylist()]).astype(np.int64)
-        keys, counts = tally(keys, counts)
-        row = [bucket, kind, None, None, None, 0]
-        if kind == 0:
-            row[2:4] = keys.astype("<u8").tobytes(), counts.astype("<i8").tobytes()
-        else:
-            data = block_of(keys, np.minimum(levels(counts), 255)).tobytes()
-            fs, root = open_fs(folder)
-            fs.create_dir(root, recursive=True)
-            row[4:] = f"block-{bucket:06d}-{TaskContext.get().taskAttemptId():08d}.bits", len(data)
-            with fs.open_output_stream(f"{root}/{row[4]}", compression=None) as f:
-                f.write(data)
-        return pa.table([pa.array([x], t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64()))], ["bucket", "kind", "keys", "counts", "file", "size"])
-
-    return partial.groupBy("bucket", "kind").applyInArrow(run, "bucket int, kind int, keys binary, counts binary, file string, size long")
+    A task has the rows of its buckets sorted, by Spark, and holds one bucket at a time.
+    """
+    names, types = ["bucket", "kind", "keys", "counts", "file", "at", "size"], (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64())
+
+    def run(batches):
+        task = TaskContext.get()
+        out = RollingWriter(folder, f"blocks-{task.partitionId():06d}-{task.taskAttemptId():08d}", ".bits", ASK_BYTES)
+        held: list[tuple[bytes, bytes]] = []
+
+        def finished(kind: int, bucket: int):
+            read = (lambda d: np.frombuffer(d, dtype="<u8")) if kind == 0 else unpack5
+            keys, counts = tally(np.concatenate([read(k) for k, _ in held]), np.concatenate([np.frombuffer(c, dtype="<u4") for _, c in held]).astype(np.int64))
+            held.clear()
+            row: list = [bucket, kind, None, None, None, None, None]
+            if kind == 0:
+                row[2:4] = keys.astype("<u8").tobytes(), counts.astype("<i8").tobytes()
+            else:
+                data = block_of(keys, np.minimum(levels(counts), 255)).tobytes()
+                row[4:] = *out.append(data), len(data)
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types)], names)
+
+        now = None
+        for b in batches:
+            keys, counts = b.column("keys"), b.column("counts")
+            for i, one in enumerate(zip(b.column("kind").to_pylist(), b.column("bucket").to_pylist())):
+                if now is not None and one != now:
+                    yield finished(*now)
+                now = one
+                held.append((keys[i].as_py(), counts[i].as_py()))
+        if now is not None:
+            yield finished(*now)
+        out.close()
+        pa.default_memory_pool().release_unused()
+
+    dealt = partial.repartition("bucket").sortWithinPartitions("kind", "bucket")
+    return dealt.mapInArrow(run, "bucket long, kind int, keys binary, counts binary, file string, at long, size long")
 
 
 def token_counts(tables: DataFrame) -> DataFrame:
@@ -217,21 +246,23 @@ def token_counts(tables: DataFrame) -> DataFrame:
     return tables.where("kind = 0").select("keys", "counts").mapInArrow(run, "token long, n long")
 
 
-def probed(asks: DataFrame, folder: str, files: dict[int, str], bucket_bits: int, range_bits: int) -> DataFrame:
+def probed(asks: DataFrame, blocks: DataFrame, folder: str, bucket_bits: int, range_bits: int) -> DataFrame:
     """(chunk, range, levels, file, index_at, index_size) of every chunk's n-grams in a range of buckets.
 
-    asks: chunk, range, file, start and lengths of the range's keys, by bucket; files: the filter's blocks by bucket.
+    asks: chunk, range, file, start and lengths of the range's keys, by bucket; blocks: bucket, file, at, size.
     """
     width = 1 << (bucket_bits - range_bits)
+    spot = blocks.select(F.lit(None).cast("long").alias("chunk"), F.shiftright("bucket", bucket_bits - range_bits).cast("int").alias("range"), "file", F.col("bucket").alias("index_at"), F.col("size").alias("index_size"), F.col("at").alias("start"), F.lit(None).cast("binary").alias("lengths"))
 
     def run(table: pa.Table) -> pa.Table:
         first = table["range"][0].as_py() * width
         fs, root = open_fs(folder)
+        is_block = pc.is_null(table["chunk"])
         blocks = {}
-        for k in range(width):
-            if first + k in files:
-                with fs.open_input_stream(f"{root}/{files[first + k]}", compression=None) as f:
-                    blocks[k] = np.frombuffer(f.read(), dtype=np.uint8)
+        for bucket, file, at, size in zip(*(table.filter(is_block)[c].to_pylist() for c in ("index_at", "file", "start", "index_size"))):
+            with fs.open_input_file(f"{root}/{file}") as f:
+                blocks[bucket - first] = np.frombuffer(f.read_at(size, at), dtype=np.uint8)
+        table = table.filter(pc.invert(is_block))
         found: list[bytes] = []
         held: list[np.ndarray] = []
 
@@ -257,10 +288,10 @@ def probed(asks: DataFrame, folder: str, files: dict[int, str], bucket_bits: int
         return table.select(["chunk", "range", "file", "index_at", "index_size"]).append_column("levels", pa.array(found, pa.binary()))
 
     # The rows are few and small, the n-grams that they point to aren't: a partition for each range, which nothing merges.
-    return asks.repartitionByRange(1 << range_bits, "range").groupBy("range").applyInArrow(run, "chunk long, range int, file string, index_at long, index_size long, levels binary")
+    return asks.unionByName(spot).repartitionByRange(1 << range_bits, "range").groupBy("range").applyInArrow(run, "chunk long, range int, file string, index_at long, index_size long, levels binary")
 
 
-def chunk_scores(answers: DataFrame, folder: str, n_docs: int, scale: float) -> DataFrame:
+def chunk_scores(answers: DataFrame, folder: str, n_docs: int, n_train: int, scale: float) -> DataFrame:
     """(row, score) of every text from the levels of its chunk's n-grams."""
 
     def run(table: pa.Table) -> pa.Table:
@@ -280,6 +311,7 @@ def chunk_scores(answers: DataFrame, folder: str, n_docs: int, scale: float) ->
             cn[inside] = count[where[done : done + inside.sum()]]
             done += inside.sum()
             if n == 1:
+                cn = np.minimum(cn, n_train)
                 cn[bounds[:-1]] = n_docs
                 p, history = (cn + 1) / scale, cn
                 continue
@@ -314,18 +346,25 @@ def frequent_tokens(counts: DataFrame, most: int = FREQUENT) -> tuple[np.ndarray
     return h[order], n[order], bound
 
 
+def bits_for(n_bytes: int) -> int:
+    """Buckets for so much training text, as a power of two: by the text alone, however its rows lie in files."""
+    return max(RANGE_BITS, int(np.ceil(np.log2(max(1, n_bytes / BUCKET_BYTES)))))
+
+
 def scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score and score of every row of docs, learning from train."""
     spark = docs.sparkSession
     top = scratch(spark, "lm")
-    bucket_bits = min(12, max(4, int(np.ceil(np.log2(4 * max(1, train.rdd.getNumPartitions()))))))
+    train = train.select(F.col(f"`{text}`").cast("string").alias("text"))
+    bucket_bits = bits_for(train.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
     folder = f"{top}/files"
-    tables = stored(merged(count_grams(train.select(F.col(f"`{text}`").cast("string").alias("text")), bucket_bits), folder), f"{top}/tables")
+    tables = stored(merged(count_grams(train, bucket_bits), folder), f"{top}/tables")
     counts = stored(token_counts(tables), f"{top}/counts")
     n_train, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n_docs = counts.where(F.col("token") == int(np.uint64(END).astype(np.int64))).agg(F.max("n")).first()[0] or 0
-    blocks = tables.where("kind = 1").select("bucket", "file", "size").collect()
-    range_bits = min(bucket_bits, max(RANGE_BITS, int(np.ceil(np.log2(max(1, sum(r["size"] for r in blocks) / RANGE_BYTES))))))
+    blocks = stored(tables.where("kind = 1").select("bucket", "file", "at", "size"), f"{top}/blocks")
+    n_filter = blocks.agg(F.sum("size")).first()[0] or 0
+    range_bits = min(bucket_bits, max(RANGE_BITS, int(np.ceil(np.log2(max(1, n_filter / RANGE_BYTES))))))
     known, known_n, bound = frequent_tokens(counts)
     sent = spark.sparkContext.broadcast((known.tobytes(), known_n.tobytes()))
     del known, known_n
@@ -400,7 +439,7 @@ def scores(docs: DataFrame, train: DataFrame, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base double, rare array<bigint>, times array<int>, row long, file string, index_at long, index_size long, starts array<bigint>, lengths array<binary>")
     rows = stored(rows, f"{top}/rows")
     asks = rows.where("file is not null").select(F.col("row").alias("chunk"), "file", "index_at", "index_size", F.posexplode(F.arrays_zip("starts", "lengths")).alias("range", "a")).select("chunk", "range", "file", "index_at", "index_size", F.col("a.starts").alias("start"), "a.lengths")
-    scored = chunk_scores(probed(asks, folder, {r["bucket"]: r["file"] for r in blocks}, bucket_bits, range_bits), folder, n_docs, scale)
+    scored = chunk_scores(probed(asks, blocks, folder, bucket_bits, range_bits), folder, n_docs, int(n_train), scale)
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("row", F.col("r.rare").alias("token"), F.col("r.times").alias("times"))
     looked = rare.join(counts if bound is None else counts.where(F.col("n") < bound), "token", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("n"))
     more = looked.groupBy("row").agg(F.sum(F.col("times") * F.log10((F.col("n") + 1) / F.lit(scale))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("known"))

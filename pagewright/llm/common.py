@@ -38,6 +38,16 @@ def parts(n_bytes: int, each: int = 16 << 20) -> int:
     return max(1, -(-int(n_bytes) // each))
 
 
+def texts_of(docs: DataFrame, chosen: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(y, text): one text for each id of chosen (id, y), distinct ids in bounded number, which are broadcast.
+
+    Of rows that share an id, that with the smallest hash of its text counts, so there are never more rows than ids.
+    """
+    found = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    one = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("one")
+    return found.groupBy("id", "y").agg(one).select("y", F.col("one.text").alias("text"))
+
+
 def crc_class(doc_id: str, modulus: int) -> Column:
     """crc32 of doc_id's decimal text, modulo ``modulus``; null for a null doc_id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus

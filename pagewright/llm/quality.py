@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.boosting import Forest, constant, fit
-from pagewright.llm.common import PACKED, packed, unpacked
+from pagewright.llm.common import PACKED, packed, texts_of, unpacked
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -79,17 +79,20 @@ def base_failed(n_words: int, n_repeat_words: int) -> bool:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text", quality: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``sample`` labelled rows; the sample is what is broadcast and what is collected."""
-    chosen = labels.select(F.col(doc_id).alias("__id"), F.col(quality).cast("double").alias("__y")).where("__id is not null and __y is not null")
-    chosen = chosen.orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample)
+    """Features and labels of at most ``sample`` labelled ids; the sample is what is broadcast and what is collected.
+
+    The ids with the smallest hashes are taken.  An id that is labelled more than once has its mean label, and one that
+    has several texts counts with one of them.
+    """
+    chosen = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{quality}`").cast("double").alias("y")).where("id is not null and y is not null")
+    chosen = chosen.groupBy("id").agg(F.avg("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
 
     def run(batches):
         for b in batches:
             rows = [statistics(t or b"")[1] for t in b.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
 
-    rows = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("__text")).join(F.broadcast(chosen), "__id")
-    got = rows.select("__y", "__text").mapInArrow(run, "y double, x array<double>").orderBy("y", "x").limit(2 * sample).toPandas()
+    got = texts_of(docs, chosen, doc_id, text).mapInArrow(run, "y double, x array<double>").orderBy("y", "x").toPandas()
     if not len(got):
         return np.zeros((0, len(FEATURES))), np.zeros(0)
     return np.array(got["x"].tolist()), (got["y"].to_numpy() > 0.5).astype(float)

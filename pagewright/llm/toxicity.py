@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import PACKED, crc_class
+from pagewright.llm.common import PACKED, crc_class, texts_of
 
 SIZES = (3, 4, 5)
 BITS = 18
@@ -104,14 +104,17 @@ def fit(grams: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds: int =
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, held: tuple[int, int] | None = (3, 1), doc_id: str = "doc_id", text: str = "text", toxic: str = "toxic") -> DataFrame:
-    """(y, text) of at most ``per_class`` labelled rows of each label, held-out rows excluded; the labels chosen are broadcast."""
-    rows = labels.select(F.col(doc_id).alias("__id"), F.col(toxic).cast("int").alias("y")).where("__id is not null and y in (0, 1)")
+    """(y, text) of at most ``per_class`` labelled ids of each label, held-out ids excluded; the ids chosen are broadcast.
+
+    The ids with the smallest hashes are taken.  An id that is labelled more than once is toxic if one label says so, and
+    one that has several texts counts with one of them.
+    """
+    rows = labels.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{toxic}`").cast("int").alias("y")).where("id is not null and y in (0, 1)")
     if held:
-        rows = rows.where(crc_class("__id", held[0]) != held[1])
-    pick = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class)
-    chosen = pick(1).unionByName(pick(0))
-    texts = docs.select(F.col(f"`{doc_id}`").alias("__id"), F.col(f"`{text}`").cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "__id").select("y", "text")
+        rows = rows.where(crc_class("id", held[0]) != held[1])
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"))
+    pick = lambda y: rows.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class)
+    return texts_of(docs, pick(1).unionByName(pick(0)), doc_id, text)
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **options) -> Linear:
@@ -138,7 +141,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, **opti
             grams = [hashed_grams(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([np.unique(g[tells[g]]).tobytes() for g in grams], pa.binary())], ["y", "x"])
 
-    got = texts.mapInArrow(features, "y int, x binary").orderBy("y", "x").limit(4 * per_class).toArrow()
+    got = texts.mapInArrow(features, "y int, x binary").orderBy("y", "x").toArrow()
     grams = [np.frombuffer(v, dtype=np.int32) for v in got["x"].to_pylist()]
     return fit(grams, got["y"].to_numpy().astype(float), ratio)
 
