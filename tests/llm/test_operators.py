@@ -504,7 +504,3 @@ def test_words_and_shingles():
 def test_all_queries_are_registered():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in sorted(names, key=lambda n: int(n[2:].split("_")[0]))] == [f"op{i}" for i in range(1, 11)]
-
-
-def test_items_digest():
-    assert decontam.items_digest(["2", "10"]) == hashlib.sha256(b"10,2").hexdigest()
