@@ -7,16 +7,17 @@ the rarest, by document frequency over the whole corpus.  Only document shingles
 the shingle's place in the window bounds where the window can start and end (position and length), and what is left is
 verified word for word.
 
-The benchmark travels to the workers in blocks of at most ``BLOCK_BYTES`` of text: one if it is that small, else as many
-as it takes, each a narrow step over the documents, which are neither shuffled nor collected.
+The benchmark's distinct rows travel to the workers in blocks of about ``BLOCK_BYTES`` of text (a longer item is a block of
+its own size): one if it is that small, else as many as it takes, each a narrow step over the documents, which are neither
+shuffled nor collected.
 
 Null and empty texts have no words and no hits; items without words match nothing; a null item_id counts as an empty
-name; item rows with equal ids are one item; repeated documents are judged alike; an empty benchmark hits nothing.
+name; item rows with equal ids are one item; repeated documents are judged alike; an empty benchmark hits nothing, and no
+documents give no rows.  Texts are read whole, however long; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,15 +59,12 @@ class Windows:
 
 def windows_of(items: list[tuple[str, bytes]], width: int = WINDOW, shingle: int = SHINGLE) -> Windows:
     w = WordHasher(ascii_nonword_bytes())([t for _, t in items])
-    start, length, item = [], [], []
-    for i in range(len(items)):
-        a, n = int(w.first[i]), int(w.first[i + 1] - w.first[i])
-        many = max(n - width + 1, 1 if n else 0)
-        start += range(a, a + many)
-        length += [min(n, width)] * many
-        item += [i] * many
-    size = np.array(length, dtype=np.int64)
-    return Windows(np.array(start, dtype=np.int64), size, np.array(item, dtype=np.int64), np.minimum(size, shingle), w.hash, [w.buffer[s:e].lower() for s, e in zip(w.start, w.end)], [n for n, _ in items])
+    n = np.diff(w.first)
+    many = np.where(n > 0, np.maximum(n - width + 1, 1), 0)
+    item = np.repeat(np.arange(len(items)), many)
+    start = np.repeat(w.first[:-1] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+    size = np.minimum(n, width)[item]
+    return Windows(start, size, item, np.minimum(size, shingle), w.hash, [w.buffer[s:e].lower() for s, e in zip(w.start, w.end)], [n for n, _ in items])
 
 
 def shingle_table(win: Windows) -> dict[int, np.ndarray]:
@@ -74,8 +72,11 @@ def shingle_table(win: Windows) -> dict[int, np.ndarray]:
     out = {}
     for k in np.unique(win.width):
         h = rolled(win.hash, int(k))
-        found = [h[s : s + n - k + 1] for s, n in zip(win.start[win.width == k], win.length[win.width == k])]
-        out[int(k)] = np.unique(np.concatenate(found))
+        start, count = win.start[win.width == k], win.length[win.width == k] - k + 1
+        used = np.zeros(len(h), dtype=bool)
+        for j in range(int(count.max())):
+            used[start[count > j] + j] = True
+        out[int(k)] = np.unique(h[used])
     return out
 
 
@@ -128,13 +129,18 @@ def prefixes(win: Windows, tables: dict[int, np.ndarray], df: dict[int, np.ndarr
     out = {}
     for k, table in tables.items():
         h = rolled(win.hash, k)
-        rare, which, offset = [], np.flatnonzero(win.width == k), []
-        for i in which:
-            s = h[win.start[i] : win.start[i] + win.length[i] - k + 1]
-            order = np.lexsort((s, df[k][np.searchsorted(table, s)]))
-            rare.append(s[order[0]])
-            offset.append(order[0])
-        rare, offset = np.array(rare, dtype=np.uint64), np.array(offset, dtype=np.int64)
+        # The rank of every distinct shingle by rarity, then by hash; 2**62 ranks nothing.
+        rank = np.empty(len(table), dtype=np.int64)
+        rank[np.lexsort((table, df[k]))] = np.arange(len(table))
+        at = rank[np.minimum(np.searchsorted(table, h), len(table) - 1)]
+        which = np.flatnonzero(win.width == k)
+        start, count = win.start[which], win.length[which] - k + 1
+        best, offset = np.full(len(which), 1 << 62), np.zeros(len(which), dtype=np.int64)
+        for j in range(int(count.max())):
+            here = np.where(count > j, at[np.minimum(start + j, len(at) - 1)], 1 << 62)
+            offset[here < best] = j
+            best = np.minimum(best, here)
+        rare = h[start + offset]
         order = np.argsort(rare, kind="stable")
         keys, first = np.unique(rare[order], return_index=True)
         out[k] = keys, np.append(first, len(order)), which[order], offset[order]
@@ -202,6 +208,7 @@ def covered(spans: list[int]) -> int:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Every row, packed, with n_words, n_hit, spans, items and contaminated (n_hit > 0 and 20 * n_hit >= n_words)."""
     items = benchmark.select(F.coalesce(F.col(f"`{item_id}`").cast("string"), F.lit("")).alias("name"), F.col(f"`{item_text}`").cast("string").alias("t"))
+    items = items.distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
     rows = packed(docs, F.col(f"`{text}`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
@@ -224,6 +231,3 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text")
     """The rows that aren't contaminated, with the columns of docs."""
     return unpacked(find_contamination(docs, benchmark, text).where("not contaminated"), docs.columns)
 
-
-def items_digest(names: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
