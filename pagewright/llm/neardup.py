@@ -9,14 +9,15 @@ Within a bucket no product of all pairs is made:
 
 1. every member is compared with one hub of its bucket, and what is linked is contracted to components;
 2. in buckets of at most ``SMALL`` members, pairs whose ends still lie in different components are compared;
-3. in larger ones, members outside the bucket's largest component are compared with all members, block against block,
-   and only links that join two components leave a block.
+3. in larger ones, members outside the bucket's largest component are compared with all members of like set size, block
+   against block, and only links that join two components leave a block.
 
 So every pair that shares a bucket is either compared on full sets or already connected.  Two documents of similarity s
 share a bucket with probability 1 - (1 - s**4)**32, which is 0.999995 at 0.75.
 
 Null and empty texts, and texts of blanks, have no set and are linked with nothing.  Repeated rows are copies.  Null
-doc_ids come last when a component is named; a component of null ids only has a null id.
+doc_ids come last when a component is named; a component of null ids only has a null id.  Texts are read whole, however
+long; an empty table gives no rows; other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,13 +29,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import drop, scratch, stored
+from pagewright.llm.common import drop, packed, scratch, stored, unpacked
 from pagewright.llm.graph import relabelled
 from pagewright.llm.words import WordHasher, blank_bytes, groups, mix, shingles
 
 WIDTH, ROWS, BANDS = 5, 4, 32
 PERCENT = 75
-SMALL, BLOCK = 32, 512
+SMALL, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 20
+#: Sizes of sets in one band differ by this factor at most; it is just over 4/3, by which sets that are alike may differ.
+BAND = 1.34
+#: Buckets with more members than HOT are joined by broadcast, if they are at most SMALL_TABLE.
+HOT, SMALL_TABLE = 256, 1 << 20
 CHUNK = 1 << 15
 _U = np.uint64
 
@@ -115,25 +120,26 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows.mapInArrow(run, "doc_id long, key long, n long, d1 long, d2 long, keys array<long>")
 
 
-class Candidates:
-    """The texts of classes, and exact verification of pairs of them."""
+def small(df: DataFrame) -> DataFrame:
+    """df, which is stored and narrow, marked for broadcast if it has at most ``SMALL_TABLE`` rows."""
+    return F.broadcast(df) if df.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else df
+
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, repeats: bool, folder: str, doc_id: str, text: str):
-        self.docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
-        self.classes, self.repeats, self.folder = classes, repeats, folder
+class Candidates:
+    """The texts of classes that share a bucket, fetched once, and exact verification of pairs of them."""
 
-    def texts(self, nodes: DataFrame, name: str) -> DataFrame:
-        """(node, text) of the classes in nodes.node."""
-        wanted = self.classes.join(nodes, "node", "left_semi").select("node", F.col("least.doc_id").alias("wanted_id"), F.col("least.key").alias("wanted_key"))
-        found = self.docs.withColumn("key", F.xxhash64("text")).join(wanted, (F.col("key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
-        return stored(found.dropDuplicates(["node"]) if self.repeats else found, f"{self.folder}/{name}")
+    def __init__(self, docs: DataFrame, classes: DataFrame, nodes: DataFrame, repeats: bool, folder: str, doc_id: str, text: str):
+        self.classes, self.folder = classes, folder
+        wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("least.doc_id").alias("wanted_id"), F.col("least.key").alias("wanted_key"))
+        docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text")).withColumn("key", F.xxhash64("text"))
+        found = docs.join(wanted, (F.col("key") == F.col("wanted_key")) & F.col("doc_id").eqNullSafe(F.col("wanted_id"))).select("node", "text")
+        self.texts = stored(found.dropDuplicates(["node"]) if repeats else found, f"{folder}/texts")
 
     def linked(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose sets are alike; sizes are compared before any text is fetched."""
+        """The pairs (a, b) whose sets are alike; sizes are compared before any text is joined."""
         for c in ("a", "b"):
             pairs = pairs.join(self.classes.select(F.col("node").alias(c), F.col("n").alias(f"n{c}")), c)
         pairs = stored(pairs.where(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb")).select("a", "b"), f"{self.folder}/{name}-pairs")
-        texts = self.texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-texts")
 
         def verify(batches):
             hasher = WordHasher(blank_bytes())
@@ -146,35 +152,53 @@ class Candidates:
                     sets = [s for g in groups(data) for s in sets_of(hasher, g)]
                     yield part.select(["a", "b"]).filter(pa.array([alike(sets[i], sets[j]) for i, j in zip(*ends)], pa.bool_()))
 
-        both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
-        out = stored(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), f"{self.folder}/{name}-links")
-        drop(texts.sparkSession, f"{self.folder}/{name}-texts")
-        return out
+        ends = [self.texts.select(F.col("node").alias(c), F.col("text").alias(f"t{c}")) for c in ("a", "b")]
+        both = pairs.join(ends[0], "a").join(ends[1], "b")
+        return stored(both.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long"), f"{self.folder}/{name}-links")
 
 
-def _rooted(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+def by_key(rows: DataFrame, buckets: DataFrame, how: str = "inner") -> DataFrame:
+    """rows (key, ...) joined with buckets (key, size, ...), which are stored.
+
+    Buckets of more than ``HOT`` members, which are few, go to the rows by broadcast; only other rows are shuffled.
+    """
+    hot = buckets.where(F.col("size") > HOT)
+    sent = small(hot)
+    rest = rows.join(small(hot.select("key")), "key", "left_anti")
+    return rows.join(sent, "key", how).unionByName(rest.join(buckets.where(F.col("size") <= HOT), "key", how))
+
+
+def _rooted(members: DataFrame, labels: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """members with their components, and the buckets that still hold more than one."""
     m = members.join(labels, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root"))
-    open_ = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    return m, open_
+    open_ = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.max("size").alias("size")).where("lo <> hi").select("key", "size")
+    return m, stored(open_, path)
 
 
 def _small_pairs(rows: DataFrame) -> DataFrame:
     """Pairs across components in buckets of at most SMALL members."""
-    listed = rows.where(F.col("size") <= SMALL).groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("m"))
+    listed = rows.groupBy("key").agg(F.collect_list(F.struct("node", "root")).alias("m"))
     pairs = F.expr("flatten(transform(m, x -> transform(filter(m, y -> y.node > x.node and y.root <> x.root), y -> struct(x.node as a, y.node as b))))")
     return listed.select(F.explode(pairs).alias("p")).select("p.a", "p.b").distinct()
 
 
-def _block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links that join components of large buckets: members outside the largest component against all members, in blocks."""
+def _block_links(rows: DataFrame, texts: DataFrame, folder: str) -> DataFrame:
+    """Links that join components of large buckets: members outside the largest component against all members, in blocks.
+
+    rows: key, node, root, n.  Sets whose sizes differ by more than a third can't be alike, so members meet in bands of
+    sizes only: a member is in its own band, a stray in that and the two beside it.  Blocks are bounded by documents and
+    by shingles.
+    """
     counts = rows.groupBy("key", "root").count()
-    main = counts.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.sum("count").alias("members"), F.max("count").alias("most"))
-    main = main.select("key", "main", F.ceil(F.col("members") / BLOCK).cast("int").alias("nm"), F.ceil((F.col("members") - F.col("most")) / BLOCK).cast("int").alias("ns"))
-    rows = rows.join(main, "key").join(texts, "node")
+    main = stored(counts.groupBy("key").agg(F.max_by("root", F.struct("count", "root")).alias("main")), f"{folder}/mains")
     spot = F.xxhash64("node", F.lit(7))
-    every = rows.select("key", F.pmod(spot, "nm").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("sb"), F.lit(0).alias("role"), "node", "root", "text")
-    strays = rows.where("root <> main").select("key", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), F.pmod(spot, "ns").cast("int").alias("sb"), F.lit(1).alias("role"), "node", "root", "text")
+    rows = rows.join(small(main), "key").withColumn("spot", spot).withColumn("band", F.floor(F.log("n") / F.log(F.lit(BAND))))
+    strays = rows.where("root <> main").withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+    blocks = lambda name: F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias(name)
+    cut = stored(rows.groupBy("key", "band").agg(blocks("nm")).join(strays.groupBy("key", "band").agg(blocks("ns")), ["key", "band"]), f"{folder}/cut")
+    every = rows.join(small(cut), ["key", "band"]).select("key", "band", F.pmod("spot", "nm").cast("int").alias("mb"), F.explode(F.sequence(F.lit(0), F.col("ns") - 1)).alias("sb"), F.lit(0).alias("role"), "node", "root")
+    strays = strays.join(small(cut), ["key", "band"]).select("key", "band", F.explode(F.sequence(F.lit(0), F.col("nm") - 1)).alias("mb"), F.pmod("spot", "ns").cast("int").alias("sb"), F.lit(1).alias("role"), "node", "root")
+    dealt = every.unionAll(strays).join(texts, "node")
 
     def compare(block: pa.Table) -> pa.Table:
         hasher = WordHasher(blank_bytes())
@@ -210,7 +234,7 @@ def _block_links(rows: DataFrame, texts: DataFrame) -> DataFrame:
                         b.append(node[j])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return every.unionAll(strays).groupBy("key", "mb", "sb").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy("key", "band", "mb", "sb").applyInArrow(compare, "a long, b long")
 
 
 def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,30 +249,30 @@ def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -
     banded = classes.select("node", F.explode("keys").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.count("*").alias("size")).where("size > 1")
     buckets = stored(buckets.select("key", F.when(F.col("key") % 2 == 0, F.col("lo")).otherwise(F.col("hi")).alias("hub"), "size"), f"{top}/buckets")
-    members = stored(banded.join(buckets, "key"), f"{top}/members")
+    members = stored(by_key(banded, buckets), f"{top}/members")
     drop(spark, f"{top}/buckets")
 
-    known = Candidates(docs, classes, repeats, top, doc_id, text)
+    known = Candidates(docs, classes, members.select("node").distinct(), repeats, top, doc_id, text)
     stars = members.where("node <> hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     stars = stored(stars, f"{top}/stars")
     labels = relabelled(None, known.linked(stars, "star"), f"{top}/graph-1")
 
-    rows, open_ = _rooted(members, labels)
+    rows, open_ = _rooted(members.where(F.col("size") <= SMALL), labels, f"{top}/open-1")
     more = _small_pairs(rows.join(open_, "key", "left_semi")).join(stars, ["a", "b"], "left_anti")
     labels = relabelled(labels, known.linked(more, "rest"), f"{top}/graph-2")
 
-    rows, open_ = _rooted(members.where(F.col("size") > SMALL), labels)
-    rows = stored(rows.join(open_, "key", "left_semi"), f"{top}/large")
+    rows, open_ = _rooted(members.where(F.col("size") > SMALL), labels, f"{top}/open-2")
+    rows = by_key(rows, open_, "left_semi").join(classes.select("node", "n"), "node")
+    rows = stored(rows, f"{top}/large")
     if not rows.isEmpty():
-        texts = known.texts(rows.select("node").distinct(), "large-texts")
-        links = stored(_block_links(rows, texts), f"{top}/block-links")
+        links = stored(_block_links(rows, known.texts, top), f"{top}/block-links")
         labels = relabelled(labels, links, f"{top}/graph-3")
 
     rooted = classes.select("d1", "d2", "node", "least").join(labels, "node", "left").select("d1", "d2", "least", F.coalesce("root", "node").alias("root"))
     rooted = stored(rooted, f"{top}/rooted")
     heads = stored(rooted.groupBy("root").agg(F.min("least").alias("head")), f"{top}/heads")
     found = stored(rooted.join(heads, "root").select("d1", "d2", F.col("head.doc_id").alias("component_id"), F.col("head.key").alias("keeper")), f"{top}/found")
-    drop(spark, *(f"{top}/{x}" for x in ("members", "stars", "graph-1", "graph-2", "graph-3", "large", "large-texts", "rooted", "heads")))
+    drop(spark, *(f"{top}/{x}" for x in ("members", "stars", "graph-1", "graph-2", "graph-3", "large", "texts", "open-1", "open-2", "mains", "cut", "rooted", "heads")))
     out = sig.select("doc_id", "key", "n", "d1", "d2").join(found, ["d1", "d2"], "left")
     alone = F.col("n") == 0
     return out.select("doc_id", "key", "n", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.when(alone, F.col("key")).otherwise(F.col("keeper")).alias("keeper"))
@@ -261,9 +285,9 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     """
     marked = components_of(docs, doc_id, text)
     stay = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("key") == F.col("keeper"))).groupBy("doc_id", "key").agg(F.max("n").alias("__n")).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "__n")
-    keyed = docs.withColumn("__text_key", F.xxhash64(F.col(f"`{text}`").cast("string")))
-    out = keyed.join(stay, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("__id")) & (F.col("__text_key") == F.col("__key")))
+    rows = packed(docs, F.xxhash64(F.col(f"`{text}`").cast("string")).alias("text_key"), F.col(f"`{doc_id}`").cast("long").alias("row_id"))
+    out = rows.join(stay, F.col("row_id").eqNullSafe(F.col("__id")) & (F.col("text_key") == F.col("__key")))
     if not marked.where("n > 0").groupBy("doc_id", "key").count().where("count > 1").isEmpty():
         blank = out.where("__n = 0")
         out = out.where("__n > 0").dropDuplicates(["__id", "__key"]).unionByName(blank)
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return unpacked(out, docs.columns)
