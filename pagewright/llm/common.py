@@ -24,6 +24,15 @@ def stored(df: DataFrame, path: str) -> DataFrame:
 drop = delete
 
 
+#: Tables of at most so many rows may be broadcast.
+SMALL_TABLE = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, which is stored and narrow, marked for broadcast if it has at most ``SMALL_TABLE`` rows."""
+    return F.broadcast(df) if df.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else df
+
+
 def packed(df: DataFrame, *more: Column) -> DataFrame:
     """One struct column with the whole row, besides the columns that a step computes, so that no name can clash."""
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(PACKED), *more)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import drop, stored
+from pagewright.llm.common import drop, small, stored
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
@@ -13,7 +13,8 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
 
     Each round points every node at its smallest neighbour, follows the pointer once more, and replaces the ends of all
     edges by what they point at, until no edge is left.  A round at least halves the nodes that still have edges.  Minima
-    are partial aggregates, and pointers are joined as stored tables, so a node with very many edges is no single task.
+    are partial aggregates, and pointers are joined as stored tables, by broadcast where they are few, so that a root with
+    very many nodes is no single task.
     """
     spark = edges.sparkSession
     labels, k, before = None, 0, []
@@ -26,7 +27,7 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
         if labels is None:
             labels = to.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
-            moved = labels.join(to.select(F.col("u").alias("root"), "p"), "root", "left")
+            moved = labels.join(small(to.select(F.col("u").alias("root"), "p")), "root", "left")
             labels = stored(moved.select("node", F.coalesce("p", "root").alias("root")), f"{folder}/labels-{k}")
         ends = edges.join(to.select(F.col("u").alias("a"), F.col("p").alias("x")), "a").join(to.select(F.col("u").alias("b"), F.col("p").alias("y")), "b")
         k += 1
@@ -43,7 +44,6 @@ def relabelled(labels: DataFrame | None, edges: DataFrame, folder: str) -> DataF
     for c in ("a", "b"):
         edges = edges.join(labels.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")), c, "left").withColumn(c, F.coalesce(f"r{c}", c)).drop(f"r{c}")
     new = components(edges, folder).select(F.col("node").alias("old"), F.col("root").alias("new"))
-    out = labels.join(new, labels["root"] == new["old"], "full_outer")
-    moved = out.select(F.coalesce("node", "old").alias("node"), F.coalesce("new", "root").alias("root"))
-    own = new.select(F.col("old").alias("node"), F.col("new").alias("root")).join(moved.select("node"), "node", "left_anti")
+    moved = labels.join(small(new), labels["root"] == new["old"], "left").select("node", F.coalesce("new", "root").alias("root"))
+    own = new.join(labels.select("node"), F.col("old") == F.col("node"), "left_anti").select(F.col("old").alias("node"), F.col("new").alias("root"))
     return stored(moved.unionAll(own), f"{folder}/merged")

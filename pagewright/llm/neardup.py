@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import drop, packed, scratch, stored, unpacked
+from pagewright.llm.common import drop, packed, scratch, small, stored, unpacked
 from pagewright.llm.graph import relabelled
 from pagewright.llm.words import WordHasher, blank_bytes, groups, mix, shingles
 
@@ -38,8 +38,8 @@ PERCENT = 75
 SMALL, BLOCK, BLOCK_SHINGLES = 32, 512, 1 << 20
 #: Sizes of sets in one band differ by this factor at most; it is just over 4/3, by which sets that are alike may differ.
 BAND = 1.34
-#: Buckets with more members than HOT are joined by broadcast, if they are at most SMALL_TABLE.
-HOT, SMALL_TABLE = 256, 1 << 20
+#: Buckets with more members than HOT are joined by broadcast, if they are few enough.
+HOT = 256
 CHUNK = 1 << 15
 _U = np.uint64
 
@@ -120,11 +120,6 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return rows.mapInArrow(run, "doc_id long, key long, n long, d1 long, d2 long, keys array<long>")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """df, which is stored and narrow, marked for broadcast if it has at most ``SMALL_TABLE`` rows."""
-    return F.broadcast(df) if df.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else df
-
-
 class Candidates:
     """The texts of classes that share a bucket, fetched once, and exact verification of pairs of them."""
 

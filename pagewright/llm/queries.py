@@ -16,11 +16,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every record of the deduplicated archives of ``pages``, read back from them; the archives stay in the shared folder."""
     back, _ = warc.deduplicated_archives(spark, table(spark, sf_dir, "pages"))
     return back
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, digest of base spans and all spans of the secrets in every document."""
     found = secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
@@ -29,23 +31,27 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rules and the trees' verdict on every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     forest = quality.learn(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, forest).select(f"{PACKED}.doc_id", *quality.COUNTS, "base_failed", "kept", "probability")
 
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document; the smallest doc_id of a component is kept."""
     marked = neardup.components_of(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return marked.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op5_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact base score and the model's score of every document, learnt from those that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = bloomlm.scores(docs, docs.where(~bloomlm.held_out()))
     return scored.select("doc_id", bloomlm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Start, number and checksum of every document's ids, read back from the files; these stay in the shared folder."""
     import public_tokenizers
 
     back, _ = idfiles.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
@@ -53,6 +59,7 @@ def op6_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words inside benchmark windows, items found and verdict for every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"))
     names = F.array_join(F.array_sort("items"), ",")
@@ -60,6 +67,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by a classifier that saw no held-out label."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.learn(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model)
@@ -68,10 +76,12 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document by the law ``key``."""
     return sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document, beside its source's size and target."""
     report = mixing.mix_report(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return report.select("doc_id", "size", "source_size", "target", "taken")
 
