@@ -98,8 +98,8 @@ def words(c: Column) -> Column:
 
 
 def numbers(c: Column) -> Column:
-    """F13."""
-    return F.regexp_extract_all(c, F.lit(NUMBER), F.lit(0))
+    """F13; digits and word bounds are Unicode's."""
+    return F.regexp_extract_all(c, F.lit("(?U)" + NUMBER), F.lit(0))
 
 
 def confidence_unit(c: Column) -> Column:

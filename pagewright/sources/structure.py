@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import text
+from pagewright.storage import delete, shared_folder, stored
 
 # Tags that only group others, and what headings' tags may be called.
 GROUPING = ["Document", "Part", "Sect", "Art", "Div"]
@@ -18,16 +17,25 @@ def struct_tree(nodes: DataFrame, roles: dict[str, str] | None = None) -> DataFr
     """Nodes (doc_id, xref, parent, tag, page) below the roots (parent null), with depth and the page inherited.
 
     A node's tag is replaced by its role; grouping tags are left out of the result but passed through.  A node that is its
-    own ancestor is not reached, so a broken tree ends.
+    own ancestor, or whose ancestor is missing, is not reached.
+
+    Every node points at its parent; each round it takes over the pointer, depth and page of what it points at, so a tree
+    of any depth takes about log2(depth) joins, on stored tables.  An xref is unique in its document.
     """
-    view = f"nodes_{uuid.uuid4().hex}"
+    spark = nodes.sparkSession
+    folder = shared_folder(spark, "tree")
     role = F.create_map(*[F.lit(x) for kv in (roles or {"": ""}).items() for x in kv])
-    nodes.withColumn("tag", F.coalesce(role[F.col("tag")], F.col("tag"))).createOrReplaceTempView(view)
-    grouping = ", ".join(f"'{g}'" for g in GROUPING)
-    return nodes.sparkSession.sql(f"""WITH RECURSIVE tree (doc_id, xref, tag, page, depth) AS (
-      SELECT doc_id, xref, tag, page, 0 FROM {view} WHERE parent IS NULL
-      UNION ALL SELECT n.doc_id, n.xref, n.tag, coalesce(n.page, t.page), t.depth + 1 FROM tree t JOIN {view} n ON n.doc_id = t.doc_id AND n.parent = t.xref)
-      SELECT * FROM tree WHERE tag NOT IN ({grouping})""")
+    rows = nodes.select("doc_id", "xref", F.coalesce(role[F.col("tag")], F.col("tag")).alias("tag"), "page", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth"))
+    rows = stored(rows, f"{folder}/0")
+    for k in range(1, rows.count().bit_length() + 2):
+        open_ = rows.where("up is not null")
+        if open_.isEmpty():
+            break
+        above = rows.select("doc_id", F.col("xref").alias("up"), F.col("page").alias("p"), F.col("up").alias("u"), F.col("depth").alias("d"))
+        moved = open_.join(above, ["doc_id", "up"]).select("doc_id", "xref", "tag", F.coalesce("page", "p").alias("page"), F.col("u").alias("up"), (F.col("depth") + F.col("d")).alias("depth"))
+        rows = stored(rows.where("up is null").unionByName(moved), f"{folder}/{k}")
+        delete(spark, f"{folder}/{k - 1}")
+    return rows.where(F.col("up").isNull() & ~F.col("tag").isin(GROUPING)).select("doc_id", "xref", "tag", "page", "depth")
 
 
 def markup_counts(pages: DataFrame) -> DataFrame:

@@ -27,11 +27,12 @@ def shared_folder(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{local_folder()}"
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    uri = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toUri()
-    where = uri.getAuthority() or ""
-    return posixpath.join(f"{uri.getScheme()}://{where}{uri.getPath()}", f"pagewright-{name}-{uuid.uuid4().hex}")
+    if "://" not in base:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(base)
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        uri = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toUri()
+        base = f"{uri.getScheme()}://{uri.getAuthority() or ''}{uri.getPath()}"
+    return posixpath.join(base, f"pagewright-{name}-{uuid.uuid4().hex}")
 
 
 def stored(df: DataFrame, path: str) -> DataFrame:
