@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.functions.geometry import Box, iou, overlap_ratio, relationship
+from pagewright.functions.geometry import Box, area, iou, overlap_ratio, relationship
 from pagewright.functions.text import normal_key, similarity, strip, word_set
 
 PAGE = ["doc_id", "page"]
@@ -212,29 +212,98 @@ def column_members(items: DataFrame, tolerance: float = 15.0, least: int = 3) ->
     return a.join(b, PAGE).where(near).groupBy(*PAGE, "ord_a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*PAGE, F.col("ord_a").alias("ord"), "n")
 
 
+def in_turn(items: Column, clash) -> Column:
+    """Greedy choice: items are taken one by one, but those for which ``clash(taken, item)`` holds with one taken before."""
+    nothing = F.filter(items, lambda x: F.lit(False))
+    return F.aggregate(items, nothing, lambda taken, x: F.when(F.exists(taken, lambda t: clash(t, x)), taken).otherwise(F.array_append(taken, x)))
+
+
+def by_place(columns: list[str], where: Column | None = None) -> Column:
+    """An aggregate: a page's rows as structs by their place; those of ``where`` alone, if it is given."""
+    row = F.struct(*columns)
+    order = lambda a, b: F.when(a["ord"] < b["ord"], -1).when(a["ord"] > b["ord"], 1).otherwise(0)
+    return F.array_sort(F.collect_list(row if where is None else F.when(where, row)), order)
+
+
 def new_visuals(visuals: DataFrame, known: DataFrame, cover: float = 0.60, larger: float = 2.5) -> DataFrame:
-    """Visuals that no known visual of at most ``larger`` times their area covers by ``cover``."""
+    """Visuals that nothing on their page covers by ``cover``, neither a known visual nor one that was accepted before.
+
+    What is over ``larger`` times a visual's area is its container and doesn't count.  Known visuals are met by an anti
+    join; what that leaves is accepted in turn, by place.
+    """
     v, k = renamed(visuals, "_v"), renamed(known, "_k")
     bv, bk = Box.of(suffix="_v"), Box.of(suffix="_k")
     hit = ((bk.width * bk.height) <= larger * (bv.width * bv.height)) & (overlap_ratio(bv, bk) >= cover)
     seen = v.join(k, PAGE).where(hit).select(*PAGE, F.col("ord_v").alias("ord")).distinct()
-    return visuals.join(seen, [*PAGE, "ord"], "left_anti")
+    box = lambda x: Box(*(x[c] for c in ("x0", "y0", "x1", "y1")))
+    covers = lambda t, x: (area(box(t)) <= larger * area(box(x))) & (overlap_ratio(box(x), box(t)) >= cover)
+    rest = [c for c in visuals.columns if c not in PAGE]
+    left = visuals.join(seen, [*PAGE, "ord"], "left_anti").groupBy(*PAGE).agg(by_place(rest).alias("items"))
+    return left.select(*PAGE, F.inline(in_turn(F.col("items"), covers)))
 
 
-def fraction_members(spans: DataFrame, bars: DataFrame) -> DataFrame:
-    """Spans above (num) or below (den) a fraction bar: wide enough an overlap, and an edge near the bar."""
+def distinct_boxes(boxes: DataFrame, near: float = 8.0, most: float = 0.65) -> DataFrame:
+    """U4: of boxes all of whose sides lie within ``near`` points of each other's, the first stays.
+
+    Boxes over ``most`` of their page's width and of its height contain the page and go first, where the page's size
+    (page_width, page_height) is a column.
+    """
+    if {"page_width", "page_height"} <= set(boxes.columns):
+        boxes = boxes.where(~F.coalesce((F.col("x1") - F.col("x0") > most * F.col("page_width")) & (F.col("y1") - F.col("y0") > most * F.col("page_height")), F.lit(False)))
+    same = lambda t, x: (F.abs(t["x0"] - x["x0"]) < near) & (F.abs(t["y0"] - x["y0"]) < near) & (F.abs(t["x1"] - x["x1"]) < near) & (F.abs(t["y1"] - x["y1"]) < near)
+    return boxes.groupBy(*PAGE).agg(by_place([c for c in boxes.columns if c not in PAGE]).alias("items")).select(*PAGE, F.inline(in_turn(F.col("items"), same)))
+
+
+def _at_bars(spans: DataFrame, bars: DataFrame) -> DataFrame:
+    """Spans (``_s``) with the bars (``_b``) that they stand above or below: wide enough an overlap, and an edge near the bar."""
     s, b = renamed(spans, "_s"), renamed(bars, "_b")
     overlap = F.least("x1_s", "x1_b") - F.greatest("x0_s", "x0_b")
     inside = (F.col("x0_s") >= F.col("x0_b") - 3) & (F.col("x1_s") <= F.col("x1_b") + 3)
     wide = (overlap / F.greatest(F.lit(1.0), F.col("x1_s") - F.col("x0_s")) >= 0.4) | inside
     num = F.col("y1_s").between(F.col("y0_b") - 22, F.col("y0_b") + 2)
     den = F.col("y0_s").between(F.col("y1_b") - 2, F.col("y1_b") + 22)
-    part = F.when(num, "num").when(den, "den")
-    return s.join(b, PAGE).where(wide).withColumn("part", part).where("part is not null").select(*PAGE, F.col("ord_b").alias("bar"), F.col("ord_s").alias("ord"), "part")
+    return s.join(b, PAGE).where(wide).withColumn("part", F.when(num, "num").when(den, "den")).where("part is not null")
+
+
+def fraction_members(spans: DataFrame, bars: DataFrame) -> DataFrame:
+    """Spans above (num) or below (den) a fraction bar."""
+    return _at_bars(spans, bars).select(*PAGE, F.col("ord_b").alias("bar"), F.col("ord_s").alias("ord"), "part")
+
+
+def fraction_texts(spans: DataFrame, bars: DataFrame) -> DataFrame:
+    """the fraction at every bar: its text and the sides of bar and members.
+
+    spans: also text, size and base (of the baseline).  Members stand from left to right; one of under 0.85 times the size
+    of the one before whose base is over 2 points higher is a superscript.  A part with + or - has parentheses, and a
+    numerator without a denominator stands alone.
+    """
+    one = Window.partitionBy(*PAGE, "ord_b", "part").orderBy("x0_s", "ord_s")
+    raised = (F.col("size_s") < 0.85 * F.lag("size_s").over(one)) & (F.col("base_s") < F.lag("base_s").over(one) - 2)
+    token = F.concat(F.when(raised, "^").otherwise(""), strip(F.coalesce("text_s", F.lit(""))))
+    m = _at_bars(spans, bars).withColumn("token", token)
+    part = lambda p: strip(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == p, F.struct("x0_s", "ord_s", "token")))), lambda x: x["token"]), "")).alias(p)
+    g = m.groupBy(*PAGE, F.col("ord_b").alias("bar")).agg(part("num"), part("den"), F.least(F.min("x0_b"), F.min("x0_s")).alias("x0"), F.greatest(F.max("x1_b"), F.max("x1_s")).alias("x1"))
+    whole = lambda c: F.when(F.col(c).rlike("[-+\u2212]"), F.concat(F.lit("("), c, F.lit(")"))).otherwise(F.col(c))
+    return g.select(*PAGE, "bar", F.when(F.col("den") != "", F.concat(whole("num"), F.lit("/"), whole("den"))).otherwise(F.col("num")).alias("text"), "x0", "x1")
 
 
 def blocks_at_bars(blocks: DataFrame, bars: DataFrame) -> DataFrame:
-    """Blocks that a fraction bar crosses or touches."""
+    """Blocks that hold a fraction bar, with 5 points to spare."""
     b = bars.select(*PAGE, *[F.col(c).alias(f"{c}_b") for c in ("x0", "y0", "x1", "y1")])
-    hit = (F.col("x0") < F.col("x1_b")) & (F.col("x0_b") < F.col("x1")) & (F.col("y0") - 3 < F.col("y1_b")) & (F.col("y0_b") < F.col("y1") + 3)
+    hit = (F.col("x0") - 5 <= F.col("x0_b")) & (F.col("x1_b") <= F.col("x1") + 5) & F.col("y0_b").between(F.col("y0") - 5, F.col("y1") + 5)
     return blocks.join(b, [blocks[c] == b[c] for c in PAGE] + [hit], "left_semi")
+
+
+def bar_clusters(blocks: DataFrame, bars: DataFrame, least: float = 3.0) -> DataFrame:
+    """doc_id, page, ord and ``cluster``, the place of the block that leads its row.
+
+    Blocks that hold a bar lead, in turn, unless they share over ``least`` points of height with a leader before them; a
+    later block joins the first leader with which it does, and all others stay alone.
+    """
+    e = blocks.select(*PAGE, "ord", "x0", "y0", "x1", "y1")
+    held = blocks_at_bars(e, bars).select(*PAGE, "ord", F.lit(True).alias("held"))
+    row = lambda t, x: F.least(t["y1"], x["y1"]) - F.greatest(t["y0"], x["y0"]) > least
+    pages = e.join(held, [*PAGE, "ord"], "left").groupBy(*PAGE).agg(by_place(["ord", "y0", "y1"]).alias("items"), by_place(["ord", "y0", "y1"], F.col("held")).alias("holders"))
+    led = pages.withColumn("leaders", in_turn(F.col("holders"), row)).select(*PAGE, "leaders", F.explode("items").alias("i"))
+    first = F.get(F.filter("leaders", lambda t: (t["ord"] < F.col("i.ord")) & row(t, F.col("i"))), F.lit(0))
+    return led.select(*PAGE, F.col("i.ord").alias("ord"), F.coalesce(first["ord"], F.col("i.ord")).alias("cluster"))

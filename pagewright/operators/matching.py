@@ -7,209 +7,273 @@ pandas function on one page at a time, and a page bounds its memory.
 from __future__ import annotations
 
 import difflib
+import itertools
+import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.functions.classify import CAPTION, NUMBERED, SECTION
 from pagewright.functions.text import strip
 
-# Functions allowed in a term of a fraction.
-FUNCTIONS = ["sin", "cos", "tan", "log", "lim", "max", "min", "exp", "sqrt"]
+# Names of functions and the signs that no term of a fraction holds; texts of trademark signs.
+FUNCTIONS = ["sin", "cos", "tan", "cot", "sec", "csc", "log", "ln", "lim", "exp", "mod", "sqrt"]
+NO_TERM = r"""[:;,!?"'@#$%&]"""
+NO_SHORT_TERM = r"""[:;,!?"=+]"""
+TRADEMARKS = ["TM", "™", "M"]
 # End of fixed values.
 
 
 def is_fraction_term(c: Column) -> Column:
-    """at most 18 characters and 4 words, no sentence marks, no long word but a function's name, numbers up to 99."""
+    """at most 18 characters and 4 words, none of NO_TERM, no word of 3 letters but a function's name, whole numbers up to 99."""
     t = strip(F.coalesce(c, F.lit("")))
-    words = F.filter(F.split(t, r"\s+"), lambda w: w != "")
-    long = F.exists(F.regexp_extract_all(F.lower(t), F.lit("[a-z]{3,}"), F.lit(0)), lambda w: ~w.isin(FUNCTIONS))
-    big = t.rlike(r"^\d+$") & (F.length(t) > 2)
-    return (t != "") & (F.length(t) <= 18) & ~t.rlike("[.,;:!?]") & (F.size(words) <= 4) & ~long & ~big
+    words = F.filter(F.split(t, r"(?U)\s+"), lambda w: w != "")
+    letters = lambda w: F.lower(F.regexp_replace(w, "[^a-zA-Z]", ""))
+    long = F.exists(words, lambda w: (F.length(letters(w)) >= 3) & ~letters(w).isin(FUNCTIONS))
+    big = t.rlike(r"^\p{Nd}+$") & (F.length(F.regexp_replace(t, "^0+", "")) > 2)
+    return (F.length(t) <= 18) & ~t.rlike(NO_TERM) & (F.size(words) <= 4) & ~long & ~big & t.rlike("[0-9a-zA-Z+*-]")
 
 
-def short_terms(e: DataFrame) -> DataFrame:
-    """Items that carry the length of their text, a short number, as candidates for fractions."""
-    t = F.length("text").cast("string")
-    return e.select("doc_id", "page", "ord", t.alias("text"), "x0", "y0", "x1", (F.col("y0") + 14.0).alias("y1")).where(is_fraction_term(F.col("text")))
+def is_short_term(c: Column) -> Column:
+    """J10's terms: at most 12 characters, none of NO_SHORT_TERM."""
+    t = strip(F.coalesce(c, F.lit("")))
+    return (F.length(t) <= 12) & ~t.rlike(NO_SHORT_TERM)
+
+
+def terms(e: DataFrame) -> DataFrame:
+    """Items that carry the length of their text, every third with a sum, four to a column."""
+    i = F.col("ord") - 1
+    aside = 700.0 * F.floor(i / 4)
+    t = F.concat(F.length("text").cast("string"), F.when(F.col("ord") % 3 == 0, "+x").when(F.col("ord") % 3 == 1, "a").otherwise(""))
+    return e.select("doc_id", "page", "ord", t.alias("text"), (F.col("x0") + aside).alias("x0"), "y0", (F.col("x1") + aside).alias("x1"), (F.col("y0") + 14.0).alias("y1"))
 
 
 def with_marks(e: DataFrame) -> DataFrame:
-    """Every fourth item becomes a small mark beside the item before."""
-    mark = F.col("ord") % 4 == 0
-    return e.select("doc_id", "page", "ord", F.when(mark, "TM").otherwise(F.col("text")).alias("text"), F.when(mark, F.col("x1") - 300).otherwise(F.col("x0")).alias("x0"), "y0", F.when(mark, F.col("x1") - 290).otherwise(F.col("x1")).alias("x1"), F.when(mark, F.col("y0") + 5).otherwise(F.col("y1")).alias("y1"))
+    """Every fourth item becomes a small mark beside the item before; some others end in a full stop."""
+    o = F.col("ord")
+    mark = o % 4 == 0
+    sign = F.when(o % 3 == 0, "TM").when(o % 3 == 1, "™").otherwise("m")
+    text = F.when(mark, sign).otherwise(F.concat("text", F.when(o % 3 == 0, ".").otherwise("")))
+    return e.select("doc_id", "page", "ord", text.alias("text"), F.when(mark, F.col("x1") - 300).otherwise(F.col("x0")).alias("x0"), "y0", F.when(mark, F.col("x1") - 290).otherwise(F.col("x1")).alias("x1"), F.when(mark, F.col("y0") + 5).otherwise(F.col("y1")).alias("y1"))
+
+
+def _meet(a, b) -> float:
+    """Width that two items share."""
+    return max(0.0, min(a.x1, b.x1) - max(a.x0, b.x0))
+
+
+def _apart(a, b) -> float:
+    return abs((a.x0 + a.x1) / 2 - (b.x0 + b.x1) / 2)
+
+
+def _wide(a) -> float:
+    return max(1.0, a.x1 - a.x0)
+
+
+def _result(g: pd.DataFrame, **columns) -> pd.DataFrame:
+    return pd.DataFrame({"doc_id": g.doc_id.iloc[0], "page": g.page.iloc[0], **columns})
 
 
 def fraction_pairs(g: pd.DataFrame) -> pd.DataFrame:
-    """Each item takes the item 2 to 26 points below whose centre is nearest; no item is used twice."""
-    g = g.sort_values(["y0", "x0", "ord"], kind="stable")
-    rows = list(zip(g.ord, (g.x0 + g.x1) / 2, g.y0, g.x1 - g.x0))
+    """Each item takes the nearest centre among items 2 to 26 points below that overlap it or stand under it; no item is used twice.
+
+    Items are those of ``is_short_term``; of equally near ones the first from the top and the left counts.
+    """
+    rows = list(g.sort_values(["y0", "x0", "ord"], kind="stable").itertuples())
     used, out = set(), []
-    for i, (num, xc, y, w) in enumerate(rows):
-        if num in used:
+    for i, top in enumerate(rows):
+        if i in used:
             continue
-        near = [(abs(xd - xc), k, den) for k, (den, xd, yd, wd) in enumerate(rows) if k != i and den not in used and 2 <= yd - y <= 26 and abs(xd - xc) <= max(w, wd) / 2]
-        if near:
-            den = min(near)[2]
-            used |= {num, den}
-            out.append((num, den))
-    return pd.DataFrame({"doc_id": g.doc_id.iloc[0], "page": g.page.iloc[0], "num": [a for a, _ in out], "den": [b for _, b in out]}).astype({"num": "int32", "den": "int32"})
+        under = [(_apart(top, low), j) for j, low in enumerate(rows[i + 1 :], i + 1) if j not in used and 2 <= low.y0 - top.y0 <= 26]
+        under = [(d, j) for d, j in under if d < 999 and (_meet(top, rows[j]) > 0.25 * min(_wide(top), _wide(rows[j])) or d <= max(10.0, 0.5 * max(_wide(top), _wide(rows[j]))))]
+        if under:
+            j = min(under)[1]
+            used |= {i, j}
+            out.append((top.ord, rows[j].ord))
+    return _result(g, num=[n for n, _ in out], den=[d for _, d in out]).astype({"num": "int32", "den": "int32"})
 
 
-def in_parentheses(t: str) -> str:
-    """a term with an operator inside needs parentheses in a fraction."""
-    t = t.strip()
-    return f"({t})" if any(c in t[1:] for c in "+-−") and not (t.startswith("(") and t.endswith(")")) else t
+def clean_math_term(t: str) -> str:
+    """exponents and indices of letters and digits lose their braces."""
+    return re.sub(r"([\^_])\{([a-zA-Z0-9]+)\}", r"\1\2", t.strip())
 
 
-def format_fraction(num: str, den: str) -> str:
-    """num/den with parentheses where they are needed; exponents lose their braces."""
-    return "/".join(in_parentheses(_bare_exponents(x)) for x in (num, den))
+def _enclosed(t: str) -> bool:
+    """Whether one pair of parentheses holds the whole text."""
+    depths = list(itertools.accumulate((c == "(") - (c == ")") for c in t))
+    return t.startswith("(") and t.endswith(")") and 0 not in depths[:-1]
 
 
-def _bare_exponents(t: str) -> str:
-    import re
+def format_fraction(num: str, den: str) -> str:
+    """num/den; what holds a sign of a sum or an equation gets parentheses, unless they enclose it."""
+    parts = [re.sub(r"^-\s+", "-", clean_math_term(x)) for x in (num, den)]
+    return "/".join(f"({x})" if any(c in x for c in "+-=") and not _enclosed(x) else x for x in parts)
+
 
-    return re.sub(r"([\^_])\{(\w)\}", r"\1\2", t.strip())
+def _spaced_fraction(num: str, den: str) -> str:
+    """num/den with blanks around signs between letters or digits; a sum or an equation in parentheses unless some stand at both ends."""
+    parts = [re.sub(r"([a-zA-Z0-9])\s*([+\-])\s*([a-zA-Z0-9])", r"\1 \2 \3", x.strip()) for x in (num, den)]
+    return "/".join(f"({x})" if any(c in x for c in "+-=") and not (x[0] == "(" and x[-1] == ")") else x for x in parts)
 
 
 def vertical_fractions(g: pd.DataFrame) -> pd.DataFrame:
-    """An item and the first fitting item below it become one fraction; other items stay."""
-    g = g.sort_values(["y0", "x0", "ord"], kind="stable")
-    rows = list(zip(g.ord, g.text, g.x0, g.y0, g.x1, g.y1))
+    """A term and the first fitting term below it become one fraction; other items stay.  ``term`` tells the terms of F17.
+
+    Items of which three or more stand in one column are of a table and take no part.
+    """
+    rows = list(g.sort_values(["y0", "x0", "ord"], kind="stable").itertuples())
+    stacked = lambda a: sum(_apart(a, b) <= max(12.0, 0.4 * max(_wide(a), _wide(b))) or _meet(a, b) > 0.4 * min(_wide(a), _wide(b)) for b in rows) >= 3
+    free = {i for i, a in enumerate(rows) if a.term and not stacked(a)}
+    tall = lambda a: max(1.0, a.y1 - a.y0)
+    fits = lambda a, b: -5 <= b.y0 - a.y1 < 3.5 * max(tall(a), tall(b)) and (_apart(a, b) < 0.7 * max(_wide(a), _wide(b)) or _meet(a, b) > 0.25 * min(_wide(a), _wide(b)))
     used, out = set(), []
-    for i, (o, t, x0, y0, x1, y1) in enumerate(rows):
-        if o in used:
+    for i, a in enumerate(rows):
+        if i in used:
             continue
-        for p, u, a0, b0, a1, b1 in rows[i + 1 :]:
-            gap, tall = b0 - y1, max(1.0, min(y1 - y0, b1 - b0))
-            centred = abs((a0 + a1) / 2 - (x0 + x1) / 2) <= max(x1 - x0, a1 - a0) / 2
-            if p not in used and -5 <= gap < 3.5 * tall and centred and b0 > y0:
-                used.add(p)
-                t = format_fraction(t, u)
-                break
-        out.append((o, t))
-    return pd.DataFrame({"doc_id": g.doc_id.iloc[0], "page": g.page.iloc[0], "ord": [o for o, _ in out], "text": [t for _, t in out]})
+        j = next((j for j in range(i + 1, len(rows)) if i in free and j in free and j not in used and fits(a, rows[j])), None)
+        used |= {i, j}
+        out.append((a.ord, a.text if j is None else _spaced_fraction(a.text, rows[j].text)))
+    return _result(g, ord=[o for o, _ in out], text=[t for _, t in out])
 
 
 def superscript_marks(g: pd.DataFrame) -> pd.DataFrame:
-    """A small TM mark joins the first item that it stands at the upper right of."""
-    g = g.sort_values(["y0", "x0", "ord"], kind="stable")
-    rows = [dict(r) for r in g.to_dict("records")]
-    gone = set()
-    for m in rows:
-        if m["text"] not in ("TM", "™"):
+    """An item takes the first unused small trademark sign at its upper right; a full stop before it goes."""
+    rows = list(g.sort_values("ord", kind="stable").itertuples())
+    mark = [(a.text or "").strip().upper() in TRADEMARKS for a in rows]
+    used, out = set(), []
+    for i, a in enumerate(rows):
+        if i in used:
             continue
-        for r in rows:
-            if r is m or r["ord"] in gone or r["text"] in ("TM", "™"):
-                continue
-            tall = max(1.0, r["y1"] - r["y0"])
-            if -25 <= m["x0"] - r["x1"] <= 70 and r["y0"] - tall <= m["y0"] <= r["y0"] + 0.45 * tall and m["y1"] - m["y0"] <= 0.55 * tall:
-                r["text"] += "™"
-                gone.add(m["ord"])
-                break
-    kept = [r for r in rows if r["ord"] not in gone]
-    return pd.DataFrame({"doc_id": g.doc_id.iloc[0], "page": g.page.iloc[0], "ord": [r["ord"] for r in kept], "text": [r["text"] for r in kept]})
+        tall = a.y1 - a.y0
+        j = next((j for j, m in enumerate(rows) if mark[j] and j != i and j not in used and -25 <= m.x0 - a.x1 <= 70 and m.y0 <= a.y0 + 0.45 * tall and m.y1 - m.y0 <= 0.55 * tall), None)
+        used |= {i, j}
+        out.append((a.ord, a.text if j is None else f"{(a.text or '').strip().removesuffix('.').strip()} TM"))
+    return _result(g, ord=[o for o, _ in out], text=[t for _, t in out])
 
 
 def recovered_lines(g: pd.DataFrame) -> pd.DataFrame:
-    """A line read again replaces the first native line it resembles, within 40 points; one that resembles none is added."""
-    g = g.sort_values(["source", "ord"], kind="stable")
-    base = [dict(r) for r in g[g.source == "native"].to_dict("records")]
-    out = [(r["ord"], r["text"], r["y0"], "native") for r in base]
-    for r in g[g.source == "ocr"].to_dict("records"):
-        t, first = r["text"].strip(), None
-        for k, (o, u, y, origin) in enumerate(out):
-            if abs(y - r["y0"]) >= 40 or not u:
-                continue
-            inside = min(len(t), len(u)) >= 8 and (t in u or u in t)
-            if inside or difflib.SequenceMatcher(None, t, u).ratio() >= 0.55:
-                first = k
-                break
-        if first is None:
-            out.append((r["ord"] + 1000, t, r["y0"], "added"))
-        else:
-            o, _, y, _ = out[first]
-            out[first] = (o, t, y, "replaced")
-    return pd.DataFrame({"doc_id": g.doc_id.iloc[0], "page": g.page.iloc[0], "ord": [x[0] for x in out], "text": [x[1] for x in out], "origin": [x[3] for x in out]})
-
+    """A line read again replaces the first line it resembles within 40 points, others that it resembles go; else it is added.
 
-def distinct_boxes(g: pd.DataFrame) -> pd.DataFrame:
-    """U4: of boxes all of whose sides lie within 8 points of each other's, the first stays."""
-    g = g.sort_values("ord", kind="stable")
-    kept: list[tuple] = []
-    for r in zip(g.ord, g.x0, g.y0, g.x1, g.y1):
-        if not any(all(abs(a - b) < 8.0 for a, b in zip(r[1:], k[1:])) for k in kept):
-            kept.append(r)
-    return pd.DataFrame({"doc_id": g.doc_id.iloc[0], "page": g.page.iloc[0], "ord": [k[0] for k in kept]})
+    Two lines are alike from a ratio of 0.55, or if the old one has 8 characters and is part of the new one; case doesn't
+    count.  A replaced line stands where the new one does, and lines read later meet it there.
+    """
+    g = g.sort_values(["source", "ord"], kind="stable")
+    out = [[a.ord, a.text or "", a.y0, "native"] for a in g[g.source == "native"].itertuples()]
+    for a in g[g.source == "ocr"].itertuples():
+        new = (a.text or "").strip()
+        if not new:
+            continue
+        low, alike = new.lower(), []
+        for line in out:
+            old = line[1].strip().lower()
+            if old and abs(line[2] - a.y0) < 40 and ((len(old) >= 8 and old in low) or difflib.SequenceMatcher(None, low, old).ratio() >= 0.55):
+                alike.append(line)
+        if not alike:
+            out.append([1000 + len(out), new, a.y0, "added"])
+            continue
+        alike[0][1:] = [new, a.y0, "replaced"]
+        for line in alike[1:]:
+            line[1] = ""
+    out = [x for x in out if x[1].strip()]
+    return _result(g, ord=[x[0] for x in out], text=[x[1] for x in out], origin=[x[3] for x in out])
 
 
 def style_blocks(g: pd.DataFrame) -> pd.DataFrame:
-    """A new block where a heading begins or ends or the size jumps by 2.5 points over the block's largest."""
-    g = g.sort_values("ord", kind="stable")
-    block, most, was, out = 0, None, False, []
-    for size, bold, t in zip(g.font_size, g.bold, g.text):
-        heading = bool(bold) and len(t.split()) <= 15
-        if most is not None and (heading or was or abs(size - most) >= 2.5):
-            block, most = block + 1, size
-        most, was = size if most is None else max(most, size), heading
-        out.append(block)
-    return g[["doc_id", "page", "ord"]].assign(block=out)
+    """Lines with text and their blocks; a block begins at a heading, after one, and where the size differs by 2.5 points.
+
+    A line is a heading by its pattern, by 1.25 times the median size, or bold with at most 12 words and 1.1 times that
+    size.  What comes before is a heading if the block's whole text begins like one; its size is the block's largest.
+    """
+    heading = re.compile("|".join(f"(?:{p.replace('(?i)', '(?i:') + ')' if p.startswith('(?i)') else p})" for p in (SECTION, NUMBERED, CAPTION)))
+    block, text, most, out = 0, "", 0.0, []
+    for a in g.sort_values("ord", kind="stable").itertuples():
+        line = (a.text or "").strip()
+        if not line:
+            continue
+        distinct = heading.match(line) or a.font_size >= 1.25 * a.median or (a.bold and len(line.split()) <= 12 and a.font_size >= 1.1 * a.median)
+        if out and (distinct or heading.match(text.strip()) or abs(a.font_size - most) >= 2.5):
+            block, text, most = block + 1, "", 0.0
+        text, most = text + a.text, max(most, a.font_size)
+        out.append((a.ord, block))
+    return _result(g, ord=[o for o, _ in out], block=[b for _, b in out]).astype({"ord": "int32", "block": "int32"})
 
 
 def sub_blocks(g: pd.DataFrame) -> pd.DataFrame:
-    """Where left edges differ by 45 points or more, items group by left edges within 25 points of the group's first."""
-    g = g.sort_values(["y0", "x0", "ord"], kind="stable")
+    """Where left edges differ by 45 points or more, a line joins the first cluster from whose sides it is at most 25 points away."""
+    g = g.sort_values("ord", kind="stable")
     if g.x0.max() - g.x0.min() < 45:
         return g[["doc_id", "page", "ord"]].assign(cluster=0)
-    firsts: list[float] = []
+    sides: list[list[float]] = []
     out = []
-    for x in g.x0:
-        k = next((i for i, f in enumerate(firsts) if abs(x - f) <= 25), None)
-        if k is None:
-            firsts.append(x)
-            k = len(firsts) - 1
+    for x0, x1 in zip(g.x0, g.x1):
+        k = next((k for k, (low, high) in enumerate(sides) if x1 >= low - 25 and x0 <= high + 25), len(sides))
+        if k == len(sides):
+            sides.append([x0, x1])
+        sides[k] = [min(sides[k][0], x0), max(sides[k][1], x1)]
         out.append(k)
     return g[["doc_id", "page", "ord"]].assign(cluster=out)
 
 
-def baseline_lines(g: pd.DataFrame) -> pd.DataFrame:
-    """Items within 8 points of a line's first item form a line; it is cut at gaps over 180 points, gaps over 15 get three blanks."""
-    g = g.sort_values(["y0", "x0", "ord"], kind="stable")
+def _on_baselines(g: pd.DataFrame) -> list[list]:
+    """Items within 8 points of a line's first item form a line; a line's items from left to right."""
     lines: list[list] = []
-    for r in zip(g.y0, g.x0, g.x1, g.text):
-        line = next((x for x in lines if abs(x[0][0] - r[0]) <= 8.0), None)
+    for a in g.sort_values(["y0", "x0", "ord"], kind="stable").itertuples():
+        line = next((x for x in lines if abs(x[0].y0 - a.y0) <= 8.0), None)
         if line is None:
-            lines.append([r])
+            lines.append([a])
         else:
-            line.append(r)
+            line.append(a)
+    return [sorted(line, key=lambda a: a.x0) for line in lines]
+
+
+# What keeps the items of a line together over a gap.
+GLUE_IN, GLUE_END = ("Then", "where", "="), ("+", "-", "=", "*", "/")
+# End of fixed values.
+
+
+def _cut_lines(g: pd.DataFrame, most: float, wide: float | None) -> pd.DataFrame:
     out = []
-    for k, line in enumerate(lines):
-        part, text, last = 0, "", None
-        for _, x0, x1, t in sorted(line, key=lambda r: r[1]):
-            if last is not None and x0 - last > 180.0:
-                out.append((k, part, text))
-                part, text, last = part + 1, "", None
-            text += ("" if last is None else "   " if x0 - last > 15 else " ") + t
-            last = x1
-        out.append((k, part, text))
-    return pd.DataFrame({"doc_id": g.doc_id.iloc[0], "page": g.page.iloc[0], "line": [x[0] for x in out], "part": [x[1] for x in out], "text": [x[2] for x in out]})
+    for k, line in enumerate(_on_baselines(g)):
+        parts: list[str] = []
+        end = 0.0
+        for a in line:
+            gap = a.x0 - end
+            if not parts or (gap > most and not any(w in a.text for w in GLUE_IN) and not parts[-1].endswith(GLUE_END)):
+                parts.append(a.text)
+                end = a.x1
+            else:
+                blanks = "" if parts[-1].endswith(" ") else "   " if wide is not None and gap > wide else " "
+                parts[-1] += blanks + a.text
+                end = max(end, a.x1)
+        out += [(k, i, t) for i, t in enumerate(parts)]
+    return _result(g, line=[x[0] for x in out], part=[x[1] for x in out], text=[x[2] for x in out])
+
+
+def baseline_lines(g: pd.DataFrame) -> pd.DataFrame:
+    """W8 of extraction: lines are cut at gaps over 180 points, but where a formula goes on; gaps over 15 get three blanks."""
+    return _cut_lines(g, 180.0, 15.0)
+
+
+def verified_lines(g: pd.DataFrame) -> pd.DataFrame:
+    """W8 of verification: lines are cut at gaps over 30 points, but where a formula goes on."""
+    return _cut_lines(g, 30.0, None)
 
 
 def cohesion_rows(g: pd.DataFrame) -> pd.DataFrame:
-    """Rows by nearness to a row's mean centre, tolerance at least 5 points; a row's texts from left to right."""
-    g = g.sort_values(["y0", "x0", "ord"], kind="stable")
+    """Rows by nearness to a row's mean centre, tolerance at least 5 points; rows by their mean centres, items from left to right."""
     rows: list[list] = []
-    for c, h, x, t in zip((g.y0 + g.y1) / 2, g.y1 - g.y0, g.x0, g.text):
-        for r in rows:
-            if abs(c - sum(i[0] for i in r) / len(r)) <= max(5.0, 0.45 * min(h, sum(i[1] for i in r) / len(r))):
-                r.append((c, h, x, t))
-                break
+    mean = lambda of, r: sum(map(of, r)) / len(r)
+    centre, tall = lambda a: (a.y0 + a.y1) / 2, lambda a: max(1.0, a.y1 - a.y0)
+    for a in g.sort_values(["y0", "x0", "ord"], kind="stable").itertuples():
+        near = next((r for r in rows if abs(centre(a) - mean(centre, r)) <= max(5.0, 0.45 * min(tall(a), mean(tall, r)))), None)
+        if near is None:
+            rows.append([a])
         else:
-            rows.append([(c, h, x, t)])
-    rows.sort(key=lambda r: (sum(i[0] for i in r) / len(r), r[0][2]))
-    texts = ["   ".join(i[3] for i in sorted(r, key=lambda i: i[2])) for r in rows]
-    return pd.DataFrame({"doc_id": g.doc_id.iloc[0], "page": g.page.iloc[0], "row": range(len(texts)), "text": texts})
+            near.append(a)
+    rows.sort(key=lambda r: mean(centre, r))
+    texts = ["   ".join(a.text for a in sorted(r, key=lambda a: a.x0)) for r in rows]
+    return _result(g, row=range(len(texts)), text=texts)
 
 
 def tagging_summary(elements: DataFrame) -> DataFrame:

@@ -10,9 +10,45 @@ from pagewright.operators import layout, matching
 from pagewright.operators.layout import PAGE
 from pagewright.plans import relations as R
 from pagewright.plans.registry import query
-from pagewright.plans.texts import classified_layout, f16_classify, sql_key  # noqa: F401
+from pagewright.functions.classify import CAPTION, NUMBERED, SECTION
+from pagewright.plans.texts import classified_layout, f16_classify, sql_key, sql_strip  # noqa: F401
 from pagewright.plans.registry import _SQL
 
+_MARKED = "SELECT doc_id, page, ord, CASE WHEN ord % 4 = 0 THEN CASE ord % 3 WHEN 0 THEN 'TM' WHEN 1 THEN '™' ELSE 'm' END ELSE text || CASE WHEN ord % 3 = 0 THEN '.' ELSE '' END END AS text, CASE WHEN ord % 4 = 0 THEN x1 - 300 ELSE x0 END AS x0, y0, CASE WHEN ord % 4 = 0 THEN x1 - 290 ELSE x1 END AS x1, CASE WHEN ord % 4 = 0 THEN y0 + 5 ELSE y1 END AS y1 FROM ocr"
+_MEET = "greatest(0.0, least({a}.x1, {b}.x1) - greatest({a}.x0, {b}.x0))"
+_APART = "abs(({a}.x0 + {a}.x1) / 2 - ({b}.x0 + {b}.x1) / 2)"
+_THIN = "least(greatest(1.0, {a}.x1 - {a}.x0), greatest(1.0, {b}.x1 - {b}.x0))"
+_WIDE = "greatest(1.0, {a}.x1 - {a}.x0, {b}.x1 - {b}.x0)"
+
+
+def fold_sql(relation: str, fields: str, order: str, start: str, step: str, let: str = "NULL") -> str:
+    """A fold in SQL over a page's rows: ``l`` is their list, ``s`` the state and ``x`` a row; ``found`` is ``let``.  Ends in the relation ``done``."""
+    struct = ", ".join(f"'{f}': {f}" for f in fields.split())
+    return f"""lists AS (SELECT doc_id, page, list({{{struct}}} ORDER BY {order}) AS l FROM {relation} GROUP BY doc_id, page),
+turns AS (SELECT doc_id, page, l, 0 AS i, {start} AS s FROM lists
+ UNION ALL SELECT doc_id, page, l, i + 1, {step} FROM (SELECT *, {let} AS found FROM (SELECT *, l[i + 1] AS x FROM turns WHERE i < len(l)))),
+done AS (SELECT doc_id, page, l, s FROM turns WHERE i = len(l))"""
+
+
+def _pair_step(fits: str, nearest: str = "0") -> dict:
+    """A fold that gives row i the best unused row k that ``fits``, by ``nearest`` and place; the state lists the pairs n, d."""
+    unused = lambda k: f"NOT list_contains(list_transform(s, lambda p: p.n), {k}) AND NOT list_contains(list_transform(s, lambda p: p.d), {k})"
+    best = f"list_sort(list_transform(list_filter(range(1, len(l) + 1), lambda k: {unused('k')} AND {fits}), lambda k: {{'c': ({nearest})::DOUBLE, 'k': k}}))[1]"
+    return {"start": "[{'n': 0::BIGINT, 'd': 0::BIGINT}]", "let": f"CASE WHEN {unused('i + 1')} THEN {best} END", "step": "CASE WHEN found IS NULL THEN s ELSE list_append(s, {'n': (i + 1)::BIGINT, 'd': found.k}) END"}
+
+
+def _near_row(least: float, tall: str) -> dict:
+    """The fold of W3 and W13: lines with sums of centres and heights; the state's first line is a dummy."""
+    c, h = "(x.y0 + x.y1) / 2", "greatest(1.0, x.y1 - x.y0)"
+    hit = f"list_filter(range(2, len(s.r) + 1), lambda k: abs({c} - s.r[k].c / s.r[k].n) <= greatest({least}, 0.45 * least({h}, s.r[k].h / s.r[k].n)))[1]"
+    new = f"{{'r': list_append(s.r, {{'c': {c}, 'h': {tall}, 'n': 1}}), 'at': list_append(s.at, len(s.r) + 1)}}"
+    old = f"{{'r': list_transform(s.r, lambda v, k: CASE WHEN k = found THEN {{'c': v.c + {c}, 'h': v.h + {tall}, 'n': v.n + 1}} ELSE v END), 'at': list_append(s.at, found)}}"
+    return {"start": "{'r': [{'c': 0::DOUBLE, 'h': 0::DOUBLE, 'n': 0}], 'at': [0::BIGINT]}", "let": hit, "step": f"CASE WHEN found IS NULL THEN {new} ELSE {old} END"}
+
+
+_ROWS = """items AS (SELECT doc_id, page, i, l[i] AS x, s.at[i + 1] AS r, s.r[s.at[i + 1]].c / s.r[s.at[i + 1]].n AS mean FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM done)),
+ranked AS (SELECT *, (dense_rank() OVER (PARTITION BY doc_id, page ORDER BY mean, r) - 1)::INT AS rank FROM items)"""
+
 _BOTH = R.OCR + ", every AS (SELECT doc_id, page, ord, x0, y0, x1, y1 FROM layout UNION ALL SELECT doc_id, page, ord + 1000, x0, y0, x1, y1 FROM ocr)"
 
 
@@ -78,7 +114,8 @@ def w02_columns(spark, sf_dir):
     return layout.columns_of(layout.regions(R.layout(spark, sf_dir)), [*PAGE, "region"]).select(*PAGE, "ord", "region", "column")
 
 
-@query()
+@query(f"""WITH RECURSIVE {R.OCR}, {fold_sql("ocr", "ord x0 y0 x1 y1", "y0, x0, ord", **_near_row(4.0, "(x.y1 - x.y0)"))}, {_ROWS}
+SELECT doc_id, page, x.ord AS ord, rank AS line FROM ranked""")
 def w03_line_clusters(spark, sf_dir):
     return layout.with_line_ranks(R.ocr(spark, sf_dir), []).drop("x0")
 
@@ -111,15 +148,35 @@ def w05_single_h1(spark, sf_dir):
     return layout.single_first_heading(classified_layout(spark, sf_dir)).select(*PAGE, "ord", "content_type", "tag")
 
 
-@query()
+def _heading(t: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches({t}, '{p}')" for p in (SECTION, NUMBERED, CAPTION)) + ")"
+
+
+_DISTINCT = f"({_heading('x.t')} OR x.font_size >= 1.25 * 11.0 OR (x.bold AND len(list_filter(regexp_split_to_array(x.t, '\\s+'), lambda w: w <> '')) <= 12 AND x.font_size >= 1.1 * 11.0))"
+
+
+@query(f"""WITH RECURSIVE {R.LAYOUT}, h AS (SELECT * REPLACE (CASE ord % 9 WHEN 4 THEN 'Section ' || ord || ': ' || text WHEN 6 THEN '1.' || ord || ' A ' || text WHEN 8 THEN 'fig. ' || ord || text ELSE text END AS text) FROM layout),
+t AS (SELECT doc_id, page, ord, text, {sql_strip('text')} AS t, font_size, bold FROM h WHERE {sql_strip('text')} <> ''),
+{fold_sql("t", "ord text t font_size bold", "ord", "{'b': 0, 'text': '', 'most': 0::DOUBLE, 'out': [{'ord': -1, 'block': 0}]}",
+ "{'b': s.b + found, 'text': CASE WHEN found = 1 THEN x.text ELSE s.text || x.text END, 'most': CASE WHEN found = 1 THEN x.font_size ELSE greatest(s.most, x.font_size) END, 'out': list_append(s.out, {'ord': x.ord, 'block': s.b + found})}",
+ f"(len(s.out) > 1 AND ({_DISTINCT} OR {_heading(sql_strip('s.text'))} OR abs(x.font_size - s.most) >= 2.5))::INT")}
+SELECT doc_id, page, o.ord AS ord, o.block AS block FROM (SELECT doc_id, page, unnest(s.out) AS o FROM done) WHERE o.ord >= 0""")
 def w06_style_blocks(spark, sf_dir):
-    e = R.layout(spark, sf_dir).select(*PAGE, "ord", "text", "font_size", "bold")
+    """Some lines begin as headings and captions do; the median size is 11."""
+    o = F.col("ord")
+    begin = F.when(o % 9 == 4, F.concat(F.lit("Section "), o, F.lit(": "))).when(o % 9 == 6, F.concat(F.lit("1."), o, F.lit(" A "))).when(o % 9 == 8, F.concat(F.lit("fig. "), o)).otherwise("")
+    e = R.layout(spark, sf_dir).select(*PAGE, "ord", F.concat(begin, "text").alias("text"), "font_size", "bold", F.lit(11.0).alias("median"))
     return e.groupBy(*PAGE).applyInPandas(matching.style_blocks, "doc_id long, page int, ord int, block int")
 
 
-@query()
+@query(f"""WITH RECURSIVE {R.OCR}, t AS (SELECT doc_id, page, ord, x0, x0 + 40 * (1 + ord % 5) AS x1 FROM ocr),
+{fold_sql("t", "ord x0 x1", "ord", "{'c': [{'a': 0::DOUBLE, 'b': 0::DOUBLE}], 'at': [{'ord': -1, 'c': 0::BIGINT}]}",
+ "CASE WHEN found IS NULL THEN {'c': list_append(s.c, {'a': x.x0, 'b': x.x1}), 'at': list_append(s.at, {'ord': x.ord, 'c': len(s.c) + 1})} ELSE {'c': list_transform(s.c, lambda v, k: CASE WHEN k = found THEN {'a': least(v.a, x.x0), 'b': greatest(v.b, x.x1)} ELSE v END), 'at': list_append(s.at, {'ord': x.ord, 'c': found})} END",
+ "list_filter(range(2, len(s.c) + 1), lambda k: x.x1 >= s.c[k].a - 25 AND x.x0 <= s.c[k].b + 25)[1]")},
+spread AS (SELECT doc_id, page, max(x0) - min(x0) AS spread FROM t GROUP BY doc_id, page)
+SELECT doc_id, page, o.ord AS ord, CASE WHEN spread < 45 THEN 0 ELSE o.c - 2 END::INT AS cluster FROM (SELECT doc_id, page, unnest(s.at) AS o FROM done) JOIN spread USING (doc_id, page) WHERE o.ord >= 0""")
 def w07_sub_blocks(spark, sf_dir):
-    e = R.ocr(spark, sf_dir).select(*PAGE, "ord", "x0", "y0")
+    e = R.ocr(spark, sf_dir).select(*PAGE, "ord", "x0", (F.col("x0") + 40 * (1 + F.col("ord") % 5)).alias("x1"))
     return e.groupBy(*PAGE).applyInPandas(matching.sub_blocks, "doc_id long, page int, ord int, cluster int")
 
 
@@ -130,6 +187,13 @@ def w08_baseline_lines(spark, sf_dir):
 
 
 @query()
+def w08_verified_lines(spark, sf_dir):
+    e = R.ocr(spark, sf_dir).select(*PAGE, "ord", "text", "x0", "y0", "x1")
+    return e.groupBy(*PAGE).applyInPandas(matching.verified_lines, "doc_id long, page int, line int, part int, text string")
+
+
+@query(f"""WITH RECURSIVE {R.OCR}, {fold_sql("ocr", "ord text x0 y0 x1 y1", "y0, x0, ord", **_near_row(5.0, "greatest(1.0, x.y1 - x.y0)"))}, {_ROWS}
+SELECT doc_id, page, rank AS row, string_agg(x.text, '   ' ORDER BY x.x0, i) AS text FROM ranked GROUP BY doc_id, page, rank""")
 def w13_cohesion_rows(spark, sf_dir):
     e = R.ocr(spark, sf_dir).select(*PAGE, "ord", "text", "x0", "y0", "x1", "y1")
     return e.groupBy(*PAGE).applyInPandas(matching.cohesion_rows, "doc_id long, page int, row int, text string")
@@ -179,11 +243,27 @@ def a10_a11_page_rollup(spark, sf_dir):
     return e.groupBy(*PAGE).agg(F.coalesce(F.avg(F.when(F.col("ord") % 4 != 0, F.col("confidence"))), F.lit(0.85)).alias("confidence"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
 
-@query(f"WITH {_BOTH}, v AS (SELECT doc_id, page, ord, x0 + 150 * (ord % 2) AS x0, y0, x1 + 150 * (ord % 2) AS x1, y1 FROM every WHERE ord >= 1000 AND ord % 3 = 0), k AS (SELECT * FROM every WHERE ord < 1000) SELECT doc_id, page, ord FROM v WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = v.doc_id AND k.page = v.page AND (k.x1-k.x0)*(k.y1-k.y0) <= 2.5*(v.x1-v.x0)*(v.y1-v.y0) AND greatest(0, least(v.x1,k.x1)-greatest(v.x0,k.x0))*greatest(0, least(v.y1,k.y1)-greatest(v.y0,k.y0)) / ((v.x1-v.x0)*(v.y1-v.y0)) >= 0.6)")
+_ONCE_COVERED = "greatest(0, least({v}.x1,{k}.x1)-greatest({v}.x0,{k}.x0))*greatest(0, least({v}.y1,{k}.y1)-greatest({v}.y0,{k}.y0)) / (({v}.x1-{v}.x0)*({v}.y1-{v}.y0)) >= 0.6 AND ({k}.x1-{k}.x0)*({k}.y1-{k}.y0) <= 2.5*({v}.x1-{v}.x0)*({v}.y1-{v}.y0)"
+
+
+def in_turn_sql(relation: str, clash: str) -> str:
+    """A greedy choice: the boxes v for which no box k taken before has ``clash``, in the state of ``done``."""
+    step = f"CASE WHEN len(list_filter(s, lambda k: {clash.format(v='x', k='k')})) > 0 THEN s ELSE list_append(s, x) END"
+    return fold_sql(relation, "ord x0 y0 x1 y1", "ord", "l[1:0]", step)
+
+
+@query(f"""WITH RECURSIVE {_BOTH}, seen AS (SELECT doc_id, page, ord, x0 + 150 * (ord % 2) AS x0, y0, x1 + 150 * (ord % 2) AS x1, y1 FROM every WHERE ord >= 1000 AND ord % 3 <> 0),
+v AS (SELECT * FROM seen UNION ALL SELECT doc_id, page, ord + 1000, x0 + 30 * (ord % 4), y0 + 2, x1 + 30 * (ord % 4), y1 + 2 FROM seen), k AS (SELECT * FROM every WHERE ord < 1000),
+rest AS (SELECT * FROM v WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.doc_id = v.doc_id AND k.page = v.page AND {_ONCE_COVERED.format(v='v', k='k')})),
+{in_turn_sql('rest', _ONCE_COVERED)}
+SELECT doc_id, page, b.ord AS ord FROM (SELECT doc_id, page, unnest(s) AS b FROM done)""")
 def j06_new_visuals(spark, sf_dir):
+    """Visuals that are seen twice, the second time up to 90 points aside."""
     e = both(spark, sf_dir).select(*PAGE, "ord", "x0", "y0", "x1", "y1")
-    moved = e.where((F.col("ord") >= 1000) & (F.col("ord") % 3 == 0)).withColumns({c: F.col(c) + 150 * (F.col("ord") % 2) for c in ("x0", "x1")})
-    return layout.new_visuals(moved, e.where(F.col("ord") < 1000)).select(*PAGE, "ord")
+    seen = e.where((F.col("ord") >= 1000) & (F.col("ord") % 3 != 0)).withColumns({c: F.col(c) + 150 * (F.col("ord") % 2) for c in ("x0", "x1")})
+    aside = 30 * (F.col("ord") % 4)
+    again = seen.select(*PAGE, (F.col("ord") + 1000).alias("ord"), (F.col("x0") + aside).alias("x0"), (F.col("y0") + 2).alias("y0"), (F.col("x1") + aside).alias("x1"), (F.col("y1") + 2).alias("y1"))
+    return layout.new_visuals(seen.unionByName(again), e.where(F.col("ord") < 1000)).select(*PAGE, "ord")
 
 
 @query(f"""WITH {R.LAYOUT}, s AS (SELECT * FROM layout WHERE ord % 3 <> 0), b AS (SELECT doc_id, page, ord, x0 + 20 AS x0, y1 + 4 AS y0, x1 - 20 AS x1, y1 + 5 AS y1 FROM layout WHERE ord % 3 = 0),
@@ -195,11 +275,46 @@ def j09_fraction_members(spark, sf_dir):
     return layout.fraction_members(e.where(F.col("ord") % 3 != 0), bars)
 
 
-@query(f"WITH {R.LAYOUT}, b AS (SELECT doc_id, page, x0 + 20 AS x0, y1 - 6 AS y0, x1 - 20 AS x1, y1 - 5 AS y1 FROM layout WHERE ord % 5 = 0) SELECT doc_id, page, ord FROM layout l WHERE EXISTS (SELECT 1 FROM b WHERE b.doc_id=l.doc_id AND b.page=l.page AND l.x0 < b.x1 AND b.x0 < l.x1 AND l.y0-3 < b.y1 AND b.y0 < l.y1+3)")
+_BARS = "b AS (SELECT doc_id, page, x0 + 20 AS x0, y1 - 6 AS y0, x1 - 20 AS x1, y1 - 5 AS y1 FROM layout WHERE ord % 5 = 0)"
+_HELD = "EXISTS (SELECT 1 FROM b WHERE b.doc_id=l.doc_id AND b.page=l.page AND l.x0-5 <= b.x0 AND b.x1 <= l.x1+5 AND b.y0 BETWEEN l.y0-5 AND l.y1+5)"
+
+
+def _bars(e):
+    return e.where(F.col("ord") % 5 == 0).select(*PAGE, (F.col("x0") + 20).alias("x0"), (F.col("y1") - 6).alias("y0"), (F.col("x1") - 20).alias("x1"), (F.col("y1") - 5).alias("y1"))
+
+
+@query(f"WITH {R.LAYOUT}, {_BARS} SELECT doc_id, page, ord FROM layout l WHERE {_HELD}")
 def j15_blocks_at_bars(spark, sf_dir):
     e = R.layout(spark, sf_dir)
-    bars = e.where(F.col("ord") % 5 == 0).select(*PAGE, (F.col("x0") + 20).alias("x0"), (F.col("y1") - 6).alias("y0"), (F.col("x1") - 20).alias("x1"), (F.col("y1") - 5).alias("y1"))
-    return layout.blocks_at_bars(e, bars).select(*PAGE, "ord")
+    return layout.blocks_at_bars(e, _bars(e)).select(*PAGE, "ord")
+
+
+@query(f"""WITH RECURSIVE {R.LAYOUT}, {_BARS}, h AS (SELECT doc_id, page, ord, y0, y1, {_HELD} AS held FROM (SELECT * REPLACE (y1 + (ord % 2) * 14 AS y1) FROM layout) l),
+lists AS (SELECT doc_id, page, list({{'ord': ord, 'y0': y0, 'y1': y1, 'held': held}} ORDER BY ord) AS l FROM h GROUP BY ALL),
+turns AS (SELECT doc_id, page, l, 0 AS i, [{{'ord': -1, 'cluster': -1}}] AS got FROM lists
+ UNION ALL SELECT doc_id, page, l, i + 1, CASE WHEN list_contains(list_transform(got, lambda x: x.ord), l[i + 1].ord) THEN got ELSE list_concat(got, list_transform(list_filter(l, lambda x: x.ord = l[i + 1].ord OR (l[i + 1].held AND NOT list_contains(list_transform(got, lambda g: g.ord), x.ord) AND least(x.y1, l[i + 1].y1) - greatest(x.y0, l[i + 1].y0) > 3)), lambda x: {{'ord': x.ord, 'cluster': l[i + 1].ord}})) END FROM turns WHERE i < len(l))
+SELECT doc_id, page, g.ord AS ord, g.cluster AS cluster FROM (SELECT doc_id, page, unnest(got) AS g FROM turns WHERE i = len(l)) WHERE g.ord >= 0""")
+def j15_bar_clusters(spark, sf_dir):
+    """Bars stand in every fifth block; every other block reaches into the row below."""
+    e = R.layout(spark, sf_dir)
+    taller = e.withColumn("y1", F.col("y1") + F.col("ord") % 2 * 14)
+    return layout.bar_clusters(taller, _bars(e))
+
+
+@query(f"""WITH {R.LAYOUT}, s AS (SELECT *, 11.0 - 3 * (ord % 2) AS size, y1 - 4 * (ord % 2) AS base, left(text, 1 + ord % 5) || CASE ord % 4 WHEN 0 THEN '+1' WHEN 1 THEN '−2' ELSE '' END AS t FROM layout WHERE ord % 3 <> 0),
+b AS (SELECT doc_id, page, ord, x0 - 300 AS x0, y1 + 4 AS y0, x1 + 300 AS x1, y1 + 5 AS y1 FROM layout WHERE ord % 3 = 0),
+m AS (SELECT s.doc_id, s.page, b.ord AS bar, s.ord, s.x0, s.x1, b.x0 AS bx0, b.x1 AS bx1, size, base, trim(t) AS t, CASE WHEN s.y1 BETWEEN b.y0-22 AND b.y0+2 THEN 'num' WHEN s.y0 BETWEEN b.y1-2 AND b.y1+22 THEN 'den' END AS part FROM s JOIN b ON s.doc_id=b.doc_id AND s.page=b.page WHERE (least(s.x1,b.x1)-greatest(s.x0,b.x0))/greatest(1.0, s.x1-s.x0) >= 0.4 OR (s.x0 >= b.x0-3 AND s.x1 <= b.x1+3)),
+k AS (SELECT *, CASE WHEN size < 0.85 * lag(size) OVER w AND base < lag(base) OVER w - 2 THEN '^' || t ELSE t END AS token FROM m WHERE part IS NOT NULL WINDOW w AS (PARTITION BY doc_id, page, bar, part ORDER BY x0, ord)),
+f AS (SELECT doc_id, page, bar, trim(coalesce(string_agg(token, '' ORDER BY x0, ord) FILTER (part = 'num'), '')) AS num, trim(coalesce(string_agg(token, '' ORDER BY x0, ord) FILTER (part = 'den'), '')) AS den, least(min(bx0), min(x0)) AS x0, greatest(max(bx1), max(x1)) AS x1 FROM k GROUP BY doc_id, page, bar),
+g AS (SELECT *, CASE WHEN regexp_matches(num, '[-+−]') THEN '(' || num || ')' ELSE num END AS n, CASE WHEN regexp_matches(den, '[-+−]') THEN '(' || den || ')' ELSE den END AS d FROM f)
+SELECT doc_id, page, bar, CASE WHEN den <> '' THEN n || '/' || d ELSE num END AS text, x0, x1 FROM g""")
+def f29_fraction_texts(spark, sf_dir):
+    """Short terms above and below long bars; every other one is small and raised."""
+    e, odd = R.layout(spark, sf_dir), F.col("ord") % 2
+    sign = F.when(F.col("ord") % 4 == 0, "+1").when(F.col("ord") % 4 == 1, "\u22122").otherwise("")
+    spans = e.where(F.col("ord") % 3 != 0).select(*PAGE, "ord", "x0", "y0", "x1", "y1", F.concat(F.left("text", 1 + F.col("ord") % 5), sign).alias("text"), (11.0 - 3 * odd).alias("size"), (F.col("y1") - 4 * odd).alias("base"))
+    bars = e.where(F.col("ord") % 3 == 0).select(*PAGE, "ord", (F.col("x0") - 300).alias("x0"), (F.col("y1") + 4).alias("y0"), (F.col("x1") + 300).alias("x1"), (F.col("y1") + 5).alias("y1"))
+    return layout.fraction_texts(spans, bars)
 
 
 @query(f"WITH {R.OCR} SELECT a.doc_id, a.page, a.ord, count(*) AS n FROM ocr a JOIN ocr b ON a.doc_id=b.doc_id AND a.page=b.page AND (abs(a.x0-b.x0) <= 15 OR abs((a.x0+a.x1)/2-(b.x0+b.x1)/2) <= 15) GROUP BY ALL HAVING count(*) >= 3")
@@ -207,19 +322,38 @@ def j12_column_members(spark, sf_dir):
     return layout.column_members(R.ocr(spark, sf_dir).select(*PAGE, "ord", "x0", "x1"))
 
 
-@query()
+_TERMS = R.OCR + """, terms AS (SELECT doc_id, page, ord, length(text) || CASE ord % 3 WHEN 0 THEN '+x' WHEN 1 THEN 'a' ELSE '' END AS text, x0 + 700 * ((ord - 1) // 4) AS x0, y0, x1 + 700 * ((ord - 1) // 4) AS x1, y0 + 14 AS y1 FROM ocr)"""
+_UNDER = f"l[k].y0 - x.y0 BETWEEN 2 AND 26 AND {_APART.format(a='x', b='l[k]')} < 999 AND ({_MEET.format(a='x', b='l[k]')} > 0.25 * {_THIN.format(a='x', b='l[k]')} OR {_APART.format(a='x', b='l[k]')} <= greatest(10.0, 0.5 * {_WIDE.format(a='x', b='l[k]')}))"
+
+
+@query(f"""WITH RECURSIVE {_TERMS}, t AS (SELECT * FROM terms WHERE length(text) <= 12 AND NOT regexp_matches(text, '{matching.NO_SHORT_TERM}')),
+{fold_sql("t", "ord x0 y0 x1", "y0, x0, ord", **_pair_step(_UNDER, _APART.format(a='x', b='l[k]')))}
+SELECT doc_id, page, l[p.n].ord AS num, l[p.d].ord AS den FROM (SELECT doc_id, page, l, unnest(s) AS p FROM done) WHERE p.n > 0""")
 def j10_fraction_pairs(spark, sf_dir):
-    e = matching.short_terms(R.ocr(spark, sf_dir))
-    return e.groupBy(*PAGE).applyInPandas(matching.fraction_pairs, "doc_id long, page int, num int, den int")
+    e = matching.terms(R.ocr(spark, sf_dir))
+    return e.where(matching.is_short_term(F.col("text"))).groupBy(*PAGE).applyInPandas(matching.fraction_pairs, "doc_id long, page int, num int, den int")
 
 
-@query()
+_BELOW = f"k > i + 1 AND x.free AND l[k].free AND l[k].y0 - x.y1 >= -5 AND l[k].y0 - x.y1 < 3.5 * greatest(1.0, x.y1 - x.y0, l[k].y1 - l[k].y0) AND ({_APART.format(a='x', b='l[k]')} < 0.7 * {_WIDE.format(a='x', b='l[k]')} OR {_MEET.format(a='x', b='l[k]')} > 0.25 * {_THIN.format(a='x', b='l[k]')})"
+_PART = "CASE WHEN regexp_matches({t}, '[-+=]') THEN '(' || regexp_replace({t}, '([a-zA-Z0-9])\\s*([+\\-])\\s*([a-zA-Z0-9])', '\\1 \\2 \\3', 'g') || ')' ELSE {t} END"
+
+
+@query(f"""WITH RECURSIVE {_TERMS}, beside AS (SELECT a.doc_id, a.page, a.ord, count(*) AS n FROM terms a JOIN terms b ON a.doc_id = b.doc_id AND a.page = b.page AND ({_APART.format(a='a', b='b')} <= greatest(12.0, 0.4 * {_WIDE.format(a='a', b='b')}) OR {_MEET.format(a='a', b='b')} > 0.4 * {_THIN.format(a='a', b='b')}) GROUP BY ALL),
+t AS (SELECT terms.*, n < 3 AND NOT regexp_matches(text, '^[0-9]{{3,}}$') AS free FROM terms JOIN beside USING (doc_id, page, ord)),
+{fold_sql("t", "ord text free x0 y0 x1 y1", "y0, x0, ord", **_pair_step(_BELOW))},
+every_item AS (SELECT doc_id, page, l, s, unnest(range(1, len(l) + 1)) AS i FROM done), paired AS (SELECT *, list_filter(s, lambda p: p.n = i)[1].d AS d FROM every_item WHERE NOT list_contains(list_transform(s, lambda p: p.d), i))
+SELECT doc_id, page, l[i].ord AS ord, CASE WHEN d IS NULL THEN l[i].text ELSE {_PART.format(t='l[i].text')} || '/' || {_PART.format(t='l[d].text')} END AS text FROM paired""")
 def j11_vertical_fractions(spark, sf_dir):
-    e = matching.short_terms(R.ocr(spark, sf_dir))
+    e = matching.terms(R.ocr(spark, sf_dir)).withColumn("term", matching.is_fraction_term(F.col("text")))
     return e.groupBy(*PAGE).applyInPandas(matching.vertical_fractions, "doc_id long, page int, ord int, text string")
 
 
-@query()
+_MARK = "upper(trim(l[k].text)) IN ('TM', '™', 'M') AND k <> i + 1 AND l[k].x0 - x.x1 BETWEEN -25 AND 70 AND l[k].y0 <= x.y0 + 0.45 * (x.y1 - x.y0) AND l[k].y1 - l[k].y0 <= 0.55 * (x.y1 - x.y0)"
+
+
+@query(f"""WITH RECURSIVE {R.OCR}, marked AS ({_MARKED}), {fold_sql("marked", "ord text x0 y0 x1 y1", "ord", **_pair_step(_MARK))},
+every_item AS (SELECT doc_id, page, l, s, unnest(range(1, len(l) + 1)) AS i FROM done), paired AS (SELECT *, list_filter(s, lambda p: p.n = i)[1].d AS d FROM every_item WHERE NOT list_contains(list_transform(s, lambda p: p.d), i))
+SELECT doc_id, page, l[i].ord AS ord, CASE WHEN d IS NULL THEN l[i].text ELSE {sql_strip("regexp_replace(" + sql_strip("l[i].text") + ", '[.]$', '')")} || ' TM' END AS text FROM paired""")
 def j13_superscripts(spark, sf_dir):
     e = matching.with_marks(R.ocr(spark, sf_dir))
     return e.groupBy(*PAGE).applyInPandas(matching.superscript_marks, "doc_id long, page int, ord int, text string")
@@ -227,14 +361,17 @@ def j13_superscripts(spark, sf_dir):
 
 @query()
 def j14_line_recovery(spark, sf_dir):
-    e = R.layout(spark, sf_dir).unionByName(R.ocr(spark, sf_dir)).select(*PAGE, "ord", "source", "text", "y0", "y1")
+    e = R.layout(spark, sf_dir).unionByName(R.ocr(spark, sf_dir)).select(*PAGE, "ord", "source", "text", "y0")
     return e.groupBy(*PAGE).applyInPandas(matching.recovered_lines, "doc_id long, page int, ord int, text string, origin string")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_BOTH}, kept AS (SELECT * FROM every WHERE NOT (x1 - x0 > 0.65 * 600 AND y1 - y0 > 0.65 * (14 + 4 * (ord % 5)))),
+{in_turn_sql('kept', 'abs({k}.x0 - {v}.x0) < 8 AND abs({k}.y0 - {v}.y0) < 8 AND abs({k}.x1 - {v}.x1) < 8 AND abs({k}.y1 - {v}.y1) < 8')}
+SELECT doc_id, page, b.ord AS ord FROM (SELECT doc_id, page, unnest(s) AS b FROM done)""")
 def u04_dedupe_boxes(spark, sf_dir):
-    e = both(spark, sf_dir).select(*PAGE, "ord", "x0", "y0", "x1", "y1")
-    return e.groupBy(*PAGE).applyInPandas(matching.distinct_boxes, "doc_id long, page int, ord int")
+    """Native and OCR boxes on pages that are so low that boxes across them contain some of them."""
+    e = both(spark, sf_dir).select(*PAGE, "ord", "x0", "y0", "x1", "y1", F.lit(600.0).alias("page_width"), (14.0 + 4 * (F.col("ord") % 5)).alias("page_height"))
+    return layout.distinct_boxes(e).select(*PAGE, "ord")
 
 
 @query(f"WITH {_BOTH} SELECT doc_id, page, count(*) AS n, count(*) FILTER (ord >= 1000) AS n_ocr, sum(x1 - x0)::DOUBLE AS width FROM every GROUP BY doc_id, page")

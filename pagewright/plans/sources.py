@@ -10,6 +10,7 @@ from pagewright.functions import spacing, text
 from pagewright.operators import matching
 from pagewright.plans import relations as R
 from pagewright.plans.registry import query
+from pagewright.plans.texts import sql_strip
 from pagewright.sources import docx, mtef, sinks, structure
 from pagewright.storage import shared_folder
 from pagewright.streaming import jobs
@@ -135,7 +136,13 @@ def p02_two_pass_filter(spark, sf_dir):
     return once.where(~noise("clean")).select("doc_id", "page", "ord", "clean")
 
 
-@query()
+_NO_TERM = matching.NO_TERM.replace("'", "''")
+_FUNCTIONS = ", ".join(f"'{f}'" for f in matching.FUNCTIONS)
+
+
+@query(rf"""WITH {R.LINES}, p AS (SELECT doc_id, unnest(string_split(line, ' ')) AS w FROM lines), t AS (SELECT doc_id, {sql_strip('w')} AS t FROM p), u AS (SELECT doc_id, t, list_filter(regexp_split_to_array(t, '\s+'), lambda x: x <> '') AS ws FROM t)
+SELECT doc_id, count(*) FILTER (length(t) <= 18 AND NOT regexp_matches(t, '{_NO_TERM}') AND len(ws) <= 4 AND NOT (regexp_matches(t, '^\p{{Nd}}+$') AND length(regexp_replace(t, '^0+', '')) > 2) AND regexp_matches(t, '[0-9a-zA-Z+*-]')
+ AND len(list_filter(ws, lambda x: length(regexp_replace(x, '[^a-zA-Z]', '', 'g')) >= 3 AND lower(regexp_replace(x, '[^a-zA-Z]', '', 'g')) NOT IN ({_FUNCTIONS}))) = 0) AS terms, count(*) AS words FROM u GROUP BY doc_id""")
 def f17_fraction_terms(spark, sf_dir):
     w = R.lines(spark, sf_dir).select("doc_id", F.explode(F.split("line", " ")).alias("w"))
     return w.groupBy("doc_id").agg(F.count_if(matching.is_fraction_term(F.col("w"))).alias("terms"), F.count("*").alias("words"))
