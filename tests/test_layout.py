@@ -103,8 +103,31 @@ def test_character_positions(spark):
 
 
 def test_equations_and_documents():
-    assert mtef.decode(mtef.fraction_record("a+b", "c")) == "(a+b)/c"
-    assert mtef.decode(b"") is None and mtef.decode(b"\x05\x01") is None
+    assert mtef.decode(mtef.fraction_record("a+b", "c")) == "(a + b)/c"
+    assert mtef.decode(b"") is None and mtef.decode(b"\x05\x01") is None and mtef.decode(bytes(40)) is None
+    got = [mtef.decode(mtef.record(mtef.template(s, *slots))) for s, slots in [(0, ("x",)), (1, ("i", "n")), (2, ("12",)), (3, ("2",)), (4, ("y",)), (10, ("3", "x")), (13, ("p", "q")), (28, ("≤",)), (29, ("a1", "b"))]]
+    assert got == ["(x)", "_i^n", "_12", "^2", "√(y)", "√(x)", "p q", "^{≤}", "_a1^b"]
+    assert mtef.decode(mtef.record(b"".join(bytes([mtef.CHAR, 0, 131, ord(c), 0]) for c in "a+-b"))) == "a - b"
     assert matching.format_fraction("x^{2}", "y") == "x^2/y"
+    assert [matching.format_fraction(*p) for p in [("-x", "y"), ("(a)+(b)", "(c+1)"), ("a=b", "- 2")]] == ["(-x)/y", "((a)+(b))/(c+1)", "(a=b)/(-2)"]
     items = list(docx.items_of(docx.written("one\n\n<two> & three")))
     assert [i[2] for i in items] == ["one", "", "<two> & three"]
+
+
+def page_of(rows, columns):
+    import pandas as pd
+
+    return pd.DataFrame([(1, 1, *r) for r in rows], columns=["doc_id", "page", *columns])
+
+
+def test_lines_read_again():
+    native = [(1, "native", "Harcourt Publ", 10.0), (2, "native", "shing Company", 14.0), (3, "native", "far below", 90.0)]
+    ocr = [(1, "ocr", "HARCOURT PUBL shing company", 12.0), (2, "ocr", "far below", 20.0), (3, "ocr", "  ", 20.0)]
+    got = matching.recovered_lines(page_of(native + ocr, ["ord", "source", "text", "y0"]))
+    assert list(zip(got.ord, got.text, got.origin)) == [(1, "HARCOURT PUBL shing company", "replaced"), (3, "far below", "native"), (1003, "far below", "added")]
+
+
+def test_lines_on_baselines():
+    g = page_of([(1, "a =", 0.0, 10.0, 20.0), (2, "b", 300.0, 12.0, 310.0), (3, "c", 600.0, 11.0, 610.0), (4, "d ", 620.0, 17.0, 630.0), (5, "e", 700.0, 18.0, 710.0), (6, "f", 0.0, 18.5, 9.0)], ["ord", "text", "x0", "y0", "x1"])
+    assert matching.baseline_lines(g).text.tolist() == ["a =   b", "c d e", "f"]
+    assert matching.verified_lines(g).text.tolist() == ["a = b", "c d ", "e", "f"]
