@@ -167,7 +167,7 @@ LINE_RULES = [
 def clean_leading(c: Column) -> Column:
     """F11."""
     for pattern, put in LEADING_RULES:
-        c = F.regexp_replace(c, pattern, put)
+        c = F.regexp_replace(c, "(?U)" + pattern, put)
     return F.coalesce(strip(c), F.lit(""))
 
 
@@ -177,7 +177,7 @@ def clean_ocr(c: Column) -> Column:
     def line(x: Column) -> Column:
         x = clean_leading(x)
         for pattern, put in LINE_RULES:
-            x = F.regexp_replace(x, pattern, put)
+            x = F.regexp_replace(x, "(?U)" + pattern, put)
         return collapse(x)
 
     lines = F.split(F.coalesce(c, F.lit("")), "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]")

@@ -37,13 +37,13 @@ def _pair_step(fits: str, nearest: str = "0") -> dict:
     return {"start": "[{'n': 0::BIGINT, 'd': 0::BIGINT}]", "let": f"CASE WHEN {unused('i + 1')} THEN {best} END", "step": "CASE WHEN found IS NULL THEN s ELSE list_append(s, {'n': (i + 1)::BIGINT, 'd': found.k}) END"}
 
 
-def _near_row(least: float, tall: str) -> dict:
-    """The fold of W3 and W13: lines with sums of centres and heights; the state's first line is a dummy."""
+def _near_row(least: float, tall: str, group: str = "0") -> dict:
+    """The fold of W3 and W13: lines of a group with sums of centres and heights; the state's first line is a dummy."""
     c, h = "(x.y0 + x.y1) / 2", "greatest(1.0, x.y1 - x.y0)"
-    hit = f"list_filter(range(2, len(s.r) + 1), lambda k: abs({c} - s.r[k].c / s.r[k].n) <= greatest({least}, 0.45 * least({h}, s.r[k].h / s.r[k].n)))[1]"
-    new = f"{{'r': list_append(s.r, {{'c': {c}, 'h': {tall}, 'n': 1}}), 'at': list_append(s.at, len(s.r) + 1)}}"
-    old = f"{{'r': list_transform(s.r, lambda v, k: CASE WHEN k = found THEN {{'c': v.c + {c}, 'h': v.h + {tall}, 'n': v.n + 1}} ELSE v END), 'at': list_append(s.at, found)}}"
-    return {"start": "{'r': [{'c': 0::DOUBLE, 'h': 0::DOUBLE, 'n': 0}], 'at': [0::BIGINT]}", "let": hit, "step": f"CASE WHEN found IS NULL THEN {new} ELSE {old} END"}
+    hit = f"list_filter(range(2, len(s.r) + 1), lambda k: s.r[k].g = {group} AND abs({c} - s.r[k].c / s.r[k].n) <= greatest({least}, 0.45 * least({h}, s.r[k].h / s.r[k].n)))[1]"
+    new = f"{{'r': list_append(s.r, {{'c': {c}, 'h': {tall}, 'n': 1, 'g': {group}}}), 'at': list_append(s.at, len(s.r) + 1)}}"
+    old = f"{{'r': list_transform(s.r, lambda v, k: CASE WHEN k = found THEN {{'c': v.c + {c}, 'h': v.h + {tall}, 'n': v.n + 1, 'g': v.g}} ELSE v END), 'at': list_append(s.at, found)}}"
+    return {"start": "{'r': [{'c': 0::DOUBLE, 'h': 0::DOUBLE, 'n': 0, 'g': -1}], 'at': [0::BIGINT]}", "let": hit, "step": f"CASE WHEN found IS NULL THEN {new} ELSE {old} END"}
 
 
 _ROWS = """items AS (SELECT doc_id, page, i, l[i] AS x, s.at[i + 1] AS r, s.r[s.at[i + 1]].c / s.r[s.at[i + 1]].n AS mean FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM done)),
@@ -133,7 +133,15 @@ def w04_reading_order_plain(spark, sf_dir):
     return layout.reading_order(R.elements(spark, sf_dir))
 
 
-@query()
+_KINDS = f""", t AS (SELECT *, trim(text) AS t, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS nw FROM regions),
+c AS (SELECT doc_id, page, region, count(*) AS n, count(*) FILTER (type = 'table') AS tables, count(*) FILTER (ends_with(lower(t), ':')) AS colons, count(*) FILTER (t <> '' AND regexp_matches(lower(t), '{layout.PROMPT}')) AS prompts, count(*) FILTER (regexp_matches(t, '{layout.LEADERS}')) AS leaders,
+ count(*) FILTER ((nw > 0 AND nw <= 4) OR regexp_matches(t, '{layout.ITEM}')) AS shorts FROM t GROUP BY ALL),
+kinds AS (SELECT *, CASE WHEN tables > 0 THEN 'table' WHEN n >= 2 AND (colons >= 2 OR (prompts >= 2 AND prompts / n >= 0.25)) THEN 'form' WHEN n >= 3 AND (leaders >= 2 OR leaders / n >= 0.3) THEN 'toc' WHEN n >= 4 AND shorts / n >= 0.65 THEN 'list' ELSE 'text' END AS kind FROM c)"""
+
+
+@query(f"""WITH RECURSIVE {_COLUMNS}{_KINDS}, grouped AS (SELECT doc_id, page, ord, layout.x0, layout.y0, layout.y1, region * 1000 + CASE WHEN kind IN ('table', 'form') THEN 0 ELSE col END AS g FROM cols JOIN layout USING (doc_id, page, ord) JOIN kinds USING (doc_id, page, region)),
+{fold_sql("grouped", "ord g x0 y0 y1", "y0, x0, ord", **_near_row(4.0, "(x.y1 - x.y0)", "x.g"))}, {_ROWS}
+SELECT doc_id, page, x.ord AS ord, row_number() OVER (PARTITION BY doc_id, page ORDER BY x.g, mean, r, x.x0, x.ord)::INT AS reading_order FROM items""")
 def w04_reading_order(spark, sf_dir):
     return layout.reading_order(R.layout(spark, sf_dir))
 
@@ -205,10 +213,7 @@ def w14_generated_ids(spark, sf_dir):
     return R.layout(spark, sf_dir).select(*PAGE, "ord", F.concat(F.lit("native_p"), "page", F.lit("_"), n).alias("new_id"))
 
 
-@query(f"""WITH {_REGIONS}, t AS (SELECT *, trim(text) AS t, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda x: x <> '')) AS nw FROM regions),
-c AS (SELECT doc_id, page, region, count(*) AS n, count(*) FILTER (type = 'table') AS tables, count(*) FILTER (ends_with(lower(t), ':')) AS colons, count(*) FILTER (t <> '' AND regexp_matches(lower(t), '{layout.PROMPT}')) AS prompts, count(*) FILTER (regexp_matches(t, '{layout.LEADERS}')) AS leaders,
- count(*) FILTER ((nw > 0 AND nw <= 4) OR regexp_matches(t, '{layout.ITEM}')) AS shorts FROM t GROUP BY ALL)
-SELECT *, CASE WHEN tables > 0 THEN 'table' WHEN n >= 2 AND (colons >= 2 OR (prompts >= 2 AND prompts / n >= 0.25)) THEN 'form' WHEN n >= 3 AND (leaders >= 2 OR leaders / n >= 0.3) THEN 'toc' WHEN n >= 4 AND shorts / n >= 0.65 THEN 'list' ELSE 'text' END AS kind FROM c""")
+@query(f"WITH {_REGIONS}{_KINDS} SELECT * FROM kinds")
 def a12_region_kinds(spark, sf_dir):
     return layout.region_kinds(layout.regions(R.layout(spark, sf_dir)), [*PAGE, "region"])
 

@@ -10,7 +10,7 @@ from pagewright.functions import spacing, text
 from pagewright.operators import matching
 from pagewright.plans import relations as R
 from pagewright.plans.registry import query
-from pagewright.plans.texts import sql_strip
+from pagewright.plans.texts import SQL_NOISE, sql_clean, sql_strip
 from pagewright.sources import docx, mtef, sinks, structure
 from pagewright.storage import shared_folder
 from pagewright.streaming import jobs
@@ -127,7 +127,12 @@ def o04_retention(spark, sf_dir):
     return structure.retained(sessions, ["source"])
 
 
-@query()
+_MEASURED = "SELECT *, w / greatest(0.1, h) AS ar, w * h AS room, length(t) AS n FROM {0}"
+
+
+@query(f"""WITH {R.OCR}, q AS (SELECT doc_id, page, ord, text, {sql_strip('text')} AS t, x1 - x0 AS w, y1 - y0 AS h, confidence AS c FROM (SELECT * REPLACE (CASE WHEN ord % 7 = 0 THEN left(text, 1) ELSE text END AS text) FROM ocr)),
+once AS (SELECT doc_id, page, ord, {sql_clean('[text]')} AS clean, w, h, c FROM ({_MEASURED.format('q')}) WHERE NOT {SQL_NOISE}), twice AS (SELECT doc_id, page, ord, clean, {sql_strip('clean')} AS t, w, h, c FROM once)
+SELECT doc_id, page, ord, clean FROM ({_MEASURED.format('twice')}) WHERE NOT {SQL_NOISE}""")
 def p02_two_pass_filter(spark, sf_dir):
     """Noise is dropped, what is left is cleaned, and noise is dropped again."""
     e = R.ocr(spark, sf_dir).withColumn("text", F.when(F.col("ord") % 7 == 0, F.left("text", F.lit(1))).otherwise(F.col("text")))

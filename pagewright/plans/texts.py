@@ -81,7 +81,8 @@ q AS (SELECT doc_id, ord, k, t, (8.0 + (k % 6) * 9.0)::DOUBLE AS w, (8.0 + (ord
 r AS (SELECT *, w / greatest(0.1, h) AS ar, w * h AS room, length(t) AS n FROM q)"""
 
 
-@query(_NOISE_WORDS + rf""" SELECT doc_id, ord, k, coalesce(t = '' OR c < 0.40 OR (regexp_matches(t, '{text.WINDOW_CONTROL}') AND n > 1)
+#: F10 in SQL, of columns t, w, h, c, and ar, room, n made of them.
+SQL_NOISE = rf"""coalesce(t = '' OR c < 0.40 OR (regexp_matches(t, '{text.WINDOW_CONTROL}') AND n > 1)
  OR (regexp_matches(t, '{text.WINDOW_CONTROL}') AND lower(t) IN ('x','×','✕','✖') AND ((w <= 60 AND h <= 60) OR (ar BETWEEN 0.5 AND 1.8 AND room <= 3600) OR coalesce(c < 0.85, false)))
  OR (regexp_matches(t, '{text.DROPDOWN_ARROW}') AND t IN ('A','a','A.','a.') AND w <= 28 AND h <= 28 AND ar BETWEEN 0.5 AND 1.6 AND room <= 650)
  OR (regexp_matches(t, '{text.DROPDOWN_ARROW}') AND t NOT IN ('A','a','A.','a.') AND ((w <= 60 AND h <= 60) OR (room <= 3600 AND ar BETWEEN 0.5 AND 2.0) OR lower(t) IN ('v','v.')))
@@ -89,7 +90,10 @@ r AS (SELECT *, w / greatest(0.1, h) AS ar, w * h AS room, length(t) AS n FROM q
  OR (t IN ('|','l') AND w <= 30 AND h <= 30 AND (ar >= 0.55 OR coalesce(c < 0.85, false))) OR (t = '1' AND w <= 30 AND h <= 30 AND coalesce(c < 0.5, false))
  OR (n <= 2 AND NOT regexp_matches(t, '[\p{{L}}\p{{N}}]') AND ((w <= 25 AND h <= 25) OR coalesce(c < 0.8, false)))
  OR (n = 1 AND NOT regexp_matches(t, '^\p{{Nd}}+$') AND t NOT IN ('a','A','I') AND (coalesce(c < 0.9, false) OR (w <= 65 AND h <= 65)))
- OR (n = 1 AND t IN ('a','A','I') AND coalesce(c < 0.75, false)) OR (n <= 2 AND w <= 35 AND h <= 35 AND room <= 1200 AND (NOT regexp_matches(t, '^\p{{Nd}}+$') OR coalesce(c < 0.4, false))), false) AS noise FROM r""")
+ OR (n = 1 AND t IN ('a','A','I') AND coalesce(c < 0.75, false)) OR (n <= 2 AND w <= 35 AND h <= 35 AND room <= 1200 AND (NOT regexp_matches(t, '^\p{{Nd}}+$') OR coalesce(c < 0.4, false))), false)"""
+
+
+@query(_NOISE_WORDS + f" SELECT doc_id, ord, k, {SQL_NOISE} AS noise FROM r")
 def f10_noise(spark, sf_dir):
     pieces = R.lines(spark, sf_dir).select("doc_id", "ord", F.posexplode(F.split("line", " ")).alias("k", "t"))
     c = F.when(F.col("k") % 4 == 3, F.lit(None).cast("double")).otherwise((35 + (F.col("k") % 13) * 5) / 100.0)
@@ -97,13 +101,34 @@ def f10_noise(spark, sf_dir):
     return pieces.select("doc_id", "ord", "k", F.coalesce(noise, F.lit(False)).alias("noise"))
 
 
-@query()
+def sql_leading(c: str) -> str:
+    """F11 in SQL, without looking around: digits before a suffix stay, and two full stops at the end need another sign before them."""
+    for pattern, put in text.LEADING_RULES:
+        put = put.replace("$", "\\")
+        if "(?!(?:" in pattern:
+            c = f"CASE WHEN regexp_matches({c}, '^[0-9]+{text.TECH_SUFFIX}') THEN {c} ELSE regexp_replace({c}, '^[0-9]+([A-Za-z_][A-Za-z0-9_]*)', '{put}') END"
+        elif "(?<!" in pattern:
+            c = rf"regexp_replace({c}, '(^|[^.])\.\.$', '\1.')"
+        else:
+            c = f"regexp_replace({c}, '{pattern}', '{put}')"
+    return sql_strip(c)
+
+
+def sql_clean(lines: str) -> str:
+    """F12 in SQL of a list of lines, step by step."""
+    steps = [sql_leading("x")] + [f"regexp_replace(x, '{pattern}', '{put.replace('$', chr(92))}', 'g')" for pattern, put in text.LINE_RULES] + [sql_strip(r"regexp_replace(x, '\s+', ' ', 'g')")]
+    for s in steps:
+        lines = f"list_transform({lines}, lambda x: {s})"
+    return f"array_to_string(list_filter({lines}, lambda x: x <> ''), chr(10))"
+
+
+@query(f"WITH {R.LINES}, m AS (SELECT doc_id, ord, ['0', '1', '> ', '[ ] ', 'O', 'v', '. ', ''][ord % 8 + 1] || line AS x FROM lines) SELECT doc_id, ord, {sql_leading('x')} AS clean FROM m")
 def f11_clean_leading(spark, sf_dir):
     marks = F.element_at(F.array(*map(F.lit, ["0", "1", "> ", "[ ] ", "O", "v", ". ", ""])), (F.col("ord") % 8 + 1).cast("int"))
     return R.lines(spark, sf_dir).select("doc_id", "ord", text.clean_leading(F.concat(marks, "line")).alias("clean"))
 
 
-@query()
+@query(f"SELECT doc_id, {sql_clean('string_split(text, chr(10))')} AS clean FROM documents")
 def f12_clean_ocr(spark, sf_dir):
     return R.table(spark, sf_dir, "documents").select("doc_id", text.clean_ocr(F.col("text")).alias("clean"))
 
