@@ -131,3 +131,18 @@ def test_lines_on_baselines():
     g = page_of([(1, "a =", 0.0, 10.0, 20.0), (2, "b", 300.0, 12.0, 310.0), (3, "c", 600.0, 11.0, 610.0), (4, "d ", 620.0, 17.0, 630.0), (5, "e", 700.0, 18.0, 710.0), (6, "f", 0.0, 18.5, 9.0)], ["ord", "text", "x0", "y0", "x1"])
     assert matching.baseline_lines(g).text.tolist() == ["a =   b", "c d e", "f"]
     assert matching.verified_lines(g).text.tolist() == ["a = b", "c d ", "e", "f"]
+
+
+def test_report_rows(spark, sf_dir):
+    """Every report has its sections with captions and blank rows; as many page and mismatch rows as there are."""
+    from pagewright.plans import registry
+
+    rows = registry.queries()["k06_report_csv"](spark, sf_dir).where("doc_id < 5").orderBy("doc_id", "section", "place").collect()
+    for d in {r["doc_id"] for r in rows}:
+        mine = [r for r in rows if r["doc_id"] == d]
+        heads = [r["c0"] for r in mine if r["c0"] is None or r["c0"].isupper()]
+        assert [h for h in heads if h] == ["ORIGINALITY & EXTRACTION ACCURACY VERIFICATION REPORT", "SUMMARY METRICS", "PAGE-WISE RESULTS", "DETAILED MISMATCHES"]
+        assert heads.count(None) == 3 and mine[1]["c1"] == f"report_{d}"
+        pages = [r for r in mine if r["section"] == 3 and r["place"] > 1]
+        assert sum(int(r["c6"]) for r in pages) == len([r for r in mine if r["section"] == 4 and r["place"] > 1])
+        assert str(len(pages)) == next(r["c1"] for r in mine if r["c0"] == "Total Pages")
