@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagewright.llm import bloomlm, decontam, idfiles, mixing, neardup, quality, secret_scan, sharding, toxicity, warc
+from pagewright.llm import bloomlm, decontam, idfiles, mixing, neardup, oracles, quality, secret_scan, sharding, toxicity, warc
 from pagewright.llm.common import PACKED, crc_class
 
 
@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every record of the deduplicated archives of ``pages``, read back from them; the archives stay in the shared folder."""
     back, _ = warc.deduplicated_archives(spark, table(spark, sf_dir, "pages"))
-    return back
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.oracle_sql()

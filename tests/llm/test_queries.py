@@ -332,3 +332,13 @@ def test_small_filter_and_layout(spark, monkeypatch):
     assert all(r["score"] <= 0 for r in bloomlm.scores(docs, docs).collect())
     one = spark.createDataFrame([(1, "a " * 300)], "doc_id long, text string")
     assert bloomlm.scores(one, one).first()["score"] <= 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_against_sql(spark, sf_dir, name):
+    from compare import connect, rows
+
+    got = OP[name](spark, sf_dir).toPandas()
+    want = connect(sf_dir).execute(queries.oracle_sql()[name]).fetchdf()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
