@@ -228,14 +228,75 @@ def _fragments(spark, sf_dir):
     return f.withColumn("coord_gap", gap).withColumn("font_size", F.lit(10.0))
 
 
-@query()
+def _listed(words) -> str:
+    return "(" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + ")"
+
+
+def _one_of(c: str, marks: str) -> str:
+    marks = marks.replace("'", "''")
+    return f"(length({c}) = 1 AND contains('{marks}', {c}))"
+
+
+def sql_needs_space() -> str:
+    """F20 in SQL, of columns left_raw, right_raw, l, r (stripped), last, first, tail, head, gap and size."""
+    has = lambda c, p: f"regexp_matches({c}, '{p}')"
+    letters, digits, alnum = (lambda c, p=p: has(c, p) for p in (r"^\p{L}+$", r"^\p{Nd}+$", r"^[\p{L}\p{N}]+$"))
+    upper, lower = (lambda c: f"({has(c, chr(92) + 'p{Lu}')} AND NOT {has(c, chr(92) + 'p{Ll}')})"), (lambda c: f"({has(c, chr(92) + 'p{Ll}')} AND NOT {has(c, chr(92) + 'p{Lu}')})")
+    capital = lambda c: has(c, r"^\p{Lu}")
+    known = lambda c: f"{c} IN {_listed(spacing.VOCABULARY)}"
+    a, b, joined = "lower(tail)", "lower(head)", "(lower(tail) || lower(head))"
+    both = f"{letters('tail')} AND {letters('head')}"
+    compound = f"{both} AND {known(joined)}"
+    names = f"({capital('tail')} AND {capital('head')})"
+    rules = [
+        (has("left_raw", r"[ \t\n]$") + " OR " + has("right_raw", r"^[ \t\n]"), False),
+        ("l = '' OR r = ''", False),
+        (has("r", r"^[''’]\p{L}{1,2}$"), False),
+        (f"{_one_of('last', '-–—')} OR {_one_of('first', '-–—')}", False),
+        (_one_of("last", spacing.NO_SPACE_AFTER), False),
+        (_one_of("first", spacing.NO_SPACE_BEFORE), False),
+        ("size > 0 AND gap >= 0.22 * size", True),
+        ("size > 0 AND gap < 0.05 * size", False),
+        (f"last = '.' AND {has('l', chr(94) + chr(92) + 'p{Nd}+[.]$')} AND {digits('r')}", False),
+        (f"last = '.' AND length(l) <= 2 AND length(r) <= 2 AND {upper('l')} AND {upper('r')}", False),
+        (_one_of("last", ".,;:!?»)]}"), True),
+        (f"{_one_of('last', spacing.OPERATORS)} OR {_one_of('first', spacing.OPERATORS)}", True),
+        (f"{letters('tail')} AND {digits('head')}", True),
+        (f"{letters('tail')} AND {alnum('head')} AND {upper('head')} AND length(head) <= 4 AND NOT {upper('tail')}", True),
+        (f"{digits('tail')} AND {letters('head')} AND {b} IN {_listed(spacing.UNITS)}", False),
+        (f"{digits('tail')} AND {letters('head')}", True),
+        (f"{names} AND NOT {upper('tail')} AND NOT {upper('head')}", True),
+        (f"{upper('tail')} AND {upper('head')} AND length(tail) > 1 AND length(head) > 1", True),
+        (f"{lower('tail')} AND {capital('head')} AND {lower('substr(head, 2)')}", True),
+        (f"{both} AND {a} IN {_listed(spacing.PREFIXES)} AND {known(joined)}", False),
+        (f"{both} AND {b} IN {_listed(spacing.SUFFIXES)} AND {known(joined)}", False),
+        (f"{compound} AND (NOT {known(a)} OR NOT {known(b)})", False),
+        (f"{compound} AND NOT {names} AND {joined} IN {_listed(spacing.CLOSED_COMPOUNDS)}", False),
+        (f"{alnum('tail')} AND {alnum('head')}", True),
+    ]
+    return "CASE " + " ".join(f"WHEN coalesce({test}, false) THEN {str(answer).lower()}" for test, answer in rules) + " ELSE false END"
+
+
+_GAP = "CASE WHEN k % 3 = 0 THEN NULL ELSE (k % 5) * 1.5 END"
+
+
+def sql_boundaries(gap: str) -> str:
+    """Fragments with the one after, and whether a space belongs between them at the given gap."""
+    return f"""{_FRAGMENTS}, n AS (SELECT doc_id, ord, k, fragment AS left_raw, lead(fragment) OVER w AS right_raw, {gap} AS gap, 10.0 AS size FROM f WINDOW w AS (PARTITION BY doc_id, ord ORDER BY k)),
+p AS (SELECT *, {sql_strip('left_raw')} AS l, {sql_strip('right_raw')} AS r FROM n),
+q AS (SELECT *, right(l, 1) AS last, left(r, 1) AS first, coalesce(nullif(regexp_extract(l, '([a-zA-Z0-9]+)[^a-zA-Z0-9]*$', 1), ''), l) AS tail, coalesce(nullif(regexp_extract(r, '^[^a-zA-Z0-9]*([a-zA-Z0-9]+)', 1), ''), r) AS head FROM p),
+b AS (SELECT *, {sql_needs_space()} AS space FROM q)"""
+
+
+@query(sql_boundaries(_GAP) + " SELECT doc_id, count(*) AS boundaries, count(*) FILTER (space) AS spaces FROM b WHERE right_raw IS NOT NULL GROUP BY doc_id")
 def f20_needs_space(spark, sf_dir):
     f = _fragments(spark, sf_dir).withColumn("right", F.lead("fragment").over(Window.partitionBy("doc_id", "ord").orderBy("k"))).where("right is not null")
     f = f.withColumn("parts", spacing.boundary_parts(F.col("fragment"), F.col("right"))).withColumn("space", spacing.needs_space(F.col("parts"), F.col("coord_gap"), F.col("font_size")))
     return f.groupBy("doc_id").agg(F.count("*").alias("boundaries"), F.count_if("space").alias("spaces"))
 
 
-@query()
+@query(sql_boundaries(f"lead({_GAP}) OVER w") + """, pieces AS (SELECT doc_id, ord, k, left_raw || CASE WHEN space AND right_raw IS NOT NULL THEN ' ' ELSE '' END AS piece FROM b)
+SELECT doc_id, ord, string_agg(piece, '' ORDER BY k) AS merged FROM pieces GROUP BY doc_id, ord""")
 def w10_merge_tokens(spark, sf_dir):
     return spacing.merge_fragments(_fragments(spark, sf_dir), ["doc_id", "ord"], "k")
 
