@@ -1,16 +1,18 @@
 """Greedy and sequential steps of layout analysis, page by page, and small aggregates and predicates beside them.
 
 A greedy step takes items in a fixed order and each choice uses its items up, so it has no relational form; it runs as a
-pandas function on one page at a time, and a page bounds its memory.
+Python function on one page at a time, and a page bounds its memory.
 """
 
 from __future__ import annotations
 
-import difflib
+import heapq
 import itertools
 import re
+from bisect import bisect_left
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,31 +154,106 @@ def superscript_marks(g: pd.DataFrame) -> pd.DataFrame:
     return _result(g, ord=[o for o, _ in out], text=[t for _, t in out])
 
 
-def recovered_lines(g: pd.DataFrame) -> pd.DataFrame:
-    """A line read again replaces the first line it resembles within 40 points, others that it resembles go; else it is added.
+def ratio_reaches(a: str, b: str, least: float) -> bool:
+    """Whether ``difflib.SequenceMatcher(None, a, b).ratio() >= least``, found without difflib's loops.
 
-    Two lines are alike from a ratio of 0.55, or if the old one has 8 characters and is part of the new one; case doesn't
-    count.  A replaced line stands where the new one does, and lines read later meet it there.
+    Longest common parts are found by substring search, and the search ends as soon as the parts found, or the most that the
+    rest could add, decide.  As in difflib, letters that are popular in a ``b`` of 200 characters or more begin no common
+    part but prolong one, and of equally long parts that first in ``a``, then in ``b``, counts.
     """
-    g = g.sort_values(["source", "ord"], kind="stable")
-    out = [[a.ord, a.text or "", a.y0, "native"] for a in g[g.source == "native"].itertuples()]
-    for a in g[g.source == "ocr"].itertuples():
-        new = (a.text or "").strip()
+    length = len(a) + len(b)
+    reached = lambda n: (2.0 * n / length if length else 1.0) >= least
+    if a == b:
+        return reached(len(b))
+    room = min(len(a), len(b))
+    if not reached(room):
+        return False
+    seed_a, seed_b = a, b
+    if len(b) >= 200:
+        popular = {ord(c) for c in set(b) if b.count(c) > len(b) // 100 + 1}
+        unlike_a, unlike_b = itertools.islice((c for c in map(chr, itertools.count()) if c not in a and c not in b), 2)
+        seed_a, seed_b = a.translate(dict.fromkeys(popular, unlike_a)), b.translate(dict.fromkeys(popular, unlike_b))
+    begins = set(seed_b)
+    at = [k for k, c in enumerate(seed_a) if c in begins]
+    found, rest = 0, [(-room, 0, len(a), 0, len(b))]
+    while rest:
+        if reached(found):
+            return True
+        if not reached(found + room):
+            return False
+        most, a0, a1, b0, b1 = heapq.heappop(rest)
+        room += most
+        part, size, i = seed_b[b0:b1], 0, a0
+        for k in at[bisect_left(at, a0) : bisect_left(at, a1)]:
+            if k + size >= a1:
+                break
+            while k + size < a1 and seed_a[k : k + size + 1] in part:
+                size, i = size + 1, k
+        j = b0 + part.find(seed_a[i : i + size])
+        if seed_a is not a:
+            while i > a0 and j > b0 and a[i - 1] == b[j - 1]:
+                i, j, size = i - 1, j - 1, size + 1
+            while i + size < a1 and j + size < b1 and a[i + size] == b[j + size]:
+                size += 1
+        if size:
+            found += size
+            for x in ((a0, i, b0, j), (i + size, a1, j + size, b1)):
+                most = min(x[1] - x[0], x[3] - x[2])
+                if most:
+                    room += most
+                    heapq.heappush(rest, (-most, *x))
+    return reached(found)
+
+
+def recovered(native: list[tuple[int, str, float]], ocr: list[tuple[int, str, float]]) -> list[tuple[int, str, str]]:
+    """J14 of one page: ord, text and origin from lines (ord, text, y0) in their order; see ``line_recovery``."""
+    out = [[o, t or "", y, "native", (t or "").strip().lower()] for o, t, y in native]
+    for _, t, y in ocr:
+        new = (t or "").strip()
         if not new:
             continue
-        low, alike = new.lower(), []
-        for line in out:
-            old = line[1].strip().lower()
-            if old and abs(line[2] - a.y0) < 40 and ((len(old) >= 8 and old in low) or difflib.SequenceMatcher(None, low, old).ratio() >= 0.55):
-                alike.append(line)
+        low = new.lower()
+        alike = [x for x in out if x[4] and abs(x[2] - y) < 40 and ((len(x[4]) >= 8 and x[4] in low) or ratio_reaches(low, x[4], 0.55))]
         if not alike:
-            out.append([1000 + len(out), new, a.y0, "added"])
+            out.append([1000 + len(out), new, y, "added", low])
             continue
-        alike[0][1:] = [new, a.y0, "replaced"]
-        for line in alike[1:]:
-            line[1] = ""
-    out = [x for x in out if x[1].strip()]
-    return _result(g, ord=[x[0] for x in out], text=[x[1] for x in out], origin=[x[3] for x in out])
+        alike[0][1:] = [new, y, "replaced", low]
+        for x in alike[1:]:
+            x[1] = x[4] = ""
+    return [(x[0], x[1], x[3]) for x in out if x[1].strip()]
+
+
+def recovered_lines(g: pd.DataFrame) -> pd.DataFrame:
+    """J14 of one page as a table; see ``line_recovery``."""
+    g = g.sort_values(["source", "ord"], kind="stable")
+    native, ocr = (list(g.loc[g.source == s, ["ord", "text", "y0"]].itertuples(index=False, name=None)) for s in ("native", "ocr"))
+    out = recovered(native, ocr)
+    return _result(g, ord=[x[0] for x in out], text=[x[1] for x in out], origin=[x[2] for x in out])
+
+
+def line_recovery(elements: DataFrame) -> DataFrame:
+    """A line read again replaces the first line it resembles within 40 points, others that it resembles go; else it is added.
+
+    Two lines are alike from a ratio of 0.55, or if the old one has 8 characters and is part of the new one; case doesn't
+    count.  A replaced line stands where the new one does, and lines read later meet it there.  Lines go to Python as one
+    array for each page.
+    """
+    listed = F.array_sort(F.collect_list(F.struct("source", "ord", "text", F.coalesce("y0", F.lit(float("nan"))).alias("y0"))))
+    pages = elements.where(F.col("source").isin("native", "ocr")).groupBy("doc_id", "page").agg(listed.alias("lines"))
+
+    def run(batches):
+        for b in batches:
+            for k in range(0, b.num_rows, 200):
+                part = b.slice(k, 200)
+                found = []
+                for page in part.column(2).to_pylist():
+                    by = {s: [(x["ord"], x["text"], x["y0"]) for x in page if x["source"] == s] for s in ("native", "ocr")}
+                    found.append([{"ord": o, "text": t, "origin": w} for o, t, w in recovered(by["native"], by["ocr"])])
+                kind = pa.list_(pa.struct([("ord", pa.int32()), ("text", pa.string()), ("origin", pa.string())]))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, kind)], ["doc_id", "page", "found"])
+
+    done = pages.mapInArrow(run, "doc_id long, page int, found array<struct<ord: int, text: string, origin: string>>")
+    return done.select("doc_id", "page", F.inline("found"))
 
 
 def style_blocks(g: pd.DataFrame) -> pd.DataFrame:

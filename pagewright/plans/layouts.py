@@ -367,7 +367,7 @@ def j13_superscripts(spark, sf_dir):
 @query()
 def j14_line_recovery(spark, sf_dir):
     e = R.layout(spark, sf_dir).unionByName(R.ocr(spark, sf_dir)).select(*PAGE, "ord", "source", "text", "y0")
-    return e.groupBy(*PAGE).applyInPandas(matching.recovered_lines, "doc_id long, page int, ord int, text string, origin string")
+    return matching.line_recovery(e)
 
 
 @query(f"""WITH RECURSIVE {_BOTH}, kept AS (SELECT * FROM every WHERE NOT (x1 - x0 > 0.65 * 600 AND y1 - y0 > 0.65 * (14 + 4 * (ord % 5)))),
