@@ -38,6 +38,26 @@ def packed(df: DataFrame, *more: Column) -> DataFrame:
     return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(PACKED), *more)
 
 
+#: Texts that a step turns into Python objects at once.
+TEXTS = 512
+
+
+def packed_texts(df: DataFrame, text: str, *more: Column) -> tuple[DataFrame, int | None]:
+    """df packed besides more, and the place of its text in the packed row, so that texts go to Python once.
+
+    A text that isn't a string goes beside the row instead, as one, and the place is None; see ``texts_in``.
+    """
+    place = df.columns.index(text) if dict(df.dtypes).get(text) == "string" else None
+    return packed(df, *more, *([F.col(f"`{text}`").cast("string").alias("__text")] if place is None else [])), place
+
+
+def texts_in(batch, place: int | None):
+    """The texts of a batch of ``packed_texts``, as lists of at most TEXTS values of bytes or None."""
+    texts = batch.column("__text") if place is None else batch.column(PACKED).field(place)
+    for at in range(0, len(texts), TEXTS):
+        yield texts.slice(at, TEXTS).cast("binary").to_pylist()
+
+
 def unpacked(df: DataFrame, columns: list[str], *more: Column) -> DataFrame:
     return df.select(*[F.col(f"{PACKED}.`{c}`") for c in columns], *more)
 

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagewright.llm.common import PACKED, packed, unpacked
+from pagewright.llm.common import PACKED, packed_texts, texts_in, unpacked
 from pagewright.llm.words import WordHasher, ascii_nonword_bytes, groups, mix
 
 WINDOW, SHINGLE = 13, 3
@@ -147,8 +147,8 @@ def prefixes(win: Windows, tables: dict[int, np.ndarray], df: dict[int, np.ndarr
     return out
 
 
-def mark_block(rows: DataFrame, win: Windows, prefix: dict) -> DataFrame:
-    """rows (packed, text, n_words, spans, items) after looking for one block's windows.
+def mark_block(rows: DataFrame, place: int | None, win: Windows, prefix: dict, last: bool) -> DataFrame:
+    """rows (packed, n_words, spans, items) with texts at ``place`` after looking for one block's windows; the last adds n_hit.
 
     spans: word offsets, start and end in turn, of all occurrences; items: names of the items that occur.
     """
@@ -185,15 +185,22 @@ def mark_block(rows: DataFrame, win: Windows, prefix: dict) -> DataFrame:
         seek = {k: Sought(p[0]) for k, p in prefix.items()}
         for b in batches:
             words, spans, items = [], [], []
-            for texts in groups(b.column("text").cast(pa.binary()).to_pylist()):
-                for out, got in zip((words, spans, items), occurrences(texts, hasher, seek)):
-                    out += got
+            for some in texts_in(b, place):
+                for texts in groups(some):
+                    for out, got in zip((words, spans, items), occurrences(texts, hasher, seek)):
+                        out += got
             old_spans, old_items = b.column("spans").to_pylist(), b.column("items").to_pylist()
             spans = [a + s for a, s in zip(old_spans, spans)]
             items = [sorted({*a, *s}) for a, s in zip(old_items, items)]
-            yield pa.RecordBatch.from_arrays([b.column(PACKED), b.column("text"), pa.array(words, pa.int64()), pa.array(spans, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))], [PACKED, "text", "n_words", "spans", "items"])
+            out = dict(zip(b.schema.names, b.columns)) | {"n_words": pa.array(words, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(items, pa.list_(pa.string()))}
+            if last:
+                out.pop("__text", None)
+                out["n_hit"] = pa.array([covered(s) for s in spans], pa.int64())
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+        pa.default_memory_pool().release_unused()
 
-    return rows.mapInArrow(run, rows.schema)
+    schema = (rows.drop("__text") if last else rows).schema
+    return rows.mapInArrow(run, T.StructType([*schema.fields, T.StructField("n_hit", T.LongType())]) if last else schema)
 
 
 def covered(spans: list[int]) -> int:
@@ -211,20 +218,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     items = items.distinct()
     total = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     n_blocks = max(1, -(-total // BLOCK_BYTES))
-    rows = packed(docs, F.col(f"`{text}`").cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    rows, place = packed_texts(docs, text, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"))
     for k in range(n_blocks):
         part = items.where(F.pmod(F.xxhash64("name", "t"), F.lit(n_blocks)) == k).orderBy("name", "t").toArrow().to_pylist()
         win = windows_of([(r["name"], (r["t"] or "").encode()) for r in part])
         tables = shingle_table(win)
-        rows = mark_block(rows, win, prefixes(win, tables, document_frequencies(docs, tables, text)))
-
-    def finish(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([covered(s) for s in b.column("spans").to_pylist()], pa.int64())], [*b.schema.names, "n_hit"])
-
-    done = rows.drop("text")
-    done = done.mapInArrow(finish, T.StructType([*done.schema.fields, T.StructField("n_hit", T.LongType())]))
-    return done.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+        rows = mark_block(rows, place, win, prefixes(win, tables, document_frequencies(docs, tables, text)), k == n_blocks - 1)
+    return rows.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.boosting import Forest, constant, fit
-from pagewright.llm.common import PACKED, packed, texts_of, unpacked
+from pagewright.llm.common import PACKED, TEXTS, packed_texts, texts_in, texts_of, unpacked
 
 SAMPLE = 20_000
 THRESHOLD = 0.3
@@ -89,8 +89,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, doc_
 
     def run(batches):
         for b in batches:
-            rows = [statistics(t or b"")[1] for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
+            for at in range(0, b.num_rows, TEXTS):
+                part = b.slice(at, TEXTS)
+                rows = [statistics(t or b"")[1] for t in part.column(1).cast(pa.binary()).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.float64()))], ["y", "x"])
+        pa.default_memory_pool().release_unused()
 
     got = texts_of(docs, chosen, doc_id, text).mapInArrow(run, "y double, x array<double>").orderBy("y", "x").toPandas()
     if not len(got):
@@ -110,15 +113,20 @@ def learn(docs: DataFrame, labels: DataFrame | None, sample: int = SAMPLE) -> Fo
 def judge(docs: DataFrame, forest: Forest, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Every row, packed in one column, with COUNTS, ``base_failed``, ``probability`` and ``kept``."""
 
+    rows, place = packed_texts(docs, text)
+
     def run(batches):
         for b in batches:
-            found = [statistics(t or b"") for t in b.column(1).cast(pa.binary()).to_pylist()]
-            counts = np.array([c for c, _ in found], dtype=np.int64).reshape(-1, len(COUNTS))
-            p = forest.probability(np.array([f for _, f in found], dtype=float).reshape(-1, len(FEATURES)))
+            counts, p = [np.zeros((0, len(COUNTS)), dtype=np.int64)], [np.zeros(0)]
+            for texts in texts_in(b, place):
+                found = [statistics(t or b"") for t in texts]
+                counts.append(np.array([c for c, _ in found], dtype=np.int64))
+                p.append(forest.probability(np.array([f for _, f in found], dtype=float)))
+            counts, p = np.concatenate(counts), np.concatenate(p)
             failed = (counts[:, 0] < 20) | (100 * counts[:, 4] > 30 * counts[:, 0])
             yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, counts.T), pa.array(failed), pa.array(p), pa.array(~failed & (p >= threshold))], [PACKED, *COUNTS, "base_failed", "probability", "kept"])
+        pa.default_memory_pool().release_unused()
 
-    rows = packed(docs, F.col(f"`{text}`").cast("string").alias("__text"))
     schema = rows.select(PACKED).schema
     for c in COUNTS:
         schema.add(c, "long")
