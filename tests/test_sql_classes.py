@@ -7,7 +7,7 @@ from pagewright.plans import registry
 
 LINES = ["EAURÉ!! ET", "UPAÉ.!!", "VCHECKÉ", "Showé", "12stéle", "World!.\r", "shell..\r", " nbsp ", "\x0bvt\x0b", "Upper rightdé", "éyesd", "éupper left.", "a:b  c\td", ". ÉT", "Fromathable hethly.", "LEÇON 3 vite", "a\rb\rc\rd\re", "éab/cd x", "éx = 3", "x y", ""]
 TEXTS = ["\n".join(LINES[k:] + LINES[:k]) for k in range(len(LINES))] + [*LINES, None] + ["Fromathable a\n" * 25]
-NAMES = ["f11_clean_leading", "f12_clean_ocr", "p02_two_pass_filter", "f16_classify", "a01_statistics", "a02_tagging_summary"]
+NAMES = ["f11_clean_leading", "f12_clean_ocr", "p02_two_pass_filter", "f16_classify", "a01_statistics", "a02_tagging_summary", "w05_single_h1"]
 
 
 @pytest.mark.parametrize("name", NAMES)
