@@ -7,7 +7,7 @@ from pagewright.plans import registry
 
 CASES = ["Fıgure 3", "FİG. 3", "figure 3", "Illuſtration 2: x", "Sectıon 3", "SECTİON 3", "ſection 3", "Part ı", "part İV", "part iv", "Unİté 4", "UNITÉ 4", "LEÇON 3", "Kapıtel 3"]
 LONG = ["1" + ".1" * 20_000 + end for end in (") x", " x", "", ".2) ", ". x", "..")]
-NAMES = ["a01_statistics", "a02_tagging_summary"]
+NAMES = ["a01_statistics", "a02_tagging_summary", "w05_single_h1"]
 
 
 def same_as_sql(spark, tmp_path, name, texts):
